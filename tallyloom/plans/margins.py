@@ -13,9 +13,7 @@ from ..functions.text import bracket_digit, cell_count, coarser, recode, retype
 from ..operators.aggregate import grouped_sum, with_share
 from ..operators.columns import drop_subtotals
 from ..operators.ordered import block_labels, fill_down, row_numbers
-
-SIZE_COLUMNS = tuple(str(size) for size in range(1, K.OPEN_SIZE + 1))
-MEMBER_COLUMNS = ("0", "1", "2", "3")
+from ..schemas import MEMBER_COLUMNS, SIZE_COLUMNS
 
 
 def band_margin(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -2,26 +2,24 @@
 
 from pyspark.sql import types as T
 
-from .constants import BAND_CODES
+from .constants import BAND_CODES, OPEN_SIZE
 
+TEXT, INT, BIGINT, DOUBLE = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType()
+SIZE_COLUMNS = tuple(str(size) for size in range(1, OPEN_SIZE + 1))
+MEMBER_COLUMNS = ("0", "1", "2", "3")
 
-def _struct(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"`{name}` {kind}" for name, kind in columns.items()))
 
+def struct(columns: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
-CENSUS_COUNTS = _struct(size_label="STRING", age5="STRING", n="BIGINT")
-AGE_COUNTS = _struct(age="INT", n="BIGINT")
-SIZE_COUNTS = _struct(hh_size="INT", n="BIGINT")
-HEAD_SHEET = T.StructType.fromDDL(
-    "head_age STRING, `1` BIGINT, `2` BIGINT, `3` BIGINT, `4` BIGINT, `5` BIGINT, `6` BIGINT"
-)
-TYPE_SHEET = T.StructType.fromDDL(
-    "ord BIGINT, sex STRING, head_age STRING, `1` STRING, `2` STRING, `3` STRING, `4` STRING, `5` STRING, `6` STRING"
-)
-MEMBER_SHEET = T.StructType.fromDDL(
-    "ord BIGINT, hh_type STRING, hh_size STRING, `0` STRING, `1` STRING, `2` STRING, `3` STRING"
-)
-ROSTER_LONG = _struct(hid="BIGINT", age="INT", value="BIGINT")
-ROSTER_WIDE = _struct(hid="BIGINT", **{f"b{code}": "BIGINT" for code in BAND_CODES})
-HOUSEHOLD_TYPE = _struct(hid="BIGINT", hh_type="INT")
-FIT_STEPS = _struct(hid="BIGINT", ss="DOUBLE")
+
+CENSUS_COUNTS = struct({"size_label": TEXT, "age5": TEXT, "n": BIGINT})
+AGE_COUNTS = struct({"age": INT, "n": BIGINT})
+SIZE_COUNTS = struct({"hh_size": INT, "n": BIGINT})
+HEAD_SHEET = struct({"head_age": TEXT} | dict.fromkeys(SIZE_COLUMNS, BIGINT))
+TYPE_SHEET = struct({"ord": BIGINT, "sex": TEXT, "head_age": TEXT} | dict.fromkeys(SIZE_COLUMNS, TEXT))
+MEMBER_SHEET = struct({"ord": BIGINT, "hh_type": TEXT, "hh_size": TEXT} | dict.fromkeys(MEMBER_COLUMNS, TEXT))
+ROSTER_LONG = struct({"hid": BIGINT, "age": INT, "value": BIGINT})
+ROSTER_WIDE = struct({"hid": BIGINT} | {f"b{code}": BIGINT for code in BAND_CODES})
+HOUSEHOLD_TYPE = struct({"hid": BIGINT, "hh_type": INT})
+FIT_STEPS = struct({"hid": BIGINT, "ss": DOUBLE})
