@@ -95,5 +95,16 @@ def crosstab(
 
 
 def spread_of_group(df: DataFrame, by: Sequence[str], value: str, name: str = "variance") -> DataFrame:
-    """Sample variance per group; NULL for a single row."""
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.var_samp(value).alias(name))
+    """Sample variance of an integer column per group; NULL for a single row.
+
+    It is taken from whole-number sums. A merged running variance depends on the merge order in its
+    last bits, which would let a threshold test change with the partitioning.
+    """
+    x = F.col(value).cast("bigint")
+    sums = df.groupBy(*by).agg(
+        F.count(value).alias("n"), F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares")
+    )
+    n, one, squares = (F.col(c).cast("decimal(19,0)") for c in ("n", "_sum", "_squares"))
+    numerator = (n * squares - one * one).cast("double")
+    variance = F.try_divide(numerator, (n * (n - 1)).cast("double"))
+    return sums.select(*by, "n", variance.alias(name))

@@ -4,7 +4,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from .aggregate import with_share
 from .columns import join_back
 
 
@@ -34,17 +33,21 @@ def fit_report(
 ) -> DataFrame:
     """Population share, sample share and rounded difference per category (within `by`)."""
     both = paired(population, sample, [*by, category])
+    wholes = [F.sum("n_pop").alias("pop"), F.sum("n_sample").alias("sample")]
     if by:
-        wholes = both.groupBy(*by).agg(F.sum("n_pop").alias("_pop"), F.sum("n_sample").alias("_sample"))
-        both = join_back(both, wholes, by, small=small)
-        shares = {
-            "p_pop": F.try_divide(F.col("n_pop"), F.col("_pop")),
-            "p_sample": F.try_divide(F.col("n_sample"), F.col("_sample")),
-        }
-        both = both.withColumns(shares).drop("_pop", "_sample")
+        joined = join_back(both, both.groupBy(*by).agg(F.struct(*wholes).alias("_whole")), by, small=small)
     else:
-        both = with_share(with_share(both, "n_pop", name="p_pop"), "n_sample", name="p_sample")
-    return both.withColumn("diff", F.round(F.col("p_sample") - F.col("p_pop"), digits))
+        # One subquery for both totals reads the same columns as the report, so it reuses its shuffles.
+        joined = both.withColumn("_whole", both.agg(F.struct(*wholes)).scalar())
+    shares = {
+        "p_pop": F.try_divide(F.col("n_pop"), F.col("_whole.pop")),
+        "p_sample": F.try_divide(F.col("n_sample"), F.col("_whole.sample")),
+    }
+    return (
+        joined.withColumns(shares)
+        .drop("_whole")
+        .withColumn("diff", F.round(F.col("p_sample") - F.col("p_pop"), digits))
+    )
 
 
 def squared_error(report: DataFrame, by: Sequence[str] = ()) -> DataFrame:

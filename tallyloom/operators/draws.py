@@ -113,7 +113,7 @@ def draw_members(
 
     The copy number is part of the hash key, so each copy has its own number.
     """
-    copies = uncount(rows.select(key, how_many), how_many)
+    copies = uncount(rows.select(key, how_many), how_many, spread=False)
     drawn = copies.withColumn("age", pick(weights, uniform(key, "copy", salt=salt, seed=seed)))
     return count_matrix(drawn, [key], "age", codes)
 

@@ -1,10 +1,10 @@
 """Operators that follow a row order: running totals, row numbers, fill-down, block labels.
 
 The order is always a BIGINT column that is unique within its group. That gives a proven bound
-without looking at the data: rows whose key agrees above the lowest SEGMENT_BITS bits number at
-most 2**SEGMENT_BITS. Work is done inside such segments, the segments' totals are carried forward
-inside segments of segments, and so on; three levels cover 64-bit keys, so no window ever sees
-more than 2**SEGMENT_BITS rows per group, however large a group is.
+without looking at the data: rows whose keys agree above the lowest b bits number at most 2**b. Work
+is done inside such segments; their totals are carried forward inside segments of segments. With the
+default SEGMENT_BITS a window sees at most 2**20 rows, and at most 2**22 segment totals on either of
+the two levels above, for any 64-bit key and however large a group is.
 """
 
 from collections.abc import Callable, Mapping, Sequence
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import join_back
 
-SEGMENT_BITS = 16
-LEVELS = 3
+SEGMENT_BITS = (20, 22)
+# A published sheet has at most 2**20 rows, so it is one segment.
+SHEET_BITS = (20,)
 HOT_ROWS = 1_000_000
 
 SUM = "sum"
@@ -43,16 +44,19 @@ def _carry(
     key: str,
     wanted: Mapping[str, tuple[str, str]],
     end: int,
-    level: int,
-    bits: int,
+    bits: Sequence[int],
 ) -> DataFrame:
-    """Add each wanted column: the fold of its input over the rows up to `end` in key order."""
-    if level == 0:
+    """Add each wanted column: the fold of its input over the rows up to `end` in key order.
+
+    `bits` are the segment lengths from the rows upwards; without any, one window does the work.
+    """
+    if not bits:
         window = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({out: _in_window(kind, c, window) for out, (kind, c) in wanted.items()})
 
+    level = len(bits)
     segment = f"_segment{level}"
-    cut = df.withColumn(segment, F.shiftright(F.col(key), bits))
+    cut = df.withColumn(segment, F.shiftright(F.col(key), bits[0]))
     totals = cut.groupBy(*by, segment).agg(
         *[_of_segment(kind, c, key).alias(f"_total{level}_{out}") for out, (kind, c) in wanted.items()]
     )
@@ -62,8 +66,7 @@ def _carry(
         segment,
         {f"_before{level}_{out}": (kind, f"_total{level}_{out}") for out, (kind, _) in wanted.items()},
         -1,
-        level - 1,
-        bits,
+        bits[1:],
     ).select(*by, segment, *[f"_before{level}_{out}" for out in wanted])
 
     window = (
@@ -81,10 +84,10 @@ def _carry(
 
 
 def running_totals(
-    df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = (), prefix: str = "run_", bits: int = SEGMENT_BITS
+    df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = (), prefix: str = "run_", bits: Sequence[int] = SEGMENT_BITS
 ) -> DataFrame:
     """Inclusive running sums of integer columns in key order."""
-    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, 0, LEVELS - 1, bits)
+    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, 0, bits)
 
 
 def split_hot_groups(
@@ -107,11 +110,11 @@ def split_hot_groups(
 
 def _grouped(df, by, key, wanted, hot_rows, bits):
     def segmented(part):
-        return _carry(part, by, key, wanted, 0, LEVELS - 1, bits)
+        return _carry(part, by, key, wanted, 0, bits)
 
     if not by:
         return segmented(df)
-    return split_hot_groups(df, by, lambda part: _carry(part, by, key, wanted, 0, 0, bits), segmented, hot_rows)
+    return split_hot_groups(df, by, lambda part: _carry(part, by, key, wanted, 0, ()), segmented, hot_rows)
 
 
 def row_numbers(
@@ -120,7 +123,7 @@ def row_numbers(
     by: Sequence[str] = (),
     name: str = "row_number",
     hot_rows: int = HOT_ROWS,
-    bits: int = SEGMENT_BITS,
+    bits: Sequence[int] = SEGMENT_BITS,
 ) -> DataFrame:
     """1, 2, 3, ... in key order, within each group of `by` or over the whole table."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
@@ -142,7 +145,7 @@ def fill_down(
     by: Sequence[str] = (),
     name: str | None = None,
     hot_rows: int = HOT_ROWS,
-    bits: int = SEGMENT_BITS,
+    bits: Sequence[int] = SEGMENT_BITS,
 ) -> DataFrame:
     """Replace missing values by the last one before them in key order (in place unless `name`)."""
     filled = _grouped(df, by, key, {"_filled": (LAST, column)}, hot_rows, bits)

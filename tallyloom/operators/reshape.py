@@ -62,19 +62,23 @@ def to_long(
     return long.select(*keys, number.alias(code), value)
 
 
-def uncount(rows: DataFrame, weight: str, copy: str = "copy", chunk: int = CHUNK, spread: bool = False) -> DataFrame:
+def uncount(rows: DataFrame, weight: str, copy: str = "copy", chunk: int = CHUNK, spread: bool = True) -> DataFrame:
     """Repeat each row `weight` times, numbering the copies from 1; weights below 1 give no row.
 
-    Copies come in chunks, so a row with a huge weight never builds a huge array. `spread=True`
-    shuffles the chunks first, which shares such a row among tasks.
+    Rows of up to `chunk` copies are expanded where they are. Larger ones are cut into chunks that
+    are shuffled before they are expanded, so one row that stands for a third of the output is
+    shared among tasks. `spread=False` leaves the shuffle out; set it where weights are known small.
     """
-    chunks = F.sequence(F.lit(0).cast("bigint"), F.expr(f"(`{weight}` - 1) div {chunk}"))
-    parts = rows.where(F.col(weight) > 0).withColumn("_chunk", F.explode(chunks))
-    if spread:
-        parts = parts.repartition(*rows.columns, "_chunk")
-    first = F.col("_chunk") * chunk + 1
-    last = F.least(F.col(weight).cast("bigint"), (F.col("_chunk") + 1) * chunk)
-    return parts.withColumn(copy, F.explode(F.sequence(first, last))).drop("_chunk")
+    count = F.col(weight).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    if not spread:
+        return rows.where(count > 0).withColumn(copy, F.explode(F.sequence(one, count)))
+    whole = rows.where((count > 0) & (count <= chunk)).withColumn(copy, F.explode(F.sequence(one, count)))
+    starts = F.sequence(one, count, F.lit(chunk).cast("bigint"))
+    cut = rows.where(count > chunk).withColumn("_start", F.explode(starts)).repartition(*rows.columns, "_start")
+    end = F.least(count, F.col("_start") + (chunk - 1))
+    parts = cut.withColumn(copy, F.explode(F.sequence(F.col("_start"), end))).drop("_start")
+    return whole.unionByName(parts)
 
 
 def members(
@@ -82,7 +86,8 @@ def members(
     keys: Sequence[str],
     codes: Sequence[int] = BAND_CODES,
     prefix: str = "b",
-    spread: bool = False,
+    spread: bool = True,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """One row per member, numbered within the entity in code order: keys, pid, age.
 
@@ -99,7 +104,7 @@ def members(
         ]
     )
     long = matrix.select(*keys, F.inline(cells))
-    return uncount(long, "value", spread=spread).select(
+    return uncount(long, "value", chunk=chunk, spread=spread).select(
         *keys, (F.col("before") + F.col("copy")).alias("pid"), "age"
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..constants import FIRST_BASELINE
 from ..functions.numeric import squared_distance, total
-from .ordered import running_totals
+from .ordered import SEGMENT_BITS, running_totals
 
 PREVIOUS_CANDIDATE = "previous_candidate"
 LAST_ACCEPTED = "last_accepted"
@@ -47,14 +47,14 @@ def drift(
     columns: Sequence[str],
     target: DataFrame | Sequence[float],
     threshold: float = 0.0,
-    **segments: int,
+    bits: Sequence[int] = SEGMENT_BITS,
 ) -> DataFrame:
     """Per entity in key order: members so far, squared error so far, its change, and a flag.
 
     The error before an entity follows from the running totals less its own counts, so no lag over
     the whole table is needed; the running totals themselves are segmented (see `ordered`).
     """
-    running = running_totals(matrix, key, columns, prefix="_run_", **segments)
+    running = running_totals(matrix, key, columns, prefix="_run_", bits=bits)
     now = [F.col(f"_run_{c}") for c in columns]
     before = [F.col(f"_run_{c}") - F.col(c) for c in columns]
     measured = _with_target(running, columns, target).select(
@@ -129,9 +129,9 @@ def greedy_select(
         raise ValueError(f"block must be in 1..{MAX_BLOCK}")
     if baseline not in (PREVIOUS_CANDIDATE, LAST_ACCEPTED):
         raise ValueError(f"unknown baseline: {baseline}")
-    blocks = _with_target(
-        matrix.select(*strata, F.floor(F.col(key) / block).alias("block"), key, *columns), columns, target
-    )
+    placed = matrix.select(*strata, F.floor(F.col(key) / block).alias("block"), key, *columns)
+    # The target joins the rows after their shuffle, so that it is not shuffled with every row.
+    blocks = _with_target(placed.repartition(*strata, "block"), columns, target)
     fields = [blocks.schema[name] for name in (*strata, "block", key)]
     schema = T.StructType([*fields, T.StructField("ss", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     return blocks.groupBy(*strata, "block").applyInPandas(_scan(columns, key, threshold, baseline), schema)

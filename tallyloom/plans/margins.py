@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions.text import bracket_digit, cell_count, coarser, recode, retype
 from ..operators.aggregate import grouped_sum, with_share
 from ..operators.columns import drop_subtotals
-from ..operators.ordered import block_labels, fill_down, row_numbers
+from ..operators.ordered import SHEET_BITS, block_labels, fill_down, row_numbers
 from ..schemas import MEMBER_COLUMNS, SIZE_COLUMNS
 
 
@@ -50,8 +50,8 @@ def type_margin(sheet: DataFrame, block_rows: int = 10, label: str = "sex") -> D
     Kept rows are those of the subtotal over `label` with a real head age; they come in blocks of
     `block_rows`, one block per type.
     """
-    filled = fill_down(sheet, "ord", label).where(F.col(label) == K.SUBTOTAL_LABEL).drop(label)
-    kept = row_numbers(drop_subtotals(filled, ["head_age"]), "ord", name="_row")
+    filled = fill_down(sheet, "ord", label, bits=SHEET_BITS).where(F.col(label) == K.SUBTOTAL_LABEL).drop(label)
+    kept = row_numbers(drop_subtotals(filled, ["head_age"]), "ord", name="_row", bits=SHEET_BITS)
     typed = block_labels(kept, "_row", block_rows, "hh_type").drop("_row", "ord")
     long = typed.unpivot(["head_age", "hh_type"], list(SIZE_COLUMNS), "_size", "_cell")
     tidy = long.select(
@@ -75,7 +75,7 @@ def type_totals(margin: DataFrame) -> DataFrame:
 
 def member_margin(sheet: DataFrame, name: str) -> DataFrame:
     """Share of households with 0..3 such members, given type and size; zero cells are dropped."""
-    filled = drop_subtotals(fill_down(sheet, "ord", "hh_type"), ["hh_size", "hh_type"])
+    filled = drop_subtotals(fill_down(sheet, "ord", "hh_type", bits=SHEET_BITS), ["hh_size", "hh_type"])
     digits = filled.withColumn("hh_type", bracket_digit(F.col("hh_type"))).drop("ord")
     long = digits.unpivot(["hh_type", "hh_size"], list(MEMBER_COLUMNS), name, "_cell")
     size = recode(F.col("hh_size"), {K.OPEN_SIZE_LABEL: str(K.OPEN_SIZE)}, keep_unmatched=True)

@@ -319,7 +319,9 @@ WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)""",
 SELECT hid, n, round(v, 6) AS variance,
   CASE WHEN v IS NULL THEN 'single' WHEN v > 0.5 THEN 'apart' ELSE 'close' END AS kind,
   least(4, greatest(2, n)) AS n_clamped
-FROM (SELECT hid, count(age) AS n, var_samp(age) AS v FROM members GROUP BY hid)""",
+FROM (SELECT hid, count(age) AS n,
+    CAST(count(age) * sum(age * age) - sum(age) * sum(age) AS DOUBLE)
+      / nullif(CAST(count(age) * (count(age) - 1) AS DOUBLE), 0) AS v FROM members GROUP BY hid)""",
     "draw_weighted": with_(
         MEMBERS, HOUSEHOLDS, "dist AS (SELECT age, count(*) AS n FROM members GROUP BY age)"
     )
@@ -411,12 +413,12 @@ SELECT CAST(replicate AS INTEGER) AS replicate, round(ss, 9) AS ss, ss <= 0.0000
     + distance("p", [f"r{a}" for a in CODES])
     + """ AS ss FROM running CROSS JOIN target),
 stepped AS (SELECT *, ss - lag(ss, 1, 100.0::DOUBLE) OVER (ORDER BY hid) AS change FROM scored)
-SELECT hid, n_so_far, round(ss, 9) AS ss, round(change, 9) AS change, change > 0 AS exceeds FROM stepped""",
+SELECT hid, n_so_far, ss, change, change > 0 AS exceeds FROM stepped""",
     "greedy_select": greedy(
-        "0", True, "SELECT stratum, block, hid, round(ss, 9) AS ss, kept FROM scan WHERE rn > 0"
+        "0", True, "SELECT stratum, block, hid, ss, kept FROM scan WHERE rn > 0"
     ),
     "greedy_select_last_accepted": greedy(
-        "0.0001::DOUBLE", False, "SELECT stratum, block, hid, round(ss, 9) AS ss, kept FROM scan WHERE rn > 0"
+        "0.0001::DOUBLE", False, "SELECT stratum, block, hid, ss, kept FROM scan WHERE rn > 0"
     ),
     "acceptance_by_stratum": greedy(
         "0",

@@ -460,9 +460,7 @@ def replicate_fit(spark, sf_dir):
 def drift_monitor(spark, sf_dir):
     matrix = S.roster(spark, sf_dir)
     target = selection.target_shares(matrix, BANDS)
-    return rounded(
-        selection.drift(matrix, "hid", BANDS, target, DRIFT_THRESHOLD), "ss", "change", digits=ERROR_DIGITS
-    )
+    return selection.drift(matrix, "hid", BANDS, target, DRIFT_THRESHOLD)
 
 
 def _selected(spark, sf_dir, **options):
@@ -478,13 +476,12 @@ def _selected(spark, sf_dir, **options):
 
 @register
 def greedy_select(spark, sf_dir):
-    return rounded(_selected(spark, sf_dir), "ss", digits=ERROR_DIGITS)
+    return _selected(spark, sf_dir)
 
 
 @register
 def greedy_select_last_accepted(spark, sf_dir):
-    selected = _selected(spark, sf_dir, threshold=0.0001, baseline=selection.LAST_ACCEPTED)
-    return rounded(selected, "ss", digits=ERROR_DIGITS)
+    return _selected(spark, sf_dir, threshold=0.0001, baseline=selection.LAST_ACCEPTED)
 
 
 @register

@@ -25,12 +25,20 @@ def _code(width: int) -> Column:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per member: hid, age (band 1..9), age5_code (1..17), flag."""
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("hid"),
-        _code(6).alias("age"),
-        _code(3).alias("age5_code"),
-        F.col("l_returnflag").alias("flag"),
+    """One row per member: hid, age (band 1..9), age5_code (1..17), flag.
+
+    The key filter is stated here so that plans with and without a join on hid scan and shuffle
+    alike, and share that shuffle.
+    """
+    return (
+        table(spark, sf_dir, "lineitem")
+        .where(F.col("l_orderkey").isNotNull())
+        .select(
+            F.col("l_orderkey").alias("hid"),
+            _code(6).alias("age"),
+            _code(3).alias("age5_code"),
+            F.col("l_returnflag").alias("flag"),
+        )
     )
 
 
