@@ -257,34 +257,42 @@ def _type_counts(spark, sf_dir, matrix):
     return aggregate.grouped_count(typed, ["hh_type"])
 
 
-def _reports(spark, sf_dir):
-    population, sample = _pair(spark, sf_dir)
-    types = [_type_counts(spark, sf_dir, matrix) for matrix in (population, sample)]
-    return {
-        "hh_size": fit.margin_fit(fit.size_counts(population), fit.size_counts(sample), "hh_size"),
-        "age": fit.margin_fit(fit.band_counts(population), fit.band_counts(sample), "age"),
-        "hh_type": fit.margin_fit(*types, "hh_type"),
-    }
+def _size_report(spark, sf_dir):
+    return fit.margin_fit(*[fit.size_counts(matrix) for matrix in _pair(spark, sf_dir)], "hh_size")
+
+
+def _band_report(spark, sf_dir):
+    return fit.margin_fit(*[fit.band_counts(matrix) for matrix in _pair(spark, sf_dir)], "age")
+
+
+def _type_report(spark, sf_dir):
+    counts = [_type_counts(spark, sf_dir, matrix) for matrix in _pair(spark, sf_dir)]
+    return fit.margin_fit(*counts, "hh_type")
 
 
 @register
 def fit_size(spark, sf_dir):
-    return rounded(_reports(spark, sf_dir)["hh_size"], "p_pop", "p_sample")
+    return rounded(_size_report(spark, sf_dir), "p_pop", "p_sample")
 
 
 @register
 def fit_band(spark, sf_dir):
-    return rounded(_reports(spark, sf_dir)["age"], "p_pop", "p_sample")
+    return rounded(_band_report(spark, sf_dir), "p_pop", "p_sample")
 
 
 @register
 def fit_type(spark, sf_dir):
-    return rounded(_reports(spark, sf_dir)["hh_type"], "p_pop", "p_sample")
+    return rounded(_type_report(spark, sf_dir), "p_pop", "p_sample")
 
 
 @register
 def fit_errors(spark, sf_dir):
-    return rounded(fit.fit_summary(_reports(spark, sf_dir)), "ss", digits=ERROR_DIGITS)
+    reports = {
+        "hh_size": _size_report(spark, sf_dir),
+        "age": _band_report(spark, sf_dir),
+        "hh_type": _type_report(spark, sf_dir),
+    }
+    return rounded(fit.fit_summary(reports), "ss", digits=ERROR_DIGITS)
 
 
 def _by_size(spark, sf_dir):
