@@ -1,22 +1,32 @@
 """Random numbers that are a function of the row's key.
 
 A generator with state gives a row a different number whenever partitioning, task retry or the
-cluster size changes. These numbers depend on (key, salt, seed) only, so a lost executor or a
-repartition reproduces exactly the same draws, and any SQL engine with md5 can replay them.
+cluster size changes. These numbers depend on (keys, salt, seed) only, so a lost executor or a
+repartition reproduces exactly the same draws. xxHash64 is a few arithmetic steps inside generated
+code, and any SQL engine with 128-bit integers can replay it.
 """
 
 from math import pi
+from zlib import crc32
 
 from pyspark.sql import Column, functions as F
 
-RESOLUTION = 4294967296.0  # 2**32
+# 48 bits: the largest number times any total still stays below that total in a double.
+BITS = 48
+
+
+def stream(salt: str, seed: int) -> int:
+    """The whole number that tells one stream of numbers from another."""
+    return crc32(f"{salt}|{seed}".encode())
 
 
 def uniform(*keys: Column | str, salt: str, seed: int = 0) -> Column:
-    """A number in [0, 1) from the first 32 bits of md5(key|..|salt|seed)."""
+    """A number in [0, 1) from the upper 48 bits of the row's hash. Keys are whole numbers."""
     parts = [F.col(key) if isinstance(key, str) else key for key in keys]
-    text = F.concat_ws("|", *[part.cast("string") for part in parts], F.lit(salt), F.lit(str(seed)))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint") / F.lit(RESOLUTION)
+    hashed = F.xxhash64(
+        *[part.cast("bigint") for part in parts], F.lit(stream(salt, seed)).cast("bigint")
+    )
+    return F.shiftrightunsigned(hashed, 64 - BITS) / F.lit(float(2**BITS))
 
 
 def normal(*keys: Column | str, mean: float, sd: float, salt: str, seed: int = 0) -> Column:

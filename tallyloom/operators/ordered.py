@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .columns import join_back
 
 SEGMENT_BITS = (20, 22)
-# A published sheet has at most 2**20 rows, so it is one segment.
-SHEET_BITS = (20,)
+# A spreadsheet holds at most 2**20 rows, so a published sheet takes a single window.
+SHEET_BITS = ()
 HOT_ROWS = 1_000_000
 
 SUM = "sum"

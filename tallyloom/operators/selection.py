@@ -5,7 +5,8 @@ Both read a wide roster (one row per entity, integer counts per code) with a uni
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
@@ -70,7 +71,7 @@ def drift(
 
 def _scan(
     columns: Sequence[str], key: str, threshold: float, baseline: str
-) -> Callable[[pd.DataFrame], pd.DataFrame]:
+) -> Callable[[pa.Table], pa.Table]:
     """The sequential pass over one block; options are bound here, not as default arguments."""
 
     def steps(counts: list[list[int]], target: list[float]) -> Iterator[tuple[float, bool]]:
@@ -92,13 +93,15 @@ def _scan(
                 reference = error
             yield error, keep
 
-    def scan(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values(key)
-        done = list(steps(block[list(columns)].to_numpy().tolist(), list(block["_target"].iloc[0])))
-        out = block.drop(columns=[*columns, "_target"])
-        out["ss"] = [error for error, _ in done]
-        out["kept"] = [keep for _, keep in done]
-        return out
+    def scan(block: pa.Table) -> pa.Table:
+        block = block.take(np.argsort(block[key].to_numpy(), kind="stable"))
+        counts = np.column_stack([block[column].to_numpy() for column in columns]).tolist()
+        done = list(steps(counts, block["_target"][0].as_py()))
+        return (
+            block.drop_columns([*columns, "_target"])
+            .append_column("ss", pa.array([error for error, _ in done], pa.float64()))
+            .append_column("kept", pa.array([keep for _, keep in done], pa.bool_()))
+        )
 
     return scan
 
@@ -134,7 +137,7 @@ def greedy_select(
     blocks = _with_target(placed.repartition(*strata, "block"), columns, target)
     fields = [blocks.schema[name] for name in (*strata, "block", key)]
     schema = T.StructType([*fields, T.StructField("ss", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return blocks.groupBy(*strata, "block").applyInPandas(_scan(columns, key, threshold, baseline), schema)
+    return blocks.groupBy(*strata, "block").applyInArrow(_scan(columns, key, threshold, baseline), schema)
 
 
 def acceptance(selected: DataFrame, strata: Sequence[str], flag: str = "kept") -> DataFrame:

@@ -1,5 +1,7 @@
-import hashlib
+import struct
+import zlib
 
+import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.constants import HEAD_LABELS
@@ -44,9 +46,19 @@ def test_numbers(spark):
 
 
 def test_uniform_is_the_documented_hash(spark):
-    keys = [1, 2, 10**12]
-    drawn = _column(spark, keys, "BIGINT", lambda c: uniform(c, salt="s", seed=3))
-    assert drawn == [int(hashlib.md5(f"{k}|s|3".encode()).hexdigest()[:8], 16) / 2**32 for k in keys]
+    keys = [1, 2, -5, 10**12]
+    drawn = _column(spark, keys, "BIGINT", lambda c: uniform(c, c + 1, salt="s", seed=3))
+    for key, number in zip(keys, drawn):
+        state = 42
+        for part in (key, key + 1, zlib.crc32(b"s|3")):
+            state = xxhash.xxh64(struct.pack("<q", part), seed=state).intdigest()
+        assert number == (state >> 16) / 2**48
+
+
+def test_largest_number_stays_below_any_total():
+    largest = (2**48 - 1) / 2**48
+    for total in (1, 3, 335, 2**31 - 1, 10**15 + 7, 2**53, 2**62 + 12345):
+        assert largest * float(total) < float(total)
 
 
 def test_normal_has_the_stated_moments(spark):

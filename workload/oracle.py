@@ -4,6 +4,8 @@ They are written from the member rows with SQL's own means (sorted lists, window
 rather than as a copy of the Spark plans, so that agreement means something.
 """
 
+from tallyloom.functions.uniform import BITS, stream
+
 CODES = range(1, 10)
 
 MEMBERS = """members AS (
@@ -56,11 +58,47 @@ PURCHASES = """SELECT event_id, user_id,
   CASE WHEN event_type = 'purchase' THEN value END AS v FROM events"""
 
 
-def uniform(key: str, salt: str, seed: int = 1) -> str:
-    return (
-        f"(('0x' || substr(md5(concat_ws('|', {key}, '{salt}', '{seed}')), 1, 8))::BIGINT"
-        " / 4294967296.0::DOUBLE)"
-    )
+# The primes of xxHash64, and the seed the hash starts from.
+P1, P2, P3, P4, P5 = (
+    0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5,
+)
+HASH_SEED = 42
+MASK = f"{2**64 - 1}::UHUGEINT"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """Name a value so that it is computed once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def times(value: str, prime: int) -> str:
+    return f"((({value}) * {prime}::UHUGEINT) & {MASK})"
+
+
+def rotated(name: str, bits: int) -> str:
+    return f"((({name} * {2**bits}::UHUGEINT) & {MASK}) + ({name} >> {64 - bits}))"
+
+
+def folded(name: str, bits: int) -> str:
+    return f"xor({name}, {name} >> {bits})"
+
+
+def hashed(keys: list[str]) -> str:
+    """xxHash64 of whole numbers that are not negative, each one seeded by the hash before it."""
+    state = f"{HASH_SEED}::UHUGEINT"
+    for key in keys:
+        lane = let(times(f"({key})::UHUGEINT", P2), "a", times(rotated("a", 31), P1))
+        state = f"xor(({state} + {(P5 + 8) % 2**64}::UHUGEINT) & {MASK}, {lane})"
+        state = let(state, "b", f"({times(rotated('b', 27), P1)} + {P4}::UHUGEINT) & {MASK}")
+        state = let(state, "c", times(folded("c", 33), P2))
+        state = let(state, "d", times(folded("d", 29), P3))
+        state = let(state, "e", folded("e", 32))
+    return state
+
+
+def uniform(keys: str, salt: str, seed: int = 1) -> str:
+    text = hashed([*keys.split(", "), str(stream(salt, seed))])
+    return f"(({text} >> {64 - BITS})::BIGINT / {float(2**BITS)!r}::DOUBLE)"
 
 
 def normal(key: str, mean: float, sd: float, salt: str, seed: int = 1) -> str:
@@ -332,16 +370,17 @@ FROM (SELECT hid, count(age) AS n,
     )
     + ",\nrows AS (SELECT hid, head_age, hh_size FROM sized),\n"
     + drawn("rows", "typed", ("hh_size", "head_age"), "hh_type", uniform("hid", "type")),
-    "draw_fixed": f"""SELECT o_orderkey AS hid,
-  {pick({7: 97, 8: 124, 9: 114}, uniform("o_orderkey", "elder"))} AS age FROM orders""",
+    "draw_fixed": f"""SELECT hid, {pick({7: 97, 8: 124, 9: 114}, "u")} AS age
+FROM (SELECT o_orderkey AS hid, {uniform("o_orderkey", "elder")} AS u FROM orders)""",
     "draw_bernoulli": f"""SELECT o_orderkey AS hid,
   CAST({uniform("o_orderkey", "gap")} < 0.25::DOUBLE AS INTEGER) AS gap FROM orders""",
     "draw_normal": f"""SELECT o_orderkey AS hid,
   least(9, greatest(2, CAST(round({normal("o_orderkey", 3.0, 1.0, "birth")}) AS INTEGER))) AS age FROM orders""",
     "draw_repeat": f"""SELECT hid, count(*) FILTER (age = 7) AS b7, count(*) FILTER (age = 8) AS b8,
   count(*) FILTER (age = 9) AS b9
-FROM (SELECT hid, {pick({7: 1, 8: 2, 9: 2}, uniform("hid, copy", "elders"))} AS age
-      FROM (SELECT o_orderkey AS hid, unnest(range(1, o_orderkey % 4 + 1)) AS copy FROM orders)) GROUP BY hid""",
+FROM (SELECT hid, {pick({7: 1, 8: 2, 9: 2}, "u")} AS age
+      FROM (SELECT hid, {uniform("hid, copy", "elders")} AS u
+            FROM (SELECT o_orderkey AS hid, unnest(range(1, o_orderkey % 4 + 1)) AS copy FROM orders))) GROUP BY hid""",
     "dist_joint": with_(*SIZED_BASE, MEMBER_SHARES.format(name="child"), MEMBER_SHARES.format(name="elder"))
     + """,
 pairs AS (
@@ -370,8 +409,8 @@ FROM coarse, (SELECT unnest([8, 9]) AS fine) WHERE age = 8""",
   CASE WHEN head_age IN ('0 - 24', '25 - 29') THEN 3 WHEN head_age IN ('30 - 34', '35 - 39') THEN 4
        WHEN head_age IN ('40 - 44', '45 - 49') THEN 5 WHEN head_age IN ('50 - 54', '55 - 59') THEN 6
        WHEN head_age = '60 - 64' THEN 7
-       ELSE {pick({7: 97, 8: 124, 9: 114}, uniform("hid", "head"))} END AS head_code
-FROM (SELECT o_orderkey AS hid,
+       ELSE {pick({7: 97, 8: 124, 9: 114}, "u")} END AS head_code
+FROM (SELECT o_orderkey AS hid, {uniform("o_orderkey", "head")} AS u,
   ['0 - 24', '25 - 29', '30 - 34', '35 - 39', '40 - 44', '45 - 49', '50 - 54', '55 - 59', '60 - 64', '65+'][o_custkey % 10 + 1]
   AS head_age FROM orders)""",
     "derived_age": f"""SELECT hid, head, partner,

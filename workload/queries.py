@@ -154,7 +154,7 @@ def margin_type_from_sheet(spark, sf_dir):
 
 @register
 def margin_head_given_size(spark, sf_dir):
-    counted = aggregate.grouped_count(S.sized_households(spark, sf_dir), ["hh_size", "head_age"])
+    counted = aggregate.grouped_sum(S.household_cells(spark, sf_dir), ["hh_size", "head_age"], "n")
     return rounded(aggregate.with_share(counted, by=["hh_size"], small=True))
 
 

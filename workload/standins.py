@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom import constants as K
 from tallyloom.functions.numeric import open_top
+from tallyloom.operators.aggregate import grouped_sum
 from tallyloom.operators.reshape import count_matrix, member_total, to_long
 
 SCHEMAS = {
@@ -75,10 +76,24 @@ def sized_households(spark: SparkSession, sf_dir: str, how: str = "inner") -> Da
     return households(spark, sf_dir).join(counts, "hid", how)
 
 
+def household_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Households counted by every attribute the margins use: at most a few thousand rows.
+
+    All margins are sums of these cells, so queries that need several of them join and aggregate
+    the tables once and share that shuffle.
+    """
+    return (
+        sized_households(spark, sf_dir)
+        .withColumn("sex", F.when(F.col("worth") < 250000, "Lower").otherwise("Upper"))
+        .groupBy("hh_type", "sex", "head_age", "hh_size", "child", "elder")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Households per size class, head and type, absent types as 0."""
     wide = count_matrix(
-        sized_households(spark, sf_dir), ["hh_size", "head_age"], "hh_type", TYPE_CODES, prefix="t"
+        household_cells(spark, sf_dir), ["hh_size", "head_age"], "hh_type", TYPE_CODES, weight="n", prefix="t"
     )
     return to_long(
         wide, ["hh_size", "head_age"], TYPE_CODES, "t", positive=False, code="hh_type", value="n"
@@ -87,11 +102,7 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def member_counts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Households per type, size class and number of `name` members."""
-    return (
-        sized_households(spark, sf_dir)
-        .groupBy("hh_type", "hh_size", name)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return grouped_sum(household_cells(spark, sf_dir), ["hh_type", "hh_size", name], "n")
 
 
 def _printed(cell: Column) -> Column:
@@ -101,10 +112,10 @@ def _printed(cell: Column) -> Column:
 def type_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A published sheet: blocks of type, group and head with subtotals, block labels on the first
     row only, sizes as columns, dashes for zero."""
-    grouped = sized_households(spark, sf_dir).withColumn(
-        "sex", F.when(F.col("worth") < 250000, "Lower").otherwise("Upper")
+    households_counted = household_cells(spark, sf_dir)
+    cells = count_matrix(
+        households_counted, ["hh_type", "sex", "head_age"], "hh_size", SIZE_CLASSES, weight="n", prefix="s"
     )
-    cells = count_matrix(grouped, ["hh_type", "sex", "head_age"], "hh_size", SIZE_CLASSES, prefix="s")
     sums = cells.groupingSets(
         [["hh_type", "sex", "head_age"], ["hh_type", "sex"], ["hh_type", "head_age"], ["hh_type"]],
         "hh_type",
@@ -135,7 +146,7 @@ def type_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A published sheet of households by type, size and number of `name` members."""
     cells = count_matrix(
-        sized_households(spark, sf_dir), ["hh_type", "hh_size"], name, range(4), prefix="k"
+        household_cells(spark, sf_dir), ["hh_type", "hh_size"], name, range(4), weight="n", prefix="k"
     )
     sums = cells.rollup("hh_type", "hh_size").agg(
         F.grouping("hh_type").alias("_all_type"),
