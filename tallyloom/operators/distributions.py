@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import recode
 from .aggregate import with_share
+from .columns import join_back
 
 
 def joint(
@@ -16,9 +17,7 @@ def joint(
     The same law as redrawing both until `allowed` holds, without the loop. Outcomes are codes of
     fixed categories (counts 0..3 in census tables), so a key has a fixed number of pairs.
     """
-    right = second.withColumnRenamed(p, "_p2")
-    right = F.broadcast(right) if small else right
-    pairs = first.join(right, list(keys)).where(allowed)
+    pairs = join_back(first, second.withColumnRenamed(p, "_p2"), keys, "inner", small=small).where(allowed)
     product = pairs.withColumn("_pp", F.col(p) * F.col("_p2")).drop(p, "_p2")
     return with_share(product, "_pp", keys, name=p, small=small).drop("_pp")
 

@@ -3,8 +3,8 @@
 The order is always a BIGINT column that is unique within its group. That gives a proven bound
 without looking at the data: rows whose keys agree above the lowest b bits number at most 2**b. Work
 is done inside such segments; their totals are carried forward inside segments of segments. With the
-default SEGMENT_BITS a window sees at most 2**20 rows, and at most 2**22 segment totals on either of
-the two levels above, for any 64-bit key and however large a group is.
+default SEGMENT_BITS a window sees at most 2**18 rows, and on the two levels above at most 2**22 and
+2**24 segment totals, for any 64-bit key and however large a group is.
 """
 
 from collections.abc import Callable, Mapping, Sequence
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import join_back
 
-SEGMENT_BITS = (20, 22)
+SEGMENT_BITS = (18, 22)
 # A spreadsheet holds at most 2**20 rows, so a published sheet takes a single window.
 SHEET_BITS = ()
 HOT_ROWS = 1_000_000

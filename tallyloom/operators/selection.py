@@ -74,29 +74,29 @@ def _scan(
 ) -> Callable[[pa.Table], pa.Table]:
     """The sequential pass over one block; options are bound here, not as default arguments."""
 
-    def steps(counts: list[list[int]], target: list[float]) -> Iterator[tuple[float, bool]]:
-        kept = [0] * len(target)
+    def steps(counts: list[list[int]], sizes: list[int], target: list[float]) -> Iterator[tuple[float, bool]]:
+        kept, kept_size = [0] * len(target), 0
         reference = FIRST_BASELINE
-        for row in counts:
-            tried = [a + b for a, b in zip(kept, row)]
-            whole = sum(tried)
-            error = FIRST_BASELINE
+        for row, size in zip(counts, sizes):
+            whole = kept_size + size
+            error = 0.0 if whole else FIRST_BASELINE
             if whole:
-                error = 0.0
-                for wanted, count in zip(target, tried):
-                    gap = wanted - count / whole
+                for wanted, before, added in zip(target, kept, row):
+                    gap = wanted - (before + added) / whole
                     error += gap * gap
             keep = not error - reference > threshold
             if keep:
-                kept = tried
+                kept = [before + added for before, added in zip(kept, row)]
+                kept_size = whole
             if keep or baseline == PREVIOUS_CANDIDATE:
                 reference = error
             yield error, keep
 
     def scan(block: pa.Table) -> pa.Table:
         block = block.take(np.argsort(block[key].to_numpy(), kind="stable"))
-        counts = np.column_stack([block[column].to_numpy() for column in columns]).tolist()
-        done = list(steps(counts, block["_target"][0].as_py()))
+        counts = np.column_stack([block[column].to_numpy() for column in columns])
+        target = block["_target"][0].as_py()
+        done = list(steps(counts.tolist(), counts.sum(axis=1).tolist(), target))
         return (
             block.drop_columns([*columns, "_target"])
             .append_column("ss", pa.array([error for error, _ in done], pa.float64()))

@@ -458,8 +458,9 @@ def coverage(spark, sf_dir):
 def replicate_fit(spark, sf_dir):
     keys = S.households(spark, sf_dir).select("hid")
     dist = fit.size_counts(S.roster(spark, sf_dir))
+    # Distinct sizes number at most the square root of twice the member count.
     fitted = draws.replicate_fit(
-        keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1
+        keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1, small=True
     )
     return rounded(fitted, "ss", digits=ERROR_DIGITS)
 
