@@ -44,10 +44,9 @@ def with_share(
 
 
 def zero_filled(df: DataFrame, domain: DataFrame, keys: Sequence[str], value: str = "n") -> DataFrame:
-    """One row per domain member; members that were not counted get 0."""
-    return join_back(domain.select(*keys), df.select(*keys, value), keys).withColumn(
-        value, F.coalesce(F.col(value), F.lit(0).cast("bigint"))
-    )
+    """Counts with a 0 for every domain member that was not counted; counts outside it are kept."""
+    zeros = domain.select(*keys, F.lit(0).cast("bigint").alias(value))
+    return grouped_sum(df.select(*keys, value).unionByName(zeros), keys, value)
 
 
 def code_domain(df: DataFrame, first: int, last: int, name: str) -> DataFrame:

@@ -15,30 +15,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.numeric import clamp
 from ..functions.uniform import normal, uniform
 from .aggregate import grouped_sum
+from .columns import join_back
+from .ordered import running_totals
 from .reshape import count_matrix, uncount
 
 CELLS = 64
+WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
-def intervals(dist: DataFrame, outcome: str, weight: str, keys: Sequence[str] = ()) -> DataFrame:
+def intervals(
+    dist: DataFrame, outcome: str, weight: str, keys: Sequence[str] = (), small: bool = False
+) -> DataFrame:
     """Cumulative interval [lo, hi) of `total` for each outcome with a positive weight.
 
-    A distribution holds one row per (keys, outcome); its outcomes are the codes of one category.
+    A distribution holds one row per (keys, outcome). A small one takes a plain window per key.
+    Otherwise the running totals follow the outcome code in bounded segments of the code range, so
+    that a key with very many outcomes is not one task; label outcomes are a category of their own
+    and always take the window.
     """
-    group = Window.partitionBy(*keys)
-    upto = group.orderBy(outcome).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        dist.where(F.col(weight) > 0)
-        .select(
-            *keys,
-            outcome,
-            F.col(weight).alias("_weight"),
-            F.sum(weight).over(upto).alias("hi"),
+    positive = dist.where(F.col(weight) > 0).select(*keys, outcome, F.col(weight).alias("_weight"))
+    if small or dict(dist.dtypes)[outcome] not in WHOLE_NUMBERS:
+        group = Window.partitionBy(*keys)
+        upto = group.orderBy(outcome).rowsBetween(Window.unboundedPreceding, 0)
+        summed = positive.withColumn("hi", F.sum("_weight").over(upto)).withColumn(
+            "total", F.max("hi").over(group)
         )
-        .withColumn("lo", F.col("hi") - F.col("_weight"))
-        .withColumn("total", F.max("hi").over(group))
-        .drop("_weight")
-    )
+    else:
+        coded = positive.withColumn("_code", F.col(outcome).cast("bigint"))
+        running = running_totals(coded, "_code", ["_weight"], by=keys).withColumnRenamed("run__weight", "hi")
+        whole = F.sum("_weight").alias("total")
+        if keys:
+            summed = join_back(running, positive.groupBy(*keys).agg(whole), keys)
+        else:
+            summed = running.withColumn("total", positive.agg(whole).scalar())
+    return summed.select(*keys, outcome, (F.col("hi") - F.col("_weight")).alias("lo"), "hi", "total")
 
 
 def draw(
@@ -61,7 +71,7 @@ def draw(
     # the interval test below decides.
     first = F.greatest(F.lit(0), F.floor(F.col("lo") * cells / F.col("total")).cast("int") - 1)
     last = F.least(F.lit(cells - 1), F.ceil(F.col("hi") * cells / F.col("total")).cast("int"))
-    listed = intervals(dist, outcome, weight, keys).select(
+    listed = intervals(dist, outcome, weight, keys, small).select(
         *[F.col(key).alias(f"_d_{key}") for key in keys],
         F.col(outcome).alias("_outcome"),
         "lo",
@@ -150,12 +160,15 @@ def replicate_fit(
         .groupBy("replicate", outcome)
         .agg(F.sum("_wanted").alias("_wanted"), F.sum("_drawn").alias("_drawn"))
     )
-    per_replicate = Window.partitionBy("replicate")
-    gap = F.col("_drawn") / F.sum("_drawn").over(per_replicate) - F.col("_wanted") / F.sum(
-        "_wanted"
-    ).over(per_replicate)
+    # One pair of totals per replicate, read from the same columns as the counts so that both share
+    # their shuffle.
+    wholes = stacked.groupBy("replicate").agg(
+        F.sum("_drawn").alias("_all_drawn"), F.sum("_wanted").alias("_all_wanted")
+    )
+    gap = F.col("_drawn") / F.col("_all_drawn") - F.col("_wanted") / F.col("_all_wanted")
     scored = (
-        stacked.withColumn("_gap", gap)
+        join_back(stacked, wholes, ["replicate"], small=True)
+        .withColumn("_gap", gap)
         .groupBy("replicate")
         .agg(F.sum(F.col("_gap") * F.col("_gap")).alias("ss"))
     )

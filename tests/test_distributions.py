@@ -78,6 +78,9 @@ def test_zero_fill_and_coverage(spark):
     seen = spark.createDataFrame([(1, 4), (3, 2)], "c INT, n BIGINT")
     domain = spark.createDataFrame([(c,) for c in range(1, 5)], "c INT")
     assert {tuple(r) for r in zero_filled(seen, domain, ["c"]).collect()} == {(1, 4), (2, 0), (3, 2), (4, 0)}
+    beyond = spark.createDataFrame([(9, 1), (None, 2)], "c INT, n BIGINT")
+    kept = {tuple(r) for r in zero_filled(beyond, domain.where("c < 2"), ["c"]).collect()}
+    assert kept == {(1, 0), (9, 1), (None, 2)}
     # Gaps in the middle are found, not only a missing top code.
     assert sorted(r.c for r in never_seen(domain, seen, ["c"]).collect()) == [2, 4]
 

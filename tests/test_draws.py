@@ -52,6 +52,14 @@ def test_many_outcomes_without_a_key(spark):
     assert all(r.code == _reference(table, "", r.u) for r in got)
 
 
+def test_label_outcomes(spark):
+    dist = spark.createDataFrame([("x", 1), ("y", 3)], "code STRING, n BIGINT")
+    for small in (True, False):
+        drawn = draws.draw(spark.range(400), dist, "code", "n", uniform("id", salt="t"), small=small)
+        got = drawn.withColumn("u", uniform("id", salt="t")).collect()
+        assert len(got) == 400 and all(r.code == ("x" if r.u < 0.25 else "y") for r in got)
+
+
 def test_does_not_depend_on_partitioning(spark):
     dist = [("a", 1, 3), ("a", 2, 4), ("b", 3, 1)]
     rows = _rows(spark, 500)

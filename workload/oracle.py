@@ -267,7 +267,8 @@ SELECT * FROM (
   round(count(*) / sum(count(*)) OVER (), 6) AS p FROM matrix GROUP BY ALL""",
     "sizes_zero_filled": BASE
     + """SELECT CAST(d.s AS INTEGER) AS hh_size, count(m.hid) AS n
-FROM (SELECT unnest(range(1, 21)) AS s) d LEFT JOIN matrix m ON m.hh_size = d.s GROUP BY d.s""",
+FROM (SELECT unnest(range(1, 21)) AS s UNION SELECT hh_size FROM matrix) d
+LEFT JOIN matrix m ON m.hh_size = d.s GROUP BY d.s""",
     "size_by_band1_margins": BASE
     + "SELECT coalesce(CAST(least(hh_size, 6) AS VARCHAR), 'Sum') AS hh_size, "
     + ", ".join(f"count(*) FILTER (least(b1, 6) = {k}) AS c{k}" for k in range(7))
