@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import TOTAL_LABEL
 from .columns import join_back
@@ -22,16 +22,22 @@ def with_share(
     by: Sequence[str] = (),
     name: str = "p",
     guarded: bool = False,
+    tiny: bool = False,
     small: bool = False,
 ) -> DataFrame:
     """Add each row's share of its group's total, or of the grand total without `by`.
 
-    Totals are aggregated (with partial sums) and joined back, so a group with a third of the rows
-    is not pulled into one task as a window would do. The grand total is a scalar subquery: no
-    cross join. `guarded` gives 0 where the value is not positive; otherwise a total of 0 gives
-    NULL. `small=True` broadcasts the totals: set it where the number of groups has a fixed bound.
+    `tiny=True` is for tables of counted categories, whose rows have a fixed bound: one window, one
+    pass over whatever made the table. Otherwise totals are aggregated with partial sums and joined
+    back (the grand total is a scalar subquery, so there is no cross join), and a group with a
+    third of the rows is not pulled into one task. `small=True` broadcasts those totals: set it
+    where the number of groups has a fixed bound.
+
+    `guarded` gives 0 where the value is not positive; otherwise a total of 0 gives NULL.
     """
-    if by:
+    if tiny:
+        wide, whole = df, F.sum(value).over(Window.partitionBy(*by))
+    elif by:
         totals = df.groupBy(*by).agg(F.sum(value).alias("_whole"))
         wide = join_back(df, totals, by, small=small)
         whole = F.col("_whole")

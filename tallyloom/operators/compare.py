@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .columns import join_back
 
@@ -29,13 +29,22 @@ def fit_report(
     category: str,
     by: Sequence[str] = (),
     digits: int = 4,
-    small: bool = False,
+    tiny: bool = False,
 ) -> DataFrame:
-    """Population share, sample share and rounded difference per category (within `by`)."""
+    """Population share, sample share and rounded difference per category (within `by`).
+
+    `tiny=True` is for categories with a fixed bound, as in `with_share`.
+    """
     both = paired(population, sample, [*by, category])
     wholes = [F.sum("n_pop").alias("pop"), F.sum("n_sample").alias("sample")]
-    if by:
-        joined = join_back(both, both.groupBy(*by).agg(F.struct(*wholes).alias("_whole")), by, small=small)
+    if tiny:
+        group = Window.partitionBy(*by)
+        joined = both.withColumn(
+            "_whole",
+            F.struct(F.sum("n_pop").over(group).alias("pop"), F.sum("n_sample").over(group).alias("sample")),
+        )
+    elif by:
+        joined = join_back(both, both.groupBy(*by).agg(F.struct(*wholes).alias("_whole")), by)
     else:
         # One subquery for both totals reads the same columns as the report, so it reuses its shuffles.
         joined = both.withColumn("_whole", both.agg(F.struct(*wholes)).scalar())

@@ -1,4 +1,7 @@
-"""Operators on distributions: tables of (keys, outcome, p)."""
+"""Operators on distributions: tables of (keys, outcome, p).
+
+`small=True`, the default, says that keys and outcomes are category codes with a fixed bound.
+"""
 
 from collections.abc import Mapping, Sequence
 
@@ -19,7 +22,7 @@ def joint(
     """
     pairs = join_back(first, second.withColumnRenamed(p, "_p2"), keys, "inner", small=small).where(allowed)
     product = pairs.withColumn("_pp", F.col(p) * F.col("_p2")).drop(p, "_p2")
-    return with_share(product, "_pp", keys, name=p, small=small).drop("_pp")
+    return with_share(product, "_pp", keys, name=p, tiny=small).drop("_pp")
 
 
 def exclude(
@@ -27,7 +30,7 @@ def exclude(
 ) -> DataFrame:
     """Drop outcomes by rule and renormalise within each key."""
     kept = dist.where(~F.coalesce(excluded, F.lit(False))).withColumnRenamed(p, "_p")
-    return with_share(kept, "_p", keys, name=p, small=small).drop("_p")
+    return with_share(kept, "_p", keys, name=p, tiny=small).drop("_p")
 
 
 def rebin(
@@ -42,7 +45,7 @@ def rebin(
     """Map outcomes to coarser codes (a table or an expression), add up, renormalise by key."""
     coarse = codes if isinstance(codes, Column) else recode(F.col(outcome), codes)
     summed = dist.groupBy(*keys, coarse.alias(name)).agg(F.sum(p).alias("_p"))
-    return with_share(summed, "_p", keys, name=p, small=small).drop("_p")
+    return with_share(summed, "_p", keys, name=p, tiny=small).drop("_p")
 
 
 def split(

@@ -27,14 +27,14 @@ def band_counts_by_size(matrix: DataFrame) -> DataFrame:
 
 def margin_fit(population: DataFrame, sample: DataFrame, category: str) -> DataFrame:
     """Shares side by side with the difference rounded as the category calls for."""
-    return fit_report(population, sample, category, digits=DIGITS[category])
+    return fit_report(population, sample, category, digits=DIGITS[category], tiny=True)
 
 
 def band_fit_by_size(population: DataFrame, sample: DataFrame) -> DataFrame:
     """Band shares side by side within each household size. Sizes without members on a side have
     no shares there. The number of distinct sizes is at most the square root of twice the member
-    count, which keeps the per-size totals small."""
-    return fit_report(population, sample, "age", by=["hh_size"], small=True)
+    count, which bounds the table."""
+    return fit_report(population, sample, "age", by=["hh_size"], tiny=True)
 
 
 def fit_summary(reports: dict[str, DataFrame]) -> DataFrame:

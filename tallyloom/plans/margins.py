@@ -18,7 +18,7 @@ from ..schemas import MEMBER_COLUMNS, SIZE_COLUMNS
 
 def band_margin(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Persons and share per ten-year band, overall or within `by`."""
-    return with_share(grouped_sum(counts, [*by, "age"], "n"), by=by, small=True)
+    return with_share(grouped_sum(counts, [*by, "age"], "n"), by=by, tiny=True)
 
 
 def band_pairs_margin(counts: DataFrame, code5: str = "age5_code") -> DataFrame:
@@ -28,7 +28,7 @@ def band_pairs_margin(counts: DataFrame, code5: str = "age5_code") -> DataFrame:
 
 def size_margin(counts: DataFrame) -> DataFrame:
     """Share of each household size."""
-    return with_share(counts).select("hh_size", "p")
+    return with_share(counts, tiny=True).select("hh_size", "p")
 
 
 def head_margin(sheet: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def head_margin(sheet: DataFrame) -> DataFrame:
         recode(F.col("head_age"), codes).alias("head_code"),
         "n",
     )
-    return with_share(tidy, by=["hh_size"], small=True)
+    return with_share(tidy, by=["hh_size"], tiny=True)
 
 
 def type_margin(sheet: DataFrame, block_rows: int = 10, label: str = "sex") -> DataFrame:
@@ -65,12 +65,12 @@ def type_margin(sheet: DataFrame, block_rows: int = 10, label: str = "sex") -> D
 
 def conditional_type_share(counts: DataFrame) -> DataFrame:
     """Add the guarded share of each type within head age and size (also the data of a stacked chart)."""
-    return with_share(counts, by=["head_age", "hh_size"], guarded=True, small=True)
+    return with_share(counts, by=["head_age", "hh_size"], guarded=True, tiny=True)
 
 
 def type_totals(margin: DataFrame) -> DataFrame:
     """Households and share per type."""
-    return with_share(grouped_sum(margin, ["hh_type"], "n"))
+    return with_share(grouped_sum(margin, ["hh_type"], "n"), tiny=True)
 
 
 def member_margin(sheet: DataFrame, name: str) -> DataFrame:
@@ -90,4 +90,4 @@ def member_margin(sheet: DataFrame, name: str) -> DataFrame:
 
 def member_count_share(counts: DataFrame) -> DataFrame:
     """Positive cells with their share within type and size."""
-    return with_share(counts.where(F.col("n") > 0), by=["hh_type", "hh_size"], guarded=True, small=True)
+    return with_share(counts.where(F.col("n") > 0), by=["hh_type", "hh_size"], guarded=True, tiny=True)

@@ -78,7 +78,7 @@ def compare_populations(rosters: Mapping[str, DataFrame], key: str, code: str) -
 def size_distribution(matrix: DataFrame, size_col: str | None = None) -> DataFrame:
     """Entities and share per size: the member count, or a stored size column."""
     size = F.col(size_col) if size_col else member_total()
-    return with_share(grouped_count(matrix.select(size.alias("hh_size")), ["hh_size"]))
+    return with_share(grouped_count(matrix.select(size.alias("hh_size")), ["hh_size"]), tiny=True)
 
 
 def size_by_count(matrix: DataFrame, column: str, values: Sequence[int], size: Column | None = None) -> DataFrame:
@@ -93,4 +93,4 @@ def size_by_count(matrix: DataFrame, column: str, values: Sequence[int], size: C
 def single_member_bands(matrix: DataFrame, size_col: str | None = None) -> DataFrame:
     """Band distribution of one-member entities, bands without any included."""
     size = F.col(size_col) if size_col else member_total()
-    return with_share(column_totals(matrix.where(size == 1), count_names()))
+    return with_share(column_totals(matrix.where(size == 1), count_names()), tiny=True)

@@ -36,18 +36,19 @@ def test_rebin_and_split(spark):
     assert abs({r.age: r.p for r in rows}[8] - (0.5 + 0.5 * 124 / 335)) < EPS
 
 
-def test_guarded_share_of_an_all_zero_group(spark):
+@pytest.mark.parametrize("how", [{"tiny": True}, {"small": True}, {}])
+def test_guarded_share_of_an_all_zero_group(spark, how):
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 0), ("b", 1, 3), ("b", 2, 1), (None, 1, 2)], "g STRING, c INT, n BIGINT")
-    guarded = with_share(df, by=["g"], guarded=True).collect()
+    guarded = with_share(df, by=["g"], guarded=True, **how).collect()
     assert {(r.g, r.c): r.p for r in guarded} == {("a", 1): 0.0, ("a", 2): 0.0, ("b", 1): 0.75, ("b", 2): 0.25, (None, 1): 1.0}
-    assert {r.p for r in with_share(df, by=["g"]).where("g = 'a'").collect()} == {None}
+    assert {r.p for r in with_share(df, by=["g"], **how).where("g = 'a'").collect()} == {None}
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_report_has_categories_of_either_side(spark, small):
+@pytest.mark.parametrize("tiny", [True, False])
+def test_report_has_categories_of_either_side(spark, tiny):
     population = spark.createDataFrame([("x", 1, 3), ("x", 2, 1), ("y", 1, 4)], "g STRING, c INT, n BIGINT")
     sample = spark.createDataFrame([("x", 2, 1), ("x", 3, 1)], "g STRING, c INT, n BIGINT")
-    report = fit_report(population, sample, "c", by=["g"], small=small)
+    report = fit_report(population, sample, "c", by=["g"], tiny=tiny)
     rows = {(r.g, r.c): (r.p_pop, r.p_sample, r["diff"]) for r in report.collect()}
     assert rows == {
         ("x", 1): (0.75, 0.0, -0.75),
@@ -59,10 +60,11 @@ def test_report_has_categories_of_either_side(spark, small):
     assert errors == {"x": 0.5625 + 0.0625 + 0.25, "y": None}
 
 
-def test_unmatched_sides_of_a_plain_report(spark):
+@pytest.mark.parametrize("tiny", [True, False])
+def test_unmatched_sides_of_a_plain_report(spark, tiny):
     left = spark.createDataFrame([(1, 1), (2, 3)], "c INT, n BIGINT")
     right = spark.createDataFrame([(2, 1), (None, 1)], "c INT, n BIGINT")
-    rows = {r.c: (r.p_pop, r.p_sample) for r in fit_report(left, right, "c").collect()}
+    rows = {r.c: (r.p_pop, r.p_sample) for r in fit_report(left, right, "c", tiny=tiny).collect()}
     assert rows == {1: (0.25, 0.0), 2: (0.75, 0.5), None: (0.0, 0.5)}
 
 

@@ -155,7 +155,7 @@ def margin_type_from_sheet(spark, sf_dir):
 @register
 def margin_head_given_size(spark, sf_dir):
     counted = aggregate.grouped_sum(S.household_cells(spark, sf_dir), ["hh_size", "head_age"], "n")
-    return rounded(aggregate.with_share(counted, by=["hh_size"], small=True))
+    return rounded(aggregate.with_share(counted, by=["hh_size"], tiny=True))
 
 
 @register
@@ -404,7 +404,8 @@ def dist_exclude(spark, sf_dir):
 
 
 def _band5_shares(spark, sf_dir):
-    return aggregate.with_share(aggregate.grouped_count(S.members(spark, sf_dir), ["age5_code"])).drop("n")
+    counts = aggregate.grouped_count(S.members(spark, sf_dir), ["age5_code"])
+    return aggregate.with_share(counts, tiny=True).drop("n")
 
 
 @register
