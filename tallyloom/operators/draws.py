@@ -160,19 +160,22 @@ def replicate_fit(
         .groupBy("replicate", outcome)
         .agg(F.sum("_wanted").alias("_wanted"), F.sum("_drawn").alias("_drawn"))
     )
-    # One pair of totals per replicate, read from the same columns as the counts so that both share
-    # their shuffle.
-    wholes = stacked.groupBy("replicate").agg(
-        F.sum("_drawn").alias("_all_drawn"), F.sum("_wanted").alias("_all_wanted")
-    )
+    if small:
+        group = Window.partitionBy("replicate")
+        totalled = stacked.withColumns(
+            {"_all_drawn": F.sum("_drawn").over(group), "_all_wanted": F.sum("_wanted").over(group)}
+        )
+    else:
+        # One pair of totals per replicate, read from the same columns as the counts so that both
+        # share their shuffle.
+        wholes = stacked.groupBy("replicate").agg(
+            F.sum("_drawn").alias("_all_drawn"), F.sum("_wanted").alias("_all_wanted")
+        )
+        totalled = join_back(stacked, wholes, ["replicate"], small=True)
     gap = F.col("_drawn") / F.col("_all_drawn") - F.col("_wanted") / F.col("_all_wanted")
-    scored = (
-        join_back(stacked, wholes, ["replicate"], small=True)
-        .withColumn("_gap", gap)
-        .groupBy("replicate")
-        .agg(F.sum(F.col("_gap") * F.col("_gap")).alias("ss"))
-    )
-    first = scored.agg(F.min(F.when(F.col("ss") <= tolerance, F.col("replicate")))).scalar()
+    scored = totalled.withColumn("_gap", gap).groupBy("replicate").agg(F.sum(F.col("_gap") * F.col("_gap")).alias("ss"))
+    # One row per replicate from here on: a fixed, small number.
+    first = F.min(F.when(F.col("ss") <= tolerance, F.col("replicate"))).over(Window.partitionBy())
     return scored.select(
         "replicate",
         "ss",

@@ -92,15 +92,16 @@ def test_key_and_cell_make_an_equi_join(spark, plan_text):
     assert "NestedLoop" not in open_ended and "Cartesian" not in open_ended
 
 
-def test_replicates_report_fit_and_choose_the_first(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_replicates_report_fit_and_choose_the_first(spark, small):
     dist = spark.createDataFrame([(1, 5), (2, 3), (3, 2), (4, 0)], "code INT, n BIGINT")
     rows = spark.range(2000).withColumnRenamed("id", "k")
-    fitted = draws.replicate_fit(rows, dist, "code", "n", "k", 6, 0.0002, "s").orderBy("replicate").collect()
+    fitted = draws.replicate_fit(rows, dist, "code", "n", "k", 6, 0.0002, "s", small=small).orderBy("replicate").collect()
     assert [r.replicate for r in fitted] == [1, 2, 3, 4, 5, 6]
     chosen = [r.replicate for r in fitted if r.chosen]
     fits = [r.replicate for r in fitted if r.ss <= 0.0002]
     assert chosen == fits[:1]
-    none = draws.replicate_fit(rows, dist, "code", "n", "k", 2, -1.0, "s").collect()
+    none = draws.replicate_fit(rows, dist, "code", "n", "k", 2, -1.0, "s", small=small).collect()
     assert [r.chosen for r in none] == [False, False]
 
 
