@@ -1,0 +1,49 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tallyloom.llm import decontamination as D
+
+
+def shingles(text, width):
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w]
+    return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def expected(docs, items):
+    out = set()
+    for item, text in items:
+        n = len([w for w in re.split(r"[\x20\x09-\x0d]+", (text or "").lower()) if w])
+        own = shingles(text, min(n, 5)) if n else set()
+        for doc, body in docs:
+            both = len(own & shingles(body, min(n, 5))) if own else 0
+            if own and both >= 0.75 * len(own):
+                out.add((doc, item, both, len(own)))
+    return out
+
+
+def test_agrees_with_plain_sets(spark):
+    words = [f"w{i % 41}x{i % 7}" for i in range(400)]
+    items = [(i, " ".join(words[i * 9 : i * 9 + n])) for i, n in enumerate((30, 12, 8, 6, 5, 4, 3, 1, 64, 33))]
+    items += [(50, None), (51, ""), (52, " \n"), (53, items[0][1].upper())]
+    docs = [(i, " ".join(words[i * 5 : i * 5 + 80])) for i in range(60)]
+    for i, text in items:
+        own = (text or "").split()
+        docs += [(100 + i, "before it " * 40 + " \t".join(own) + " after it" * 2000), (200 + i, " ".join(own[: max(1, len(own) * 4 // 5)])), (300 + i, " ".join(own[: len(own) // 2]))]
+    docs += [(900, None), (901, ""), (902, "w0x0"), (903, " ".join(reversed(words)))]
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(r)[:4] for r in found.collect()} == expected(docs, items)
+
+
+def test_edges(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "a b c d e f g")], "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("item_id", F.lit("x"))
+    items = spark.createDataFrame([(7, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f")], "item_id long, text string").withColumn("doc_id", F.lit(5))
+    assert [tuple(r) for r in D.contaminated(docs, items).collect()] == [(1, 7, 2, 2, 1.0)]
+    assert D.contaminated(docs, items.limit(0)).collect() == []
+    assert D.contaminated(docs.limit(0), items).collect() == []
+
+
+def test_plan_is_native(spark, sf_dir, plan_text):
+    found = D.contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    plan = plan_text(found)
+    assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
