@@ -3,7 +3,6 @@
 # Ten-year age bands, code 1 (0-9) to code 9 (80 and over).
 BAND_CODES = tuple(range(1, 10))
 BAND_YEARS = 10
-TOP_BAND_LABEL = "80+"
 
 # Five-year census labels, in code order 1..18; two of them make one ten-year band.
 AGE5_LABELS = tuple(f"{5 * i} - {5 * i + 4}" for i in range(17)) + ("85+",)
@@ -29,19 +28,12 @@ OTHER_MEMBER_BANDS = {
 }
 OTHER_TOP_SPLIT = {8: 1, 9: 1}
 
-# Household types.
-HOUSEHOLD_TYPES = {
-    1: "couple", 2: "couple+child", 3: "parent+child", 4: "couple+parent",
-    5: "couple+parent+child", 6: "other", 7: "single", 8: "complex",
-}
+# Household types that have parents of the head, and those with a couple.
 TYPES_WITH_PARENTS = (4, 5)
 TYPES_WITH_COUPLE = (1, 2, 4, 5)
-OLDEST_HEAD_BAND_WITH_PARENTS = 7
 
 # Band weights of members whose count is known but whose age is not.
-CHILD_WEIGHTS = {1: 2, 2: 1}
 ELDER_WEIGHTS = {7: 1, 8: 2, 9: 2}
-ADULT_WEIGHTS = {2: 1, 3: 2, 4: 2, 5: 2, 6: 2, 7: 1}
 
 # Gaps between relatives, in bands.
 SAME_BAND_PARTNER = 0.75
@@ -60,6 +52,5 @@ OPEN_SIZE = 6
 TOTAL_LABEL = "Sum"
 
 # Fit and drift.
-SIZE_FIT_TOLERANCE = 0.001
 FIRST_BASELINE = 100.0
 SIBLING_VARIANCE = 0.5

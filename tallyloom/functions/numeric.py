@@ -23,11 +23,6 @@ def total(columns: Sequence[Column]) -> Column:
     return reduce(add, columns)
 
 
-def share_or_zero(part: Column, whole: Column) -> Column:
-    """part / whole, and 0 where the part is not positive (so 0/0 is never evaluated)."""
-    return F.when(part > 0, part / whole).otherwise(F.lit(0.0))
-
-
 def squared_distance(left: Sequence[Column], right: Sequence[Column]) -> Column:
     """Sum of squared differences of two equally long column lists, added from the left."""
     return total([(a - b) * (a - b) for a, b in zip(left, right, strict=True)])

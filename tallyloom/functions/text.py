@@ -30,8 +30,10 @@ def retype(column: Column, kind: str) -> Column:
 
 
 def cell_count(column: Column) -> Column:
-    """A published cell as a count."""
-    return retype(nil_as_zero(column), "bigint")
+    """A published cell as a count: separators of thousands are dropped, and a cell that is no number is
+    NULL. Callers keep such rows."""
+    plain = F.regexp_replace(F.trim(nil_as_zero(column)), r"(?<=\d)[,  ](?=\d{3}(?:\D|$))", "")
+    return retype(plain, "bigint")
 
 
 def band_label(code: Column, years: int = BAND_YEARS) -> Column:

@@ -55,9 +55,11 @@ def zero_filled(df: DataFrame, domain: DataFrame, keys: Sequence[str], value: st
     return grouped_sum(df.select(*keys, value).unionByName(zeros), keys, value)
 
 
-def code_domain(df: DataFrame, first: int, last: int, name: str) -> DataFrame:
-    """Codes first..last as a table."""
-    return df.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias(name))
+def code_domain(df: DataFrame, name: str, first: int = 1) -> DataFrame:
+    """Codes from `first` to the largest one that the column `name` of `df` has, as a table."""
+    last = df.agg(F.max(name).alias("_last"))
+    codes = F.sequence(F.lit(first).cast(df.schema[name].dataType), F.col("_last"))
+    return last.where(F.col("_last") >= first).select(F.explode(codes).alias(name))
 
 
 def column_totals(
@@ -81,7 +83,8 @@ def crosstab(
     prefix: str = "c",
     margins: bool = True,
 ) -> DataFrame:
-    """Rows x declared column values, absent cells 0; `margins` adds a total column and row.
+    """Rows x declared column values, absent cells 0, and a column for all other values (a missing one
+    too), so that a row adds up; `margins` adds a total column and row.
 
     Cells are summed first, so the totals row expands the small table and not the input.
     """
@@ -92,6 +95,9 @@ def crosstab(
         F.coalesce(F.sum(F.when(F.col(column) == v, F.col("_n"))), F.lit(0)).cast("bigint").alias(f"{prefix}{v}")
         for v in values
     ]
+    listed = F.coalesce(F.col(column).isin(*values), F.lit(False))
+    rest = F.coalesce(F.sum(F.when(~listed, F.col("_n"))), F.lit(0)).cast("bigint")
+    counts.append(rest.alias(f"{prefix}_other"))
     if not margins:
         return by_row.agg(*counts)
     wide = by_row.agg(F.grouping(row).alias("_is_total"), *counts, F.sum("_n").cast("bigint").alias("total"))

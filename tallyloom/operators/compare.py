@@ -23,6 +23,14 @@ def paired(population: DataFrame, sample: DataFrame, keys: Sequence[str], value:
     )
 
 
+def side_by_side(counts: DataFrame, keys: Sequence[str], sample: str = "sample", value: str = "n") -> DataFrame:
+    """As `paired`, for counts of both sides in one table; `sample` says which side a row is of."""
+    sides = {"n_pop": ~F.col(sample), "n_sample": F.col(sample)}
+    return counts.groupBy(*keys).agg(
+        *[F.coalesce(F.sum(F.when(side, F.col(value))), F.lit(0)).cast("bigint").alias(name) for name, side in sides.items()]
+    )
+
+
 def fit_report(
     population: DataFrame,
     sample: DataFrame,
@@ -35,7 +43,11 @@ def fit_report(
 
     `tiny=True` is for categories with a fixed bound, as in `with_share`.
     """
-    both = paired(population, sample, [*by, category])
+    return report(paired(population, sample, [*by, category]), by, digits, tiny)
+
+
+def report(both: DataFrame, by: Sequence[str] = (), digits: int = 4, tiny: bool = False) -> DataFrame:
+    """As `fit_report`, for counts that stand side by side already."""
     wholes = [F.sum("n_pop").alias("pop"), F.sum("n_sample").alias("sample")]
     if tiny:
         group = Window.partitionBy(*by)

@@ -2,10 +2,10 @@
 
 A draw is an inverse-CDF range match: the row's uniform number falls into the cumulative interval
 of one outcome. As a bare range condition that is a nested-loop join, and with only the
-distribution's keys as join keys a popular key becomes a hot partition. So [0, 1) is cut into CELLS
-equal cells, each interval is listed under the cells it touches, and rows join on (keys, cell) with
-the exact interval test on top. Cells are uniform by construction: they salt hot keys evenly, and a
-row meets only the few outcomes of its own cell.
+distribution's keys as join keys a popular key becomes a hot partition. So [0, 1) is cut into equal
+cells, some for each shuffle partition, each interval is listed under the cells it touches, and rows
+join on (keys, cell) with the exact interval test on top. Cells are uniform by construction: they salt
+hot keys evenly over all tasks, and a row meets only the few outcomes of its own cell.
 """
 
 from collections.abc import Mapping, Sequence
@@ -19,7 +19,8 @@ from .columns import join_back
 from .ordered import running_totals
 from .reshape import count_matrix, uncount
 
-CELLS = 64
+CELLS_PER_PARTITION = 4
+LEAST_CELLS = 64
 WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
 
 
@@ -33,7 +34,11 @@ def intervals(
     that a key with very many outcomes is not one task; label outcomes are a category of their own
     and always take the window.
     """
-    positive = dist.where(F.col(weight) > 0).select(*keys, outcome, F.col(weight).alias("_weight"))
+    exact = F.col(weight)
+    if dict(dist.dtypes)[weight] in ("float", "double"):
+        # In binary fractions a bound and the next one's start could come out apart, whatever the order.
+        exact = exact.cast("decimal(30,15)")
+    positive = dist.select(*keys, outcome, exact.alias("_weight")).where(F.col("_weight") > 0)
     if small or dict(dist.dtypes)[outcome] not in WHOLE_NUMBERS:
         group = Window.partitionBy(*keys)
         upto = group.orderBy(outcome).rowsBetween(Window.unboundedPreceding, 0)
@@ -48,7 +53,8 @@ def intervals(
             summed = join_back(running, positive.groupBy(*keys).agg(whole), keys)
         else:
             summed = running.withColumn("total", positive.agg(whole).scalar())
-    return summed.select(*keys, outcome, (F.col("hi") - F.col("_weight")).alias("lo"), "hi", "total")
+    ends = {"lo": F.col("hi") - F.col("_weight"), "hi": F.col("hi"), "total": F.col("total")}
+    return summed.select(*keys, outcome, *[end.cast("double").alias(name) for name, end in ends.items()])
 
 
 def draw(
@@ -60,13 +66,17 @@ def draw(
     keys: Sequence[str] = (),
     name: str | None = None,
     small: bool = False,
-    cells: int = CELLS,
+    cells: int | None = None,
 ) -> DataFrame:
     """Add the drawn outcome to every row; NULL where the row's keys have no positive weight.
 
-    `number` is the row's uniform number, `keys` select the distribution. `small=True` broadcasts
-    the distribution: set it where its codes come from a fixed domain. Otherwise AQE measures it.
+    `number` is the row's uniform number, `keys` select the distribution, a missing key being one of its own.
+    `small=True` broadcasts the distribution: set it where its codes come from a fixed domain. Otherwise AQE
+    measures it. Weights that are fractions count to 15 places.
     """
+    if cells is None:
+        partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        cells = LEAST_CELLS if small else max(LEAST_CELLS, CELLS_PER_PARTITION * partitions)
     # One cell more on either side keeps rounding at a boundary from hiding the right interval;
     # the interval test below decides.
     first = F.greatest(F.lit(0), F.floor(F.col("lo") * cells / F.col("total")).cast("int") - 1)
@@ -84,7 +94,7 @@ def draw(
     )
     match = F.col("_cell") == F.col("_d_cell")
     for key in keys:
-        match = match & (F.col(key) == F.col(f"_d_{key}"))
+        match = match & F.col(key).eqNullSafe(F.col(f"_d_{key}"))
     at = F.col("_u") * F.col("total")
     match = match & (at >= F.col("lo")) & (at < F.col("hi"))
     joined = placed.join(F.broadcast(listed) if small else listed, match, "left")
@@ -123,7 +133,7 @@ def draw_members(
 
     The copy number is part of the hash key, so each copy has its own number.
     """
-    copies = uncount(rows.select(key, how_many), how_many, spread=False)
+    copies = uncount(rows.select(key, how_many), how_many)
     drawn = copies.withColumn("age", pick(weights, uniform(key, "copy", salt=salt, seed=seed)))
     return count_matrix(drawn, [key], "age", codes)
 

@@ -1,133 +1,108 @@
 """Operators that follow a row order: running totals, row numbers, fill-down, block labels.
 
-The order is always a BIGINT column that is unique within its group. That gives a proven bound
-without looking at the data: rows whose keys agree above the lowest b bits number at most 2**b. Work
-is done inside such segments; their totals are carried forward inside segments of segments. With the
-default SEGMENT_BITS a window sees at most 2**18 rows, and on the two levels above at most 2**22 and
-2**24 segment totals, for any 64-bit key and however large a group is.
+The order is cut into segments at quantiles of its leading column, as many as there are shuffle
+partitions. The quantiles come from one aggregate whose result all parts of the plan share. Each segment
+is folded on its own; the folds before a segment are added up over the segments alone, at most as many
+rows per group as there are segments. So a table without groups, or a group with a third of all
+rows, is as many tasks as the cluster has partitions, and small groups take the same path.
 """
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .columns import join_back
 
-SEGMENT_BITS = (18, 22)
 # A spreadsheet holds at most 2**20 rows, so a published sheet takes a single window.
-SHEET_BITS = ()
-HOT_ROWS = 1_000_000
+SHEET = 1
 
 SUM = "sum"
 LAST = "last"
 
 
 def _in_window(kind: str, column: str, window) -> Column:
-    return F.sum(column).over(window) if kind == SUM else F.last(column, ignorenulls=True).over(window)
+    if kind == SUM:
+        return F.coalesce(F.sum(column).over(window), F.lit(0))
+    return F.last(column, ignorenulls=True).over(window)
 
 
-def _of_segment(kind: str, column: str, key: str) -> Column:
+def _of_segment(kind: str, column: str, order: Column) -> Column:
     if kind == SUM:
         return F.sum(column)
-    return F.max_by(column, F.when(F.col(column).isNotNull(), F.col(key)))
+    return F.max_by(column, F.when(F.col(column).isNotNull(), order))
 
 
 def _then(kind: str, earlier: str, later: str) -> Column:
     if kind == SUM:
-        return F.coalesce(F.col(earlier), F.lit(0)) + F.coalesce(F.col(later), F.lit(0))
+        return F.coalesce(F.col(earlier), F.lit(0)) + F.col(later)
     return F.coalesce(F.col(later), F.col(earlier))
 
 
+def _segment(df: DataFrame, key: str, segments: int) -> tuple[Column, Column]:
+    """The quantiles, and how many of them (in _bounds) are up to the key, by halves. A missing key has none below it,
+    as it sorts first."""
+    bounds = df.agg(F.percentile_approx(key, [i / segments for i in range(1, segments)], 10 * segments)).scalar()
+    steps = [1 << b for b in reversed(range(segments.bit_length()))]
+
+    def further(place: Column, step: Column) -> Column:
+        return F.when(F.get(F.col("_bounds"), place + step - 1) <= F.col(key), place + step).otherwise(place)
+
+    return bounds, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
+
 def _carry(
     df: DataFrame,
     by: Sequence[str],
-    key: str,
+    keys: str | Sequence[str],
     wanted: Mapping[str, tuple[str, str]],
-    end: int,
-    bits: Sequence[int],
+    segments: int | None = None,
+    end: int = 0,
 ) -> DataFrame:
-    """Add each wanted column: the fold of its input over the rows up to `end` in key order.
-
-    `bits` are the segment lengths from the rows upwards; without any, one window does the work.
-    """
-    if not bits:
-        window = Window.partitionBy(*by).orderBy(key).rowsBetween(Window.unboundedPreceding, end)
+    """Add each wanted column: the fold of its input over the rows of the group up to `end`, in the order of
+    `keys`, which together are unique within a group; the first is a number, date or timestamp."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    if segments is None:
+        segments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    window = Window.partitionBy(*by).orderBy(*keys).rowsBetween(Window.unboundedPreceding, end)
+    if segments <= 1:
         return df.withColumns({out: _in_window(kind, c, window) for out, (kind, c) in wanted.items()})
 
-    level = len(bits)
-    segment = f"_segment{level}"
-    cut = df.withColumn(segment, F.shiftright(F.col(key), bits[0]))
-    totals = cut.groupBy(*by, segment).agg(
-        *[_of_segment(kind, c, key).alias(f"_total{level}_{out}") for out, (kind, c) in wanted.items()]
-    )
-    before = _carry(
-        totals,
-        by,
-        segment,
-        {f"_before{level}_{out}": (kind, f"_total{level}_{out}") for out, (kind, _) in wanted.items()},
-        -1,
-        bits[1:],
-    ).select(*by, segment, *[f"_before{level}_{out}" for out in wanted])
-
-    window = (
-        Window.partitionBy(*by, segment).orderBy(key).rowsBetween(Window.unboundedPreceding, end)
+    bounds, place = _segment(df, keys[0], segments)
+    cut = df.withColumn("_bounds", bounds).withColumn("_segment", place).drop("_bounds")
+    order = F.struct(*keys)
+    totals = cut.groupBy(*by, "_segment").agg(
+        *[_of_segment(kind, c, order).alias(f"_total_{out}") for out, (kind, c) in wanted.items()]
     )
-    local = cut.withColumns(
-        {f"_local{level}_{out}": _in_window(kind, c, window) for out, (kind, c) in wanted.items()}
+    earlier = Window.partitionBy(*by).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *by, "_segment", *[_in_window(kind, f"_total_{out}", earlier).alias(f"_before_{out}") for out, (kind, _) in wanted.items()]
     )
-    # Without group columns the segment is never NULL, and plain equality lets the join reuse the
-    # window's partitioning.
-    joined = join_back(local, before, [*by, segment]) if by else local.join(before, segment, "left")
+    inside = Window.partitionBy(*by, "_segment").orderBy(*keys).rowsBetween(Window.unboundedPreceding, end)
+    local = cut.withColumns({f"_local_{out}": _in_window(kind, c, inside) for out, (kind, c) in wanted.items()})
+    joined = join_back(local, before, [*by, "_segment"]) if by else local.join(before, "_segment", "left")
     return joined.withColumns(
-        {out: _then(kind, f"_before{level}_{out}", f"_local{level}_{out}") for out, (kind, _) in wanted.items()}
-    ).drop(segment, *[f"_{part}{level}_{out}" for out in wanted for part in ("before", "local")])
+        {out: _then(kind, f"_before_{out}", f"_local_{out}") for out, (kind, _) in wanted.items()}
+    ).drop("_segment", *[f"_{part}_{out}" for out in wanted for part in ("before", "local")])
 
 
 def running_totals(
-    df: DataFrame, key: str, columns: Sequence[str], by: Sequence[str] = (), prefix: str = "run_", bits: Sequence[int] = SEGMENT_BITS
-) -> DataFrame:
-    """Inclusive running sums of integer columns in key order."""
-    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, 0, bits)
-
-
-def split_hot_groups(
     df: DataFrame,
-    by: Sequence[str],
-    ordinary: Callable[[DataFrame], DataFrame],
-    hot: Callable[[DataFrame], DataFrame],
-    hot_rows: int,
+    key: str | Sequence[str],
+    columns: Sequence[str],
+    by: Sequence[str] = (),
+    prefix: str = "run_",
+    segments: int | None = None,
 ) -> DataFrame:
-    """Apply `ordinary` to groups of up to `hot_rows` rows and `hot` to larger ones.
-
-    Counting reads the group columns only. At most rows / hot_rows groups can be hot, which bounds
-    the broadcast list; when it is empty AQE drops the hot branch before it runs.
-    """
-    listed = df.groupBy(*by).count().where(F.col("count") > hot_rows).drop("count")
-    small = join_back(df, listed, by, "left_anti", small=True)
-    large = join_back(df, listed, by, "left_semi", small=True)
-    return ordinary(small).unionByName(hot(large))
-
-
-def _grouped(df, by, key, wanted, hot_rows, bits):
-    def segmented(part):
-        return _carry(part, by, key, wanted, 0, bits)
-
-    if not by:
-        return segmented(df)
-    return split_hot_groups(df, by, lambda part: _carry(part, by, key, wanted, 0, ()), segmented, hot_rows)
+    """Inclusive running sums of integer columns in key order."""
+    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, segments)
 
 
 def row_numbers(
-    df: DataFrame,
-    key: str,
-    by: Sequence[str] = (),
-    name: str = "row_number",
-    hot_rows: int = HOT_ROWS,
-    bits: Sequence[int] = SEGMENT_BITS,
+    df: DataFrame, key: str | Sequence[str], by: Sequence[str] = (), name: str = "row_number", segments: int | None = None
 ) -> DataFrame:
     """1, 2, 3, ... in key order, within each group of `by` or over the whole table."""
     ones = df.withColumn("_one", F.lit(1).cast("bigint"))
-    return _grouped(ones, by, key, {name: (SUM, "_one")}, hot_rows, bits).drop("_one")
+    return _carry(ones, by, key, {name: (SUM, "_one")}, segments).drop("_one")
 
 
 def block_labels(df: DataFrame, number: str, each: int, name: str, blocks: int | None = None) -> DataFrame:
@@ -140,13 +115,12 @@ def block_labels(df: DataFrame, number: str, each: int, name: str, blocks: int |
 
 def fill_down(
     df: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     column: str,
     by: Sequence[str] = (),
     name: str | None = None,
-    hot_rows: int = HOT_ROWS,
-    bits: Sequence[int] = SEGMENT_BITS,
+    segments: int | None = None,
 ) -> DataFrame:
     """Replace missing values by the last one before them in key order (in place unless `name`)."""
-    filled = _grouped(df, by, key, {"_filled": (LAST, column)}, hot_rows, bits)
+    filled = _carry(df, by, key, {"_filled": (LAST, column)}, segments)
     return filled.withColumn(name or column, F.col("_filled")).drop("_filled")

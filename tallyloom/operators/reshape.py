@@ -6,20 +6,27 @@ costs no more than any other. Long form, member rows, numbered members and `age_
 are then row-local expressions: none of them shuffles, and none gathers the rows of an entity.
 """
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BAND_CODES
 from ..functions.numeric import total
 
+#: Copies that one task makes of a row before the rest goes to another.
 CHUNK = 65536
+OTHER = "other"
 
 
 def count_names(codes: Sequence[int] = BAND_CODES, prefix: str = "b") -> list[str]:
     return [f"{prefix}{code}" for code in codes]
 
 
+def other_name(prefix: str = "b") -> str:
+    """The column that counts what has no known code, a missing one included."""
+    return f"{prefix}_{OTHER}"
+
+
 def count_matrix(
     rows: DataFrame,
     keys: Sequence[str],
@@ -28,21 +35,24 @@ def count_matrix(
     weight: str | None = None,
     prefix: str = "b",
 ) -> DataFrame:
-    """Members (or long counts, with `weight`) to one row per entity with a count per code."""
+    """Members (or long counts, with `weight`) to one row per entity with a count per code, and last
+    the count of members whose code is missing or not among `codes`, so that nobody is lost."""
+    known = F.coalesce(F.col(code).isin(*codes), F.lit(False))
+    tests = [*[F.col(code) == c for c in codes], ~known]
     if weight:
-        cells = [F.coalesce(F.sum(F.when(F.col(code) == c, F.col(weight))), F.lit(0)) for c in codes]
+        cells = [F.coalesce(F.sum(F.when(test, F.col(weight))), F.lit(0)) for test in tests]
     else:
-        cells = [F.count_if(F.col(code) == c) for c in codes]
+        cells = [F.count_if(test) for test in tests]
     named = [
         cell.cast("bigint").alias(name)
-        for cell, name in zip(cells, count_names(codes, prefix), strict=True)
+        for cell, name in zip(cells, [*count_names(codes, prefix), other_name(prefix)], strict=True)
     ]
     return rows.groupBy(*keys).agg(*named)
 
 
 def member_total(codes: Sequence[int] = BAND_CODES, prefix: str = "b") -> Column:
-    """Row-wise member count of a wide roster."""
-    return total([F.col(name) for name in count_names(codes, prefix)])
+    """Row-wise member count of a wide roster, members without a known code included."""
+    return total([F.col(name) for name in [*count_names(codes, prefix), other_name(prefix)]])
 
 
 def to_long(
@@ -54,31 +64,48 @@ def to_long(
     code: str = "age",
     value: str = "value",
 ) -> DataFrame:
-    """Wide to long; cells that are not positive are dropped unless `positive=False`."""
-    long = matrix.unpivot(list(keys), count_names(codes, prefix), "_name", value)
+    """Wide to long; cells that are not positive are dropped unless `positive=False`.
+
+    Members without a known code, where there are any, are a row with a missing code.
+    """
+    named = dict(zip(count_names(codes, prefix), codes, strict=True))
+    return long_from_names(matrix, keys, named, positive, code, value, other_name(prefix))
+
+
+def long_from_names(
+    matrix: DataFrame,
+    keys: Sequence[str],
+    names: Mapping[str, int],
+    positive: bool = True,
+    code: str = "age",
+    value: str = "value",
+    other: str | None = None,
+) -> DataFrame:
+    """Wide to long for count columns of any name: `names` gives the code of each. Cells of `other`,
+    if it is named, get a missing code and are kept where positive."""
+    cells = [F.struct(F.lit(c).cast("int").alias(code), F.col(name).alias(value)) for name, c in names.items()]
+    kept = F.col(value) > 0
+    if other:
+        cells.append(F.struct(F.lit(None).cast("int").alias(code), F.col(other).alias(value)))
+    long = matrix.select(*keys, F.inline(F.array(*cells)))
     if positive:
-        long = long.where(F.col(value) > 0)
-    number = F.substring(F.col("_name"), len(prefix) + 1, 10).cast("int")
-    return long.select(*keys, number.alias(code), value)
+        return long.where(kept)
+    return long.where(kept | F.col(code).isNotNull()) if other else long
 
 
-def uncount(rows: DataFrame, weight: str, copy: str = "copy", chunk: int = CHUNK, spread: bool = True) -> DataFrame:
+def uncount(rows: DataFrame, weight: str, copy: str = "copy", chunk: int = CHUNK) -> DataFrame:
     """Repeat each row `weight` times, numbering the copies from 1; weights below 1 give no row.
 
-    Rows of up to `chunk` copies are expanded where they are. Larger ones are cut into chunks that
-    are shuffled before they are expanded, so one row that stands for a third of the output is
-    shared among tasks. `spread=False` leaves the shuffle out; set it where weights are known small.
+    Every row is cut into chunks of at most `chunk` copies, and the chunks are dealt evenly before
+    they are expanded: what is shuffled is one row per chunk, and a row that stands for a third of the
+    output is shared among tasks.
     """
     count = F.col(weight).cast("bigint")
     one = F.lit(1).cast("bigint")
-    if not spread:
-        return rows.where(count > 0).withColumn(copy, F.explode(F.sequence(one, count)))
-    whole = rows.where((count > 0) & (count <= chunk)).withColumn(copy, F.explode(F.sequence(one, count)))
     starts = F.sequence(one, count, F.lit(chunk).cast("bigint"))
-    cut = rows.where(count > chunk).withColumn("_start", F.explode(starts)).repartition(*rows.columns, "_start")
+    cut = rows.where(count > 0).withColumn("_start", F.explode(starts)).repartition(*rows.columns, "_start")
     end = F.least(count, F.col("_start") + (chunk - 1))
-    parts = cut.withColumn(copy, F.explode(F.sequence(F.col("_start"), end))).drop("_start")
-    return whole.unionByName(parts)
+    return cut.withColumn(copy, F.explode(F.sequence(F.col("_start"), end))).drop("_start")
 
 
 def members(
@@ -86,52 +113,52 @@ def members(
     keys: Sequence[str],
     codes: Sequence[int] = BAND_CODES,
     prefix: str = "b",
-    spread: bool = True,
     chunk: int = CHUNK,
+    names: Mapping[str, int] | None = None,
 ) -> DataFrame:
     """One row per member, numbered within the entity in code order: keys, pid, age.
 
-    The number is the count in lower codes plus the copy number, so no window is needed.
+    The number is the count in lower codes plus the copy number, so no window is needed. Members without
+    a known code come last, with a missing age. `names` gives count columns of any name and their codes.
     """
-    names = count_names(codes, prefix)
-    before = [F.lit(0).cast("bigint")]
-    for name in names[:-1]:
-        before.append(before[-1] + F.col(name))
-    cells = F.array(
-        *[
-            F.struct(F.lit(code).alias("age"), start.alias("before"), F.col(name).alias("value"))
-            for code, start, name in zip(codes, before, names, strict=True)
-        ]
-    )
-    long = matrix.select(*keys, F.inline(cells))
-    return uncount(long, "value", chunk=chunk, spread=spread).select(
-        *keys, (F.col("before") + F.col("copy")).alias("pid"), "age"
-    )
+    pairs = list(names.items()) if names else [*zip(count_names(codes, prefix), codes, strict=True), (other_name(prefix), None)]
+    before = F.lit(0).cast("bigint")
+    cells = []
+    for name, code in pairs:
+        cells.append(
+            F.struct(F.lit(code).cast("int").alias("age"), before.alias("before"), F.col(name).alias("value"))
+        )
+        before = before + F.col(name)
+    long = matrix.select(*keys, F.inline(F.array(*cells)))
+    return uncount(long, "value", chunk=chunk).select(*keys, (F.col("before") + F.col("copy")).alias("pid"), "age")
 
 
 def members_wide(
     matrix: DataFrame,
     keys: Sequence[str],
-    width: int,
+    width: int | None = None,
     codes: Sequence[int] = BAND_CODES,
     prefix: str = "b",
 ) -> DataFrame:
-    """Columns age_1..age_<width> in code order, NULL beyond the entity's size.
+    """Columns age_1..age_<width> in code order beside the count columns, NULL beyond the entity's size.
 
-    `n_over` counts members that need a column beyond `width`; they stay visible in the counts.
+    Without `width` it is the largest size there is, which is looked up first. With one, larger entities
+    still have all their members in the count columns, and `n_over` counts those without an age column.
     """
     names = count_names(codes, prefix)
+    size = member_total(codes, prefix)
+    if width is None:
+        width = matrix.agg(F.max(size).alias("n")).first()["n"] or 0
     pieces = [
         F.array_repeat(F.lit(code), F.least(F.col(name), F.lit(width)).cast("int"))
         for code, name in zip(codes, names, strict=True)
     ]
-    size = member_total(codes, prefix)
-    listed = matrix.select(
-        *keys, size.alias("hh_size"), F.flatten(F.array(*pieces)).alias("_members")
-    )
+    counts = [*names, other_name(prefix)]
+    listed = matrix.select(*keys, *counts, size.alias("hh_size"), F.flatten(F.array(*pieces)).alias("_members"))
     return listed.select(
         *keys,
         "hh_size",
         *[F.get("_members", F.lit(i)).alias(f"age_{i + 1}") for i in range(width)],
+        *counts,
         F.greatest(F.col("hh_size") - width, F.lit(0)).cast("bigint").alias("n_over"),
     )

@@ -1,22 +1,15 @@
-"""Keeping running shares near a target: drift monitor and greedy selection.
+"""Keeping running shares near a target: the drift monitor and its rates by stratum.
 
-Both read a wide roster (one row per entity, integer counts per code) with a unique BIGINT key.
+It reads a wide roster (one row per entity, integer counts per code) with a unique key.
 """
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 from ..constants import FIRST_BASELINE
 from ..functions.numeric import squared_distance, total
-from .ordered import SEGMENT_BITS, running_totals
-
-PREVIOUS_CANDIDATE = "previous_candidate"
-LAST_ACCEPTED = "last_accepted"
-MAX_BLOCK = 1_000_000
+from .ordered import running_totals
 
 
 def target_shares(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -48,17 +41,20 @@ def drift(
     columns: Sequence[str],
     target: DataFrame | Sequence[float],
     threshold: float = 0.0,
-    bits: Sequence[int] = SEGMENT_BITS,
+    by: Sequence[str] = (),
+    segments: int | None = None,
 ) -> DataFrame:
-    """Per entity in key order: members so far, squared error so far, its change, and a flag.
+    """Per entity in key order, over the table or within each stratum `by`: members so far, squared error so
+    far, its change, and a flag.
 
     The error before an entity follows from the running totals less its own counts, so no lag over
     the whole table is needed; the running totals themselves are segmented (see `ordered`).
     """
-    running = running_totals(matrix, key, columns, prefix="_run_", bits=bits)
+    running = running_totals(matrix, key, columns, by, prefix="_run_", segments=segments)
     now = [F.col(f"_run_{c}") for c in columns]
     before = [F.col(f"_run_{c}") - F.col(c) for c in columns]
     measured = _with_target(running, columns, target).select(
+        *by,
         key,
         total(now).cast("bigint").alias("n_so_far"),
         _distance(now, len(columns)).alias("ss"),
@@ -69,81 +65,10 @@ def drift(
     )
 
 
-def _scan(
-    columns: Sequence[str], key: str, threshold: float, baseline: str
-) -> Callable[[pa.Table], pa.Table]:
-    """The sequential pass over one block; options are bound here, not as default arguments."""
-
-    def steps(counts: list[list[int]], sizes: list[int], target: list[float]) -> Iterator[tuple[float, bool]]:
-        kept, kept_size = [0] * len(target), 0
-        reference = FIRST_BASELINE
-        for row, size in zip(counts, sizes):
-            whole = kept_size + size
-            error = 0.0 if whole else FIRST_BASELINE
-            if whole:
-                for wanted, before, added in zip(target, kept, row):
-                    gap = wanted - (before + added) / whole
-                    error += gap * gap
-            keep = not error - reference > threshold
-            if keep:
-                kept = [before + added for before, added in zip(kept, row)]
-                kept_size = whole
-            if keep or baseline == PREVIOUS_CANDIDATE:
-                reference = error
-            yield error, keep
-
-    def scan(block: pa.Table) -> pa.Table:
-        block = block.take(np.argsort(block[key].to_numpy(), kind="stable"))
-        counts = np.column_stack([block[column].to_numpy() for column in columns])
-        target = block["_target"][0].as_py()
-        done = list(steps(counts.tolist(), counts.sum(axis=1).tolist(), target))
-        return (
-            block.drop_columns([*columns, "_target"])
-            .append_column("ss", pa.array([error for error, _ in done], pa.float64()))
-            .append_column("kept", pa.array([keep for _, keep in done], pa.bool_()))
-        )
-
-    return scan
-
-
-def greedy_select(
-    matrix: DataFrame,
-    key: str,
-    columns: Sequence[str],
-    target: DataFrame | Sequence[float],
-    strata: Sequence[str],
-    threshold: float = 0.0,
-    baseline: str = PREVIOUS_CANDIDATE,
-    block: int = 10_000,
-) -> DataFrame:
-    """Scan entities in key order and keep those that raise the squared error by no more than
-    `threshold`. Returns strata, block, key, ss (error with the candidate in) and kept.
-
-    A scan is sequential by nature, so it runs per stratum and per block of `block` consecutive key
-    values, each block starting afresh like a run of its own. Keys are unique, so a block holds at
-    most `block` entities however large its stratum is. Starting afresh keeps the aim: the shares
-    of a union are a weighted mean of its blocks' shares, so its error is at most the weighted mean
-    of theirs. With a block at least as long as the key range a stratum is scanned as a whole.
-
-    `baseline` is the error a candidate is compared with: that of the candidate before it, kept or
-    not, or that of the last kept one (which needs a positive threshold to keep much).
-    """
-    if not 0 < block <= MAX_BLOCK:
-        raise ValueError(f"block must be in 1..{MAX_BLOCK}")
-    if baseline not in (PREVIOUS_CANDIDATE, LAST_ACCEPTED):
-        raise ValueError(f"unknown baseline: {baseline}")
-    placed = matrix.select(*strata, F.floor(F.col(key) / block).alias("block"), key, *columns)
-    # The target joins the rows after their shuffle, so that it is not shuffled with every row.
-    blocks = _with_target(placed.repartition(*strata, "block"), columns, target)
-    fields = [blocks.schema[name] for name in (*strata, "block", key)]
-    schema = T.StructType([*fields, T.StructField("ss", T.DoubleType()), T.StructField("kept", T.BooleanType())])
-    return blocks.groupBy(*strata, "block").applyInArrow(_scan(columns, key, threshold, baseline), schema)
-
-
-def acceptance(selected: DataFrame, strata: Sequence[str], flag: str = "kept") -> DataFrame:
-    """Kept and dropped entities and the kept rate per stratum."""
-    return selected.groupBy(*strata).agg(
-        F.count_if(F.col(flag)).alias("accepted"),
-        F.count_if(~F.col(flag)).alias("rejected"),
-        F.avg(F.col(flag).cast("int")).alias("rate"),
+def acceptance(monitored: DataFrame, strata: Sequence[str], flag: str = "exceeds") -> DataFrame:
+    """Entities below and above the threshold, and the rate of those below, per stratum."""
+    return monitored.groupBy(*strata).agg(
+        F.count_if(~F.col(flag)).alias("accepted"),
+        F.count_if(F.col(flag)).alias("rejected"),
+        F.avg((~F.col(flag)).cast("int")).alias("rate"),
     )

@@ -6,13 +6,13 @@ subtotals and hold numbers as text. Sheets arrive with an `ord` column: their ro
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
 from ..functions.text import bracket_digit, cell_count, coarser, recode, retype
 from ..operators.aggregate import grouped_sum, with_share
 from ..operators.columns import drop_subtotals
-from ..operators.ordered import SHEET_BITS, block_labels, fill_down, row_numbers
+from ..operators.ordered import SHEET, fill_down
 from ..schemas import MEMBER_COLUMNS, SIZE_COLUMNS
 
 
@@ -44,15 +44,24 @@ def head_margin(sheet: DataFrame) -> DataFrame:
     return with_share(tidy, by=["hh_size"], tiny=True)
 
 
-def type_margin(sheet: DataFrame, block_rows: int = 10, label: str = "sex") -> DataFrame:
+def type_margin(sheet: DataFrame, heads: Sequence[str] = K.HEAD_LABELS, label: str = "sex") -> DataFrame:
     """Share of each household type given head age and size.
 
-    Kept rows are those of the subtotal over `label` with a real head age; they come in blocks of
-    `block_rows`, one block per type.
+    Kept rows are those of the subtotal over `label` with a real head age. They come in blocks, one for each
+    type; within a block the head ages come in the order of `heads`, so a new block begins where that
+    order starts over. A block that lacks a head age, or has another one, is an error.
     """
-    filled = fill_down(sheet, "ord", label, bits=SHEET_BITS).where(F.col(label) == K.SUBTOTAL_LABEL).drop(label)
-    kept = row_numbers(drop_subtotals(filled, ["head_age"]), "ord", name="_row", bits=SHEET_BITS)
-    typed = block_labels(kept, "_row", block_rows, "hh_type").drop("_row", "ord")
+    filled = fill_down(sheet, "ord", label, segments=SHEET).where(F.col(label) == K.SUBTOTAL_LABEL).drop(label)
+    kept = drop_subtotals(filled, ["head_age"])
+    place = F.array_position(F.array(*[F.lit(h) for h in heads]), F.col("head_age"))
+    rows = Window.orderBy("ord")  # a published sheet
+    starts = F.coalesce((place <= F.lag(place).over(rows)).cast("int"), F.lit(1))
+    typed = kept.withColumn("_starts", starts).withColumn("_type", F.sum("_starts").over(rows).cast("int"))
+    found = F.count_if(place > 0).over(Window.partitionBy("_type"))
+    whole = (found == len(heads)) & (F.count(F.lit(1)).over(Window.partitionBy("_type")) == len(heads))
+    message = F.concat(F.lit("block "), F.col("_type").cast("string"), F.lit(" of the sheet is not complete"))
+    typed = typed.withColumn("hh_type", F.when(whole, F.col("_type")).otherwise(F.raise_error(message).cast("int")))
+    typed = typed.drop("_starts", "_type", "ord")
     long = typed.unpivot(["head_age", "hh_type"], list(SIZE_COLUMNS), "_size", "_cell")
     tidy = long.select(
         F.col("_size").cast("int").alias("hh_size"),
@@ -69,13 +78,14 @@ def conditional_type_share(counts: DataFrame) -> DataFrame:
 
 
 def type_totals(margin: DataFrame) -> DataFrame:
-    """Households and share per type."""
+    """Dwellings and share per type."""
     return with_share(grouped_sum(margin, ["hh_type"], "n"), tiny=True)
 
 
 def member_margin(sheet: DataFrame, name: str) -> DataFrame:
-    """Share of households with 0..3 such members, given type and size; zero cells are dropped."""
-    filled = drop_subtotals(fill_down(sheet, "ord", "hh_type", bits=SHEET_BITS), ["hh_size", "hh_type"])
+    """Share of dwellings with 0..3 such members, given type and size; zero cells are dropped, cells that
+    are no number stay with a missing share."""
+    filled = drop_subtotals(fill_down(sheet, "ord", "hh_type", segments=SHEET), ["hh_size", "hh_type"])
     digits = filled.withColumn("hh_type", bracket_digit(F.col("hh_type"))).drop("ord")
     long = digits.unpivot(["hh_type", "hh_size"], list(MEMBER_COLUMNS), name, "_cell")
     size = recode(F.col("hh_size"), {K.OPEN_SIZE_LABEL: str(K.OPEN_SIZE)}, keep_unmatched=True)
@@ -89,5 +99,8 @@ def member_margin(sheet: DataFrame, name: str) -> DataFrame:
 
 
 def member_count_share(counts: DataFrame) -> DataFrame:
-    """Positive cells with their share within type and size."""
-    return with_share(counts.where(F.col("n") > 0), by=["hh_type", "hh_size"], guarded=True, tiny=True)
+    """Positive cells with their share within type and size; a cell that could not be read stays, with a
+    missing share."""
+    kept = counts.where((F.col("n") > 0) | F.col("n").isNull())
+    shared = with_share(kept, by=["hh_type", "hh_size"], guarded=True, tiny=True)
+    return shared.withColumn("p", F.when(F.col("n").isNotNull(), F.col("p")))

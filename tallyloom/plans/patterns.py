@@ -10,35 +10,40 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import BAND_CODES
 from ..operators.aggregate import column_totals, crosstab, grouped_count, with_share
-from ..operators.reshape import count_matrix, count_names, member_total
+from ..operators.reshape import count_matrix, count_names, member_total, other_name
 
 
 def pattern_label(codes: Sequence[int] = BAND_CODES, prefix: str = "b") -> Column:
-    """The pattern as text: `1{2}+4{2}` is two members of code 1 and two of code 4."""
+    """The pattern as text: `1{2}+4{2}` is two members of code 1 and two of code 4; `?` stands for
+    members without a known code."""
     parts = [
         F.when(F.col(name) > 0, F.concat(F.lit(f"{code}{{"), F.col(name).cast("string"), F.lit("}")))
-        for code, name in zip(codes, count_names(codes, prefix), strict=True)
+        for code, name in [*zip(codes, count_names(codes, prefix), strict=True), ("?", other_name(prefix))]
     ]
     return F.concat_ws("+", *parts)
 
 
 def pattern_order(codes: Sequence[int] = BAND_CODES, prefix: str = "b") -> list[Column]:
     """Most frequent first; ties in the order of the sorted members."""
-    return [F.desc("n"), *[F.desc(name) for name in count_names(codes, prefix)]]
+    return [F.desc("n"), *[F.desc(name) for name in [*count_names(codes, prefix), other_name(prefix)]]]
 
 
 def pattern_counts(
-    matrix: DataFrame, by: Sequence[str] = (), codes: Sequence[int] = BAND_CODES, prefix: str = "b"
+    matrix: DataFrame,
+    by: Sequence[str] = (),
+    codes: Sequence[int] = BAND_CODES,
+    prefix: str = "b",
+    size_col: str | None = None,
 ) -> DataFrame:
     """Entities per pattern with the share within the entity size; keeps the count columns.
 
-    There are at most sqrt(2 * members) distinct sizes, so the per-size totals are broadcast when
-    no other group columns are given.
+    The size is the member count, or a stored column that need not agree with it. Totals per size are
+    joined back; whether they are small enough to be broadcast is left to their measured size.
     """
-    names = count_names(codes, prefix)
-    counted = grouped_count(matrix, [*by, *names])
-    sized = counted.withColumn("hh_size", member_total(codes, prefix)).where("hh_size > 0")
-    return with_share(sized, by=[*by, "hh_size"], small=not by)
+    names = [*count_names(codes, prefix), other_name(prefix)]
+    size = F.col(size_col) if size_col else member_total(codes, prefix)
+    sized = matrix.withColumn("hh_size", size).where("hh_size > 0")
+    return with_share(grouped_count(sized, [*by, "hh_size", *names]), by=[*by, "hh_size"])
 
 
 def labelled(
@@ -47,9 +52,9 @@ def labelled(
     return counted.select(*by, "hh_size", pattern_label(codes).alias("pattern"), "n", "p", *extra)
 
 
-def ranked_patterns(matrix: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def ranked_patterns(matrix: DataFrame, by: Sequence[str] = (), size_col: str | None = None) -> DataFrame:
     """All patterns by size, the most frequent first."""
-    counted = pattern_counts(matrix, by)
+    counted = pattern_counts(matrix, by, size_col=size_col)
     return labelled(counted.orderBy(*by, "hh_size", *pattern_order()), by)
 
 
@@ -81,12 +86,13 @@ def size_distribution(matrix: DataFrame, size_col: str | None = None) -> DataFra
     return with_share(grouped_count(matrix.select(size.alias("hh_size")), ["hh_size"]), tiny=True)
 
 
-def size_by_count(matrix: DataFrame, column: str, values: Sequence[int], size: Column | None = None) -> DataFrame:
-    """Size x number of members of one code, with totals. The last value is an open class."""
-    sized = matrix.select(
-        (member_total() if size is None else size).alias("hh_size"),
-        F.least(F.col(column), F.lit(values[-1])).alias("_count"),
-    )
+def size_by_count(
+    matrix: DataFrame, column: str, values: Sequence[int], size: Column | None = None, open_top: bool = False
+) -> DataFrame:
+    """Size x number of members of one code, with totals and a column for numbers that are not among
+    `values`. With `open_top` the last value is an open class."""
+    number = F.least(F.col(column), F.lit(values[-1])) if open_top else F.col(column)
+    sized = matrix.select((member_total() if size is None else size).alias("hh_size"), number.alias("_count"))
     return crosstab(sized, "hh_size", "_count", values)
 
 

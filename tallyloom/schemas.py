@@ -20,6 +20,6 @@ HEAD_SHEET = struct({"head_age": TEXT} | dict.fromkeys(SIZE_COLUMNS, BIGINT))
 TYPE_SHEET = struct({"ord": BIGINT, "sex": TEXT, "head_age": TEXT} | dict.fromkeys(SIZE_COLUMNS, TEXT))
 MEMBER_SHEET = struct({"ord": BIGINT, "hh_type": TEXT, "hh_size": TEXT} | dict.fromkeys(MEMBER_COLUMNS, TEXT))
 ROSTER_LONG = struct({"hid": BIGINT, "age": INT, "value": BIGINT})
-ROSTER_WIDE = struct({"hid": BIGINT} | {f"b{code}": BIGINT for code in BAND_CODES})
+ROSTER_WIDE = struct({"hid": BIGINT} | {f"b{code}": BIGINT for code in BAND_CODES} | {"b_other": BIGINT})
 HOUSEHOLD_TYPE = struct({"hid": BIGINT, "hh_type": INT})
 FIT_STEPS = struct({"hid": BIGINT, "ss": DOUBLE})

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.constants import HEAD_OPEN_SPLIT
 from tallyloom.operators import distributions
-from tallyloom.operators.aggregate import crosstab, with_share, zero_filled
+from tallyloom.operators.aggregate import code_domain, crosstab, with_share, zero_filled
 from tallyloom.operators.checks import never_seen
 from tallyloom.operators.compare import fit_report, member_gap, squared_error, without_members
 
@@ -71,9 +71,22 @@ def test_unmatched_sides_of_a_plain_report(spark, tiny):
 def test_crosstab_has_zero_cells_and_totals(spark):
     df = spark.createDataFrame([(1, 0), (1, 2), (3, 2), (3, 2)], "r INT, c INT")
     rows = {r.r: tuple(r)[1:] for r in crosstab(df, "r", "c", [0, 1, 2]).collect()}
-    assert rows == {"1": (1, 0, 1, 2), "3": (0, 0, 2, 2), "Sum": (1, 0, 3, 4)}
+    assert rows == {"1": (1, 0, 1, 0, 2), "3": (0, 0, 2, 0, 2), "Sum": (1, 0, 3, 0, 4)}
     weighted = crosstab(df, "r", "c", [0, 2], weight=F.lit(5), margins=False)
-    assert {tuple(r) for r in weighted.collect()} == {(1, 5, 5), (3, 0, 10)}
+    assert {tuple(r) for r in weighted.collect()} == {(1, 5, 5, 0), (3, 0, 10, 0)}
+
+
+def test_crosstab_rows_add_up_with_values_that_are_not_listed(spark):
+    df = spark.createDataFrame([(1, 0), (1, 7), (1, None)], "r INT, c INT")
+    rows = {r.r: tuple(r)[1:] for r in crosstab(df, "r", "c", [0, 1]).collect()}
+    assert rows == {"1": (1, 0, 2, 3), "Sum": (1, 0, 2, 3)}
+
+
+def test_domain_reaches_to_the_largest_value(spark):
+    seen = spark.createDataFrame([(2, 4), (25, 2)], "c INT, n BIGINT")
+    filled = zero_filled(seen, code_domain(seen, "c"), ["c"])
+    assert {r.c: r.n for r in filled.collect()} == {c: {2: 4, 25: 2}.get(c, 0) for c in range(1, 26)}
+    assert code_domain(seen.limit(0), "c").collect() == []
 
 
 def test_zero_fill_and_coverage(spark):

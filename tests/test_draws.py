@@ -52,6 +52,31 @@ def test_many_outcomes_without_a_key(spark):
     assert all(r.code == _reference(table, "", r.u) for r in got)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_fractions_leave_no_gap_and_no_overlap(spark, small):
+    """0.1, 0.2, 0.3, 0.4 added up in binary do not meet; and a missing key is a key."""
+    shares = [(g, code, code / 10) for g in ("a", None) for code in (1, 2, 3, 4)]
+    ends = draws.intervals(spark.createDataFrame(shares, "g STRING, code INT, p DOUBLE"), "code", "p", ["g"], small)
+    for g in ("a", None):
+        rows = sorted((r.lo, r.hi) for r in ends.collect() if r.g == g)
+        assert [lo for lo, _ in rows[1:]] == [hi for _, hi in rows[:-1]] and len(rows) == 4
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(500)], "id BIGINT, g STRING")
+    drawn = draws.draw(rows, spark.createDataFrame(shares, "g STRING, code INT, p DOUBLE"), "code", "p", uniform("id", salt="t"), keys=["g"], small=small)
+    got = drawn.collect()
+    assert len(got) == 500 and all(r.code in (1, 2, 3, 4) for r in got)
+
+
+def test_general_path_uses_more_cells_than_tasks(spark, plan_text):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        dist = spark.createDataFrame([(1, 1), (2, 1)], "code INT, n BIGINT")
+        plan = plan_text(draws.draw(spark.range(10), dist, "code", "n", uniform("id", salt="t")))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "* 800.0" in plan or "* 800" in plan
+
+
 def test_label_outcomes(spark):
     dist = spark.createDataFrame([("x", 1), ("y", 3)], "code STRING, n BIGINT")
     for small in (True, False):

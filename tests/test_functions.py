@@ -5,7 +5,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tallyloom.constants import HEAD_LABELS
-from tallyloom.functions.numeric import clamp, open_top, share_or_zero, squared_distance
+from tallyloom.functions.numeric import clamp, open_top, squared_distance
 from tallyloom.functions.text import band_label, bracket_digit, cell_count, coarser, recode, retype
 from tallyloom.functions.uniform import normal, uniform
 
@@ -26,6 +26,11 @@ def test_cells(spark):
     assert _column(spark, ["1.5", "x"], "STRING", lambda c: retype(c, "double")) == [1.5, None]
 
 
+def test_separators_of_thousands_and_cells_that_are_no_number(spark):
+    cells = ["1,234", "1,234,567", "1 234", " 12 ", "-", "n.a.", "1,23", None]
+    assert _column(spark, cells, "STRING", cell_count) == [1234, 1234567, 1234, 12, 0, None, None, None]
+
+
 def test_recode(spark):
     codes = {label: code for code, label in enumerate(HEAD_LABELS, start=1)}
     assert _column(spark, ["0 - 24", "65+", "?", None], "STRING", lambda c: recode(c, codes)) == [1, 10, None, None]
@@ -41,7 +46,6 @@ def test_codes_and_labels(spark):
 def test_numbers(spark):
     assert _column(spark, [1, 5, 12], "INT", lambda c: clamp(c, 3, 9)) == [3, 5, 9]
     assert _column(spark, [2, 9], "BIGINT", lambda c: open_top(c, 6)) == [2, 6]
-    assert _column(spark, [0, 3], "BIGINT", lambda c: share_or_zero(c, c - c + F.lit(6) * c)) == [0.0, 3 / 18]
     assert _column(spark, [1.0], "DOUBLE", lambda c: squared_distance([c, c], [c - 1, c + 2])) == [5.0]
 
 

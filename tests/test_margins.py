@@ -1,5 +1,7 @@
 """Hand-made published sheets, and what the two published-sheet builders make of them."""
 
+import pytest
+
 from tallyloom import schemas
 from tallyloom.constants import HEAD_LABELS
 from tallyloom.plans import margins, patterns
@@ -19,7 +21,7 @@ def test_type_sheet(spark):
         (8, None, "65+", "-", "-", *dash),
         (9, None, "Sub-Total", "2", "-", *dash),
     ]
-    margin = margins.type_margin(spark.createDataFrame(rows, schemas.TYPE_SHEET), block_rows=2)
+    margin = margins.type_margin(spark.createDataFrame(rows, schemas.TYPE_SHEET), heads=("0 - 24", "65+"))
     got = {(r.head_age, r.hh_size, r.hh_type): (r.n, r.p) for r in margin.collect()}
     assert len(got) == 2 * 2 * 6
     assert got["0 - 24", 1, 1] == (6, 0.75) and got["0 - 24", 1, 2] == (2, 0.25)
@@ -29,6 +31,20 @@ def test_type_sheet(spark):
     assert totals == {1: (10, 10 / 12), 2: (2, 2 / 12)}
 
 
+def test_type_sheet_with_a_missing_row_is_an_error(spark):
+    dash = ["-"] * 5
+    rows = [(1, "Sub-Total", "0 - 24", "5", *dash), (2, None, "65+", "1", *dash), (3, None, "65+", "7", *dash)]
+    margin = margins.type_margin(spark.createDataFrame(rows, schemas.TYPE_SHEET), heads=("0 - 24", "65+"))
+    with pytest.raises(Exception, match="block 2 of the sheet is not complete"):
+        margin.collect()
+
+
+def test_cells_that_are_no_number_stay(spark):
+    rows = [(1, "Couple (1)", "Sub-Total", "9", "9", "9", "9"), (2, None, "2", "1,234", "n.a.", "-", "1,234")]
+    margin = margins.member_margin(spark.createDataFrame(rows, schemas.MEMBER_SHEET), "child")
+    assert sorted(map(tuple, margin.collect())) == [(1, 2, 0, 0.5), (1, 2, 1, None), (1, 2, 3, 0.5)]
+
+
 def test_member_sheet(spark):
     rows = [
         (1, "Couple (1)", "Sub-Total", "9", "9", "9", "9"),

@@ -1,12 +1,12 @@
-"""Segmented running operators against a plain pandas pass, with tiny segments."""
+"""Segmented running operators against a plain pass, with few segments."""
 
-import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import block_labels, fill_down, row_numbers, running_totals
+from tallyloom.operators.ordered import _segment, block_labels, fill_down, row_numbers, running_totals
 
-BITS = (2, 3)
+SEGMENTS = st.sampled_from([1, 2, 5, None])
 QUICK = settings(
     max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
 )
@@ -34,10 +34,10 @@ def _expected(rows, by_group, step):
 
 
 @QUICK
-@given(rows=tables, by_group=st.booleans(), hot_rows=st.sampled_from([0, 5, 10**6]))
-def test_fill_down(spark, rows, by_group, hot_rows):
+@given(rows=tables, by_group=st.booleans(), segments=SEGMENTS)
+def test_fill_down(spark, rows, by_group, segments):
     filled = fill_down(
-        _frame(spark, rows), "k", "v", by=["g"] if by_group else [], hot_rows=hot_rows, bits=BITS
+        _frame(spark, rows), "k", "v", by=["g"] if by_group else [], segments=segments
     )
     expected = _expected(rows, by_group, lambda last, v: last if v is None else v)
     assert {r.k: r.v for r in filled.collect()} == expected
@@ -45,10 +45,10 @@ def test_fill_down(spark, rows, by_group, hot_rows):
 
 
 @QUICK
-@given(rows=tables, by_group=st.booleans(), hot_rows=st.sampled_from([0, 5, 10**6]))
-def test_row_numbers(spark, rows, by_group, hot_rows):
+@given(rows=tables, by_group=st.booleans(), segments=SEGMENTS)
+def test_row_numbers(spark, rows, by_group, segments):
     numbered = row_numbers(
-        _frame(spark, rows), "k", by=["g"] if by_group else [], hot_rows=hot_rows, bits=BITS
+        _frame(spark, rows), "k", by=["g"] if by_group else [], segments=segments
     )
     assert {r.k: r.row_number for r in numbered.collect()} == _expected(
         rows, by_group, lambda n, _: (n or 0) + 1
@@ -56,9 +56,9 @@ def test_row_numbers(spark, rows, by_group, hot_rows):
 
 
 @QUICK
-@given(rows=tables)
-def test_running_totals(spark, rows):
-    totals = running_totals(_frame(spark, rows), "k", ["v"], bits=BITS)
+@given(rows=tables, segments=SEGMENTS)
+def test_running_totals(spark, rows, segments):
+    totals = running_totals(_frame(spark, rows), "k", ["v"], segments=segments)
     assert {r.k: r.run_v for r in totals.collect()} == _expected(
         rows, False, lambda s, v: (s or 0) + (v or 0)
     )
@@ -70,21 +70,41 @@ def test_full_range_of_keys(spark):
     assert [r.row_number for r in sorted(numbered.collect())] == [1, 2, 3, 4, 5, 6, 7]
 
 
-def test_no_single_task_window_over_the_rows(spark, plan_text):
-    """Only the top level of segment totals goes to one task, never the rows."""
-    df = spark.range(1000).withColumnRenamed("id", "k")
-    plan = plan_text(row_numbers(df, "k"))
-    single = [line for line in plan.splitlines() if "SinglePartition" in line]
-    assert len(single) == 1
-    assert "hashpartitioning(_segment2" in plan
+def test_order_by_two_columns_with_ties_and_gaps(spark):
+    rows = [(t, i, v) for i, (t, v) in enumerate([(3, 1), (1, None), (3, None), (None, 7), (1, 2), (None, None), (2, None)] * 5)]
+    df = spark.createDataFrame(rows, "t INT, i BIGINT, v INT")
+    expected, last = {}, None
+    for t, i, v in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        last = expected[i] = last if v is None else v
+    for segments in (1, 3, None):
+        assert {r.i: r.v for r in fill_down(df, ("t", "i"), "v", segments=segments).collect()} == expected
+
+
+def _rows_by_task(df, stage):
+    """How many rows each task of a window over the rows holds."""
+    return sorted(r[0] for r in df.groupBy(stage).count().select("count").collect())
 
 
-def test_hot_branch_disappears_without_hot_groups(spark, plan_text):
-    df = spark.createDataFrame(pd.DataFrame({"k": range(200), "g": ["a", "b"] * 100, "v": [1.0] * 200}))
-    filled = fill_down(df, "k", "v", by=["g"])
-    filled.collect()
-    final = plan_text(filled).split("Initial Plan")[0]
-    assert "Union" not in final
+def test_rows_are_spread_over_tasks(spark):
+    """A table without groups, and one group of all rows with its keys far apart, are many tasks each."""
+    for step in (1, 10**12):
+        df = spark.range(10_000).select((F.col("id") * step).alias("k"), F.lit("a").alias("g"))
+        for by in ([], ["g"]):
+            cut = df.withColumn("_bounds", _segment(df, "k", 8)[0]).withColumn("s", _segment(df, "k", 8)[1])
+            held = _rows_by_task(cut, "s")
+            assert len(held) == 8 and max(held) < 2 * min(held)
+            numbered = row_numbers(df, "k", by, segments=8)
+            assert numbered.where(F.col("row_number") != F.col("k") / step + 1).isEmpty()
+
+
+def test_only_segment_totals_meet_in_one_task(spark, plan_text):
+    df = spark.range(1000).withColumnRenamed("id", "k")
+    plan = plan_text(row_numbers(df, "k"))
+    lines = plan.splitlines()
+    below = [lines[i + 1] for i, line in enumerate(lines) if "SinglePartition" in line]
+    # The totals of segments, and partial quantiles.
+    assert below and all("HashAggregate(keys=[_segment" in x or "partial_percentile_approx" in x for x in below)
+    assert "hashpartitioning(_segment" in plan
 
 
 @pytest.mark.parametrize("blocks, expected", [(None, [1, 1, 2, 2, 3, 3]), (2, [1, 1, 2, 2, 1, 1])])

@@ -30,10 +30,6 @@ def test_scans_read_only_what_is_used(spark, sf_dir, plan_text):
     assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
 
 
-def test_sample_filter_reaches_the_scan(spark, sf_dir, plan_text):
-    assert "EqualTo(l_returnflag,R)" in _plan(spark, sf_dir, plan_text, "fit_size")
-
-
 def test_size_filter_needs_no_second_pass(spark, sf_dir, plan_text):
     plan = _plan(spark, sf_dir, plan_text, "single_member_bands")
     assert plan.index("Filter") < plan.index("Exchange hashpartitioning(hid")
@@ -46,11 +42,11 @@ def test_unpivot_lets_key_filters_through(spark, sf_dir, plan_text):
 
 @pytest.mark.parametrize(
     "name, shuffles_by_household",
-    [("patterns_by_size", 1), ("fit_band_by_size", 2), ("drift_monitor", 1), ("roster_persons", 1), ("margin_child", 1)],
+    [("patterns_by_size", 1), ("drift_monitor", 1), ("roster_persons", 1), ("margin_child", 1)],
 )
 def test_households_are_shuffled_once_per_population(spark, sf_dir, plan_text, name, shuffles_by_household):
     """Branches that need the roster again reuse its shuffle: one executed exchange by household per
-    population, plus the one of the households table where it is joined."""
+    population, plus the one of the dwellings table where it is joined."""
     df = queries()[name](spark, sf_dir)
     df.collect()
     parts = _executed(plan_text(df))
@@ -63,7 +59,20 @@ def test_households_are_shuffled_once_per_population(spark, sf_dir, plan_text, n
 
 
 def test_margins_sum_the_same_cells(spark, sf_dir, plan_text):
-    """The joint law needs two margins; the households are joined and counted once."""
+    """The joint law needs two margins; the dwellings are joined and counted once."""
     df = queries()["dist_joint"](spark, sf_dir)
     df.collect()
     assert "\n".join(_executed(plan_text(df))).count("FileScan parquet") == 2
+
+
+@pytest.mark.parametrize("name", ["fit_size", "fit_band", "fit_type", "fit_band_by_size"])
+def test_fit_reports_scan_the_members_once(spark, sf_dir, plan_text, name):
+    df = queries()[name](spark, sf_dir)
+    df.collect()
+    scans = [line for line in _executed(plan_text(df)) if "FileScan parquet" in line and "l_orderkey" in line]
+    assert len(scans) == 1
+
+
+def test_no_python_in_the_plans_and_no_forced_broadcast_of_sizes(spark, sf_dir, plan_text):
+    for name in ("acceptance_by_stratum", "drift_by_stratum", "fill_down", "row_ids"):
+        assert "Python" not in _plan(spark, sf_dir, plan_text, name)

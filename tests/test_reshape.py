@@ -21,9 +21,9 @@ def _sorted(df):
 
 
 @QUICK
-@given(rows=rosters, chunk=st.sampled_from([1, 2, 65536]), spread=st.booleans())
-def test_members_come_back_numbered_and_sorted(spark, rows, chunk, spread):
-    members = reshape.members(_roster(spark, rows), ["hid"], chunk=chunk, spread=spread)
+@given(rows=rosters, chunk=st.sampled_from([1, 2, 65536]))
+def test_members_come_back_numbered_and_sorted(spark, rows, chunk):
+    members = reshape.members(_roster(spark, rows), ["hid"], chunk=chunk)
     expected, seen = [], {}
     for hid, age in sorted(rows):
         seen[hid] = seen.get(hid, 0) + 1
@@ -49,16 +49,51 @@ def test_pattern_counts_add_up_to_entities(spark, rows):
 
 def test_uncount_drops_weights_below_one(spark):
     df = spark.createDataFrame([("a", 0), ("b", 2), ("c", -1), ("d", None), ("e", 7)], "k STRING, w INT")
-    for chunk, spread in ((65536, True), (3, True), (1, True), (3, False)):
-        copies = reshape.uncount(df, "w", chunk=chunk, spread=spread).select("k", "copy")
+    for chunk in (65536, 3, 1):
+        copies = reshape.uncount(df, "w", chunk=chunk).select("k", "copy")
         assert _sorted(copies) == [("b", 1), ("b", 2)] + [("e", i) for i in range(1, 8)]
 
 
 def test_wide_members_keep_what_does_not_fit_visible(spark):
     matrix = _roster(spark, [(1, 4), (1, 1), (1, 1), (2, 9)])
     rows = {r.hid: r for r in reshape.members_wide(matrix, ["hid"], 2).collect()}
-    assert tuple(rows[1]) == (1, 3, 1, 1, 1)
-    assert tuple(rows[2]) == (2, 1, 9, None, 0)
+    assert tuple(rows[1]) == (1, 3, 1, 1, 2, 0, 0, 1, 0, 0, 0, 0, 0, 0, 1)
+    assert tuple(rows[2]) == (2, 1, 9, None, 0, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0)
+
+
+def test_wide_members_are_as_wide_as_the_largest_entity(spark):
+    matrix = _roster(spark, [(1, 1 + i % 9) for i in range(25)] + [(2, 3)])
+    wide = reshape.members_wide(matrix, ["hid"])
+    rows = {r.hid: r for r in wide.collect()}
+    assert "age_25" in wide.columns and "age_26" not in wide.columns
+    assert [rows[1][f"age_{i + 1}"] for i in range(25)] == sorted(1 + i % 9 for i in range(25))
+    assert rows[1].n_over == rows[2].n_over == 0
+
+
+def test_members_without_a_known_code_are_counted(spark):
+    matrix = _roster(spark, [(1, 1), (1, 10), (1, None), (2, 4)])
+    sized = {r.hid: r for r in matrix.withColumn("n", reshape.member_total()).collect()}
+    assert (sized[1].n, sized[1].b1, sized[1].b_other, sized[2].n) == (3, 1, 2, 1)
+    assert sorted(map(str, map(tuple, reshape.to_long(matrix, ["hid"]).collect()))) == ["(1, 1, 1)", "(1, None, 2)", "(2, 4, 1)"]
+    assert sorted(map(str, map(tuple, reshape.members(matrix, ["hid"]).collect()))) == [
+        "(1, 1, 1)", "(1, 2, None)", "(1, 3, None)", "(2, 1, 4)",
+    ]
+    labels = {r.hh_size: r.pattern for r in patterns.labelled(patterns.pattern_counts(matrix)).collect()}
+    assert labels == {1: "4{1}", 3: "1{1}+?{2}"}
+
+
+def test_any_columns_to_long_and_to_members(spark):
+    matrix = spark.createDataFrame([(1, 2, 0), (2, 0, 1)], "hid BIGINT, a_0_9 BIGINT, a_10_19 BIGINT")
+    names = {"a_0_9": 1, "a_10_19": 2}
+    assert _sorted(reshape.long_from_names(matrix, ["hid"], names)) == [(1, 1, 2), (2, 2, 1)]
+    assert len(_sorted(reshape.long_from_names(matrix, ["hid"], names, positive=False))) == 4
+    assert _sorted(reshape.members(matrix, ["hid"], names=names)) == [(1, 1, 1), (1, 2, 1), (2, 1, 2)]
+
+
+def test_patterns_by_a_stored_size(spark):
+    matrix = _roster(spark, [(1, 1), (1, 2), (2, 1), (3, 1)]).withColumn("stored", F.lit(4))
+    rows = patterns.ranked_patterns(matrix, size_col="stored").collect()
+    assert sorted((r.hh_size, r.pattern, r.n) for r in rows) == [(4, "1{1}", 2), (4, "1{1}+2{1}", 1)]
 
 
 def test_huge_entity_stays_one_narrow_row(spark, plan_text):
@@ -78,8 +113,8 @@ def test_huge_entity_stays_one_narrow_row(spark, plan_text):
 
 
 def test_empty_and_full_rosters(spark):
-    columns = "hid BIGINT, " + ", ".join(f"b{c} BIGINT" for c in range(1, 10))
-    matrix = spark.createDataFrame([(1, *[0] * 9), (2, *[1] * 9), (3, 0, 2, *[0] * 7)], columns)
+    columns = "hid BIGINT, " + ", ".join(f"b{c} BIGINT" for c in [*range(1, 10), "_other"])
+    matrix = spark.createDataFrame([(1, *[0] * 10), (2, *[1] * 9, 0), (3, 0, 2, *[0] * 8)], columns)
     labels = {r.hh_size: r.pattern for r in patterns.labelled(patterns.pattern_counts(matrix)).collect()}
     assert labels == {9: "+".join(f"{c}{{1}}" for c in range(1, 10)), 2: "2{2}"}
     assert _sorted(reshape.to_long(matrix.where("hid = 1"), ["hid"])) == []

@@ -1,4 +1,4 @@
-"""Drift and greedy selection against plain loops."""
+"""Drift against plain loops."""
 
 import numpy as np
 import pytest
@@ -21,24 +21,10 @@ def _error(counts):
     return sum((p - c / whole) ** 2 for p, c in zip(TARGET, counts)) if whole else 100.0
 
 
-def _greedy(rows, threshold, baseline, block):
-    out, state = {}, {}
-    for k, s, *counts in sorted(rows):
-        kept, reference = state.get((s, k // block), ([0, 0, 0], 100.0))
-        tried = [a + b for a, b in zip(kept, counts)]
-        error = _error(tried)
-        keep = error - reference <= threshold
-        out[k] = keep
-        if keep or baseline == selection.PREVIOUS_CANDIDATE:
-            reference = error
-        state[s, k // block] = (tried if keep else kept, reference)
-    return out
-
-
-@pytest.mark.parametrize("bits", [(2, 3), (20, 22)])
-def test_drift(spark, bits):
+@pytest.mark.parametrize("segments", [1, 7])
+def test_drift(spark, segments):
     rows, matrix = _entities(spark)
-    got = {r.k: r for r in selection.drift(matrix, "k", COLUMNS, TARGET, 0.001, bits=bits).collect()}
+    got = {r.k: r for r in selection.drift(matrix, "k", COLUMNS, TARGET, 0.001, segments=segments).collect()}
     so_far, previous = [0, 0, 0], 100.0
     for k, _, *counts in rows:
         so_far = [a + b for a, b in zip(so_far, counts)]
@@ -51,69 +37,25 @@ def test_drift(spark, bits):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("block", [10_000, 50])
-@pytest.mark.parametrize("baseline", [selection.PREVIOUS_CANDIDATE, selection.LAST_ACCEPTED])
-@pytest.mark.parametrize("threshold", [0.0, 0.003])
-def test_greedy_select(spark, block, baseline, threshold):
+def test_drift_within_strata_and_rates(spark, plan_text):
     rows, matrix = _entities(spark)
-    selected = selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"], threshold, baseline, block)
-    assert {r.k: r.kept for r in selected.collect()} == _greedy(rows, threshold, baseline, block)
-    assert {r.block for r in selected.collect()} == {k // block for k, *_ in rows}
-
-
-def test_extreme_thresholds_and_one_row_strata(spark):
-    _, matrix = _entities(spark)
-    every = selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"], 1e9)
-    none = selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"], -1000.0)
-    assert every.where("kept").count() == 60 and none.where("kept").count() == 0
-    alone = selection.greedy_select(matrix.withColumn("s", F.col("k")), "k", COLUMNS, TARGET, ["s"])
-    assert alone.where("kept").count() == 60
-
-
-def test_does_not_depend_on_partitioning(spark):
-    _, matrix = _entities(spark)
-    runs = [
-        sorted(map(tuple, selection.greedy_select(df, "k", COLUMNS, TARGET, ["s"]).collect()))
-        for df in (matrix, matrix.repartition(7))
-    ]
-    assert runs[0] == runs[1]
-
-
-def test_union_of_blocks_fits_at_least_as_well_as_its_blocks(spark):
-    rows, matrix = _entities(spark, 400)
-    selected = selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"], block=200)
-    kept = {r.k: (r.s, r.block) for r in selected.where("kept").collect()}
-    sums = {}
-    for k, _, *counts in rows:
-        if k in kept:
-            sums.setdefault(kept[k], np.zeros(3))
-            sums[kept[k]] += counts
-    sizes = [s.sum() for s in sums.values()]
-    mean = sum(_error(list(s)) * s.sum() for s in sums.values()) / sum(sizes)
-    assert _error(list(sum(sums.values()))) <= mean + 1e-12
+    monitored = selection.drift(matrix, "k", COLUMNS, TARGET, 0.001, by=["s"])
+    got, state, flags = {r.k: r for r in monitored.collect()}, {}, {"x": [], "y": []}
+    for k, s, *counts in rows:
+        so_far, previous = state.get(s, ([0, 0, 0], 100.0))
+        so_far = [a + b for a, b in zip(so_far, counts)]
+        state[s] = so_far, _error(so_far)
+        assert got[k].s == s and abs(got[k].ss - _error(so_far)) < 1e-12
+        flags[s].append(_error(so_far) - previous > 0.001)
+        assert got[k].exceeds == flags[s][-1]
+    for r in selection.acceptance(monitored, ["s"]).collect():
+        assert (r.accepted, r.rejected) == (flags[r.s].count(False), flags[r.s].count(True))
+        assert abs(r.rate - r.accepted / len(flags[r.s])) < 1e-12
+    assert "Python" not in plan_text(monitored)
 
 
-def test_target_from_counts_is_not_shuffled_with_the_rows(spark, plan_text):
+def test_target_from_counts(spark):
     _, matrix = _entities(spark)
     target = selection.target_shares(matrix, COLUMNS)
     whole = matrix.agg(*[F.sum(c) for c in COLUMNS]).first()
     assert [round(v, 12) for v in target.first()] == [round(v / sum(whole), 12) for v in whole]
-    plan = plan_text(selection.greedy_select(matrix, "k", COLUMNS, target, ["s"]))
-    below = plan[plan.index("Exchange hashpartitioning(s") :]
-    assert "_target" not in below.split("Subquery")[0]
-    assert plan.count("REPARTITION_BY_COL") == 1
-
-
-def test_acceptance(spark):
-    _, matrix = _entities(spark)
-    selected = selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"])
-    for r in selection.acceptance(selected, ["s"]).collect():
-        assert r.accepted + r.rejected == 30
-        assert abs(r.rate - r.accepted / 30) < 1e-12
-
-
-@pytest.mark.parametrize("options", [{"block": 0}, {"block": 10**7}, {"baseline": "other"}])
-def test_bad_options(spark, options):
-    _, matrix = _entities(spark)
-    with pytest.raises(ValueError):
-        selection.greedy_select(matrix, "k", COLUMNS, TARGET, ["s"], **options)

@@ -18,17 +18,18 @@ MEMBERS = """members AS (
 
 def matrix(name: str = "matrix", where: str = "", codes=CODES) -> str:
     cells = ", ".join(f"count(*) FILTER (age = {a}) AS b{a}" for a in codes)
+    cells += f", count(*) FILTER (age IS NULL OR age NOT BETWEEN {codes[0]} AND {codes[-1]}) AS b_other"
     return f"{name} AS (SELECT hid, count(*) AS hh_size, {cells} FROM members {where} GROUP BY hid)"
 
 
-HOUSEHOLDS = """households AS (
+DWELLINGS = """dwellings AS (
   SELECT o_orderkey AS hid, CAST(left(o_orderpriority, 1) AS INTEGER) AS hh_type,
          o_orderstatus AS head_age, o_custkey AS custkey, o_totalprice AS worth
   FROM orders)"""
 
 SIZED = """sized AS (
   SELECT h.*, s.hh_size, s.child, s.elder
-  FROM households h {how} JOIN (
+  FROM dwellings h {how} JOIN (
     SELECT hid, CAST(least(count(*), 6) AS INTEGER) AS hh_size,
            CAST(least(count(*) FILTER (age = 1), 3) AS INTEGER) AS child,
            CAST(least(count(*) FILTER (age >= 7), 3) AS INTEGER) AS elder
@@ -54,7 +55,7 @@ counted AS (
 shared AS (
   SELECT *, n / sum(n) OVER (PARTITION BY {by} hh_size) AS share FROM counted)"""
 
-PURCHASES = """SELECT event_id, user_id,
+PURCHASES = """SELECT ts, event_id, user_id,
   CASE WHEN event_type = 'purchase' THEN value END AS v FROM events"""
 
 
@@ -150,41 +151,8 @@ TARGET = (
 )
 
 
-def greedy(threshold: str, previous_candidate: bool, final: str) -> str:
-    state = ", ".join(f"s{a}" for a in CODES)
-    tried = ", ".join(f"s.s{a} + c.b{a} AS t{a}" for a in CODES)
-    kept = ", ".join(f"CASE WHEN keep THEN t{a} ELSE s{a} END AS s{a}" for a in CODES)
-    error = distance("p", [f"t{a}" for a in CODES])
-    reference = "ss" if previous_candidate else "CASE WHEN keep THEN ss ELSE ref END"
-    return f"""WITH RECURSIVE {MEMBERS},
-{matrix()},
-{HOUSEHOLDS},
-{TARGET},
-cand AS (
-  SELECT c.c_mktsegment AS stratum, m.hid // 10000 AS block, m.*,
-         row_number() OVER (PARTITION BY c.c_mktsegment, m.hid // 10000 ORDER BY m.hid) AS rn
-  FROM matrix m JOIN households h USING (hid) JOIN customer c ON c.c_custkey = h.custkey),
-scan AS (
-  SELECT DISTINCT stratum, block, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS hid,
-         CAST(NULL AS DOUBLE) AS ss, FALSE AS kept, 100.0::DOUBLE AS ref,
-         {", ".join(f"CAST(0 AS BIGINT) AS s{a}" for a in CODES)}
-  FROM cand
-  UNION ALL
-  SELECT stratum, block, rn, hid, ss, keep, {reference}, {kept}
-  FROM (
-    SELECT *, NOT (ss - ref > {threshold}) AS keep
-    FROM (
-      SELECT *, {error} AS ss
-      FROM (
-        SELECT s.stratum, s.block, c.rn, c.hid, s.ref, {", ".join(f"s.s{a}" for a in CODES)}, {tried},
-               {", ".join(f"t.p{a}" for a in CODES)}
-        FROM scan s
-        JOIN cand c ON c.stratum = s.stratum AND c.block = s.block AND c.rn = s.rn + 1
-        CROSS JOIN target t))))
-{final}"""
-
-
 BANDS = ", ".join(f"b{a}" for a in CODES)
+OTHER = "b_other"
 MEMBER_SHARES = """{name}_dist AS (
   SELECT hh_type, hh_size, {name}, count(*) / sum(count(*)) OVER (PARTITION BY hh_type, hh_size) AS p
   FROM sized GROUP BY hh_type, hh_size, {name})"""
@@ -221,7 +189,7 @@ def band_pair() -> str:
 
 
 def type_pair() -> str:
-    counts = "SELECT hh_type, count(*) AS n FROM households JOIN {} USING (hid) GROUP BY hh_type"
+    counts = "SELECT hh_type, count(*) AS n FROM dwellings JOIN {} USING (hid) GROUP BY hh_type"
     return paired("hh_type", counts.format("matrix"), counts.format("sample"))
 
 
@@ -238,9 +206,32 @@ def band_size_pair() -> str:
 
 CODE_TABLE = "codes AS (SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS age)"
 SAMPLE = matrix("sample", "WHERE flag = 'R'")
-PAIR_TABLES = (MEMBERS, matrix(), SAMPLE, HOUSEHOLDS, CODE_TABLE)
+PAIR_TABLES = (MEMBERS, matrix(), SAMPLE, DWELLINGS, CODE_TABLE)
 BASE = with_(MEMBERS, matrix()) + "\n"
-SIZED_BASE = (MEMBERS, HOUSEHOLDS, SIZED.format(how=""))
+SIZED_BASE = (MEMBERS, DWELLINGS, SIZED.format(how=""))
+
+STRATIFIED = (
+    with_(MEMBERS, matrix(), DWELLINGS, TARGET)
+    + """,
+placed AS (
+  SELECT c.c_mktsegment AS stratum, m.*
+  FROM matrix m JOIN dwellings h USING (hid) JOIN customer c ON c.c_custkey = h.custkey),
+running AS (SELECT stratum, hid, """
+    + ", ".join(f"CAST(sum(b{a}) OVER w AS BIGINT) AS r{a}" for a in CODES)
+    + " FROM placed WINDOW w AS (PARTITION BY stratum ORDER BY hid ROWS UNBOUNDED PRECEDING)),\nscored AS (SELECT stratum, hid, "
+    + " + ".join(f"r{a}" for a in CODES)
+    + " AS n_so_far, "
+    + distance("p", [f"r{a}" for a in CODES])
+    + """ AS ss FROM running CROSS JOIN target),
+stepped AS (
+  SELECT *, ss - lag(ss, 1, 100.0::DOUBLE) OVER (PARTITION BY stratum ORDER BY hid) AS change FROM scored)
+"""
+)
+HEADS = """heads AS (
+  SELECT h.hid, h.hh_type, CAST(least(m.hh_size, 6) AS INTEGER) AS hh_size,
+    ['0 - 24', '25 - 29', '30 - 34', '35 - 39', '40 - 44', '45 - 49', '50 - 54', '55 - 59', '60 - 64', '65+'][custkey % 10 + 1]
+    AS head_age
+  FROM dwellings h JOIN matrix m USING (hid))"""
 
 ORACLE: dict[str, str] = {
     "patterns_by_size": with_(MEMBERS, PATTERNS.format(by=""))
@@ -255,11 +246,21 @@ SELECT * FROM (
     + "\nSELECT hh_size, pattern, n, round(share, 6) AS p FROM shared ORDER BY n DESC, sorted LIMIT 20",
     "patterns_two_populations": with_(MEMBERS, PATTERNS.format(by="flag,"))
     + "\nSELECT flag AS population, hh_size, pattern, n, round(share, 6) AS p FROM shared",
-    "patterns_wide": with_(MEMBERS)
-    + ", lists AS (SELECT hid, count(*) AS hh_size, list_sort(list(age)) AS a FROM members GROUP BY hid)\n"
+    "patterns_stored_size": with_(
+        MEMBERS, PATTERNS.format(by="").replace("CAST(sum(k) AS BIGINT) AS hh_size", "hid % 6 + 1 AS hh_size")
+    )
+    + "\nSELECT hh_size, pattern, n, round(share, 6) AS p FROM shared",
+    "populations_stacked": with_(
+        MEMBERS.replace("members AS", "once AS"),
+        "members AS (SELECT 'all' AS flag, hid, age FROM once UNION ALL SELECT 'sample', hid, age FROM once WHERE flag = 'R')",
+        PATTERNS.format(by="flag,"),
+    )
+    + "\nSELECT flag AS population, hh_size, pattern, n, round(share, 6) AS p FROM shared",
+    "patterns_wide": with_(MEMBERS, matrix())
+    + ", lists AS (SELECT hid, list_sort(list(age)) AS a FROM members GROUP BY hid)\n"
     + "SELECT hid, hh_size, "
     + ", ".join(f"a[{i}] AS age_{i}" for i in range(1, 21))
-    + ", greatest(hh_size - 20, 0) AS n_over FROM lists",
+    + f", {BANDS}, {OTHER}, greatest(hh_size - 20, 0) AS n_over FROM lists JOIN matrix USING (hid)",
     "size_distribution": BASE
     + "SELECT hh_size, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM matrix GROUP BY hh_size",
     "stored_size_distribution": BASE
@@ -267,31 +268,46 @@ SELECT * FROM (
   round(count(*) / sum(count(*)) OVER (), 6) AS p FROM matrix GROUP BY ALL""",
     "sizes_zero_filled": BASE
     + """SELECT CAST(d.s AS INTEGER) AS hh_size, count(m.hid) AS n
-FROM (SELECT unnest(range(1, 21)) AS s UNION SELECT hh_size FROM matrix) d
+FROM (SELECT unnest(range(1, (SELECT max(hh_size) + 1 FROM matrix))) AS s) d
 LEFT JOIN matrix m ON m.hh_size = d.s GROUP BY d.s""",
     "size_by_band1_margins": BASE
-    + "SELECT coalesce(CAST(least(hh_size, 6) AS VARCHAR), 'Sum') AS hh_size, "
-    + ", ".join(f"count(*) FILTER (least(b1, 6) = {k}) AS c{k}" for k in range(7))
-    + ", count(*) AS total FROM matrix GROUP BY ROLLUP (least(hh_size, 6))",
+    + "SELECT coalesce(CAST(hh_size AS VARCHAR), 'Sum') AS hh_size, "
+    + ", ".join(f"count(*) FILTER (b1 = {k}) AS c{k}" for k in range(7))
+    + ", count(*) FILTER (b1 > 6) AS c_other, count(*) AS total FROM matrix GROUP BY ROLLUP (hh_size)",
     "single_member_bands": with_(MEMBERS, matrix(), CODE_TABLE)
     + """
 SELECT age, n, round(n / sum(n) OVER (), 6) AS p FROM (
   SELECT c.age, count(s.hid) AS n FROM codes c
   LEFT JOIN (SELECT m.hid, m.age FROM members m JOIN matrix x USING (hid) WHERE x.hh_size = 1) s
   USING (age) GROUP BY c.age)""",
-    "roster_matrix": BASE + f"SELECT hid, {BANDS} FROM matrix",
+    "single_member_stored": with_(MEMBERS, CODE_TABLE)
+    + """
+SELECT age, n, round(n / sum(n) OVER (), 6) AS p FROM (
+  SELECT c.age, count(m.hid) AS n FROM codes c
+  LEFT JOIN members m ON m.age = c.age AND m.hid % 6 + 1 = 1 GROUP BY c.age)""",
+    "roster_matrix": BASE + f"SELECT hid, {BANDS}, {OTHER} FROM matrix",
+    "long_from_names": with_(MEMBERS) + "\nSELECT hid, age, count(*) AS value FROM members GROUP BY hid, age",
+    "roster_block": "SELECT l_returnflag AS flag, count(*) AS n_rows FROM lineitem GROUP BY l_returnflag",
     "roster_long": with_(MEMBERS) + "\nSELECT hid, age, count(*) AS value FROM members GROUP BY hid, age",
-    "roster_rebuilt": BASE + f"SELECT hid, {BANDS} FROM matrix",
+    "roster_rebuilt": BASE + f"SELECT hid, {BANDS}, {OTHER} FROM matrix",
     "roster_persons": with_(MEMBERS)
     + "\nSELECT hid, row_number() OVER (PARTITION BY hid ORDER BY age) AS pid, age FROM members",
-    "roster_sizes": BASE + "SELECT hid, b1, hh_size FROM matrix",
+    "roster_sizes": BASE + f"SELECT hid, b1, {OTHER}, hh_size FROM matrix",
     "couples_of_two": with_(*SIZED_BASE)
     + "\nSELECT hid, hh_type, hh_size FROM sized WHERE hh_size = 2 AND hh_type IN (1, 2, 4, 5)",
-    "first_households": BASE + f"SELECT hid, {BANDS} FROM matrix ORDER BY hid LIMIT 6",
+    "first_households": BASE + f"SELECT hid, {BANDS}, {OTHER} FROM matrix ORDER BY hid LIMIT 6",
     "margin_type_given_head_size": with_(*SIZED_BASE, TYPED, TYPE_SHARES)
     + "\nSELECT hh_size, head_age, hh_type, n, round(p, 6) AS p FROM type_dist",
     "margin_type_from_sheet": with_(*SIZED_BASE, TYPED, TYPE_SHARES)
     + "\nSELECT hh_size, head_age, hh_type, n, round(p, 6) AS p FROM type_dist",
+    "margin_head_from_sheet": with_(MEMBERS, matrix(), DWELLINGS, HEADS)
+    + """, cells AS (
+  SELECT s.hh_size, l.head_age, l.head_code, count(h.hid) AS n
+  FROM (SELECT CAST(unnest(range(1, 7)) AS INTEGER) AS hh_size) s
+  CROSS JOIN (SELECT heads.head_age, CAST(custkey % 10 + 1 AS INTEGER) AS head_code
+    FROM heads JOIN dwellings USING (hid) GROUP BY ALL) l
+  LEFT JOIN heads h ON h.hh_size = s.hh_size AND h.head_age = l.head_age GROUP BY ALL)
+SELECT *, round(n / nullif(sum(n) OVER (PARTITION BY hh_size), 0), 6) AS p FROM cells""",
     "margin_head_given_size": with_(*SIZED_BASE)
     + """
 SELECT hh_size, head_age, count(*) AS n,
@@ -313,7 +329,7 @@ SELECT hh_size, age, n, round(n / sum(n) OVER (PARTITION BY hh_size), 6) AS p FR
   LEFT JOIN (SELECT m.hid, m.age, hh_size FROM members m JOIN matrix USING (hid)) x
     ON x.hh_size = s.hh_size AND x.age = c.age
   GROUP BY s.hh_size, c.age)""",
-    "clean_cells": with_(HOUSEHOLDS)
+    "clean_cells": with_(DWELLINGS)
     + """
 SELECT hid,
   regexp_replace(CASE WHEN hid % 5 = 0 THEN head_age ELSE 'Type (' || hh_type || ')' END,
@@ -324,12 +340,12 @@ SELECT hid,
   CASE head_age WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE head_age END AS code_or_label,
   CAST((hid % 18 + 2) // 2 AS INTEGER) AS age,
   (10 * ((hid % 18 + 2) // 2) - 10) || ' - ' || (10 * ((hid % 18 + 2) // 2) - 1) AS age_label
-FROM households""",
+FROM dwellings""",
     "fill_down": f"""SELECT event_id, user_id,
-  last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id
+  last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM ({PURCHASES})""",
     "fill_down_table": f"""SELECT event_id, user_id,
-  last_value(v IGNORE NULLS) OVER (ORDER BY event_id
+  last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM ({PURCHASES})""",
     "member_numbers": """SELECT event_id, user_id,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pid FROM events""",
@@ -362,12 +378,12 @@ FROM (SELECT hid, count(age) AS n,
     CAST(count(age) * sum(age * age) - sum(age) * sum(age) AS DOUBLE)
       / nullif(CAST(count(age) * (count(age) - 1) AS DOUBLE), 0) AS v FROM members GROUP BY hid)""",
     "draw_weighted": with_(
-        MEMBERS, HOUSEHOLDS, "dist AS (SELECT age, count(*) AS n FROM members GROUP BY age)"
+        MEMBERS, DWELLINGS, "dist AS (SELECT age, count(*) AS n FROM members GROUP BY age)"
     )
     + ",\n"
-    + drawn("households", "dist", (), "age", uniform("hid", "band")),
+    + drawn("dwellings", "dist", (), "age", uniform("hid", "band")),
     "draw_conditional": with_(
-        MEMBERS, HOUSEHOLDS, SIZED.format(how="LEFT"), TYPED.replace("FROM sized)", "FROM sized WHERE hh_size > 0)")
+        MEMBERS, DWELLINGS, SIZED.format(how="LEFT"), TYPED.replace("FROM sized)", "FROM sized WHERE hh_size > 0)")
     )
     + ",\nrows AS (SELECT hid, head_age, hh_size FROM sized),\n"
     + drawn("rows", "typed", ("hh_size", "head_age"), "hh_type", uniform("hid", "type")),
@@ -378,7 +394,7 @@ FROM (SELECT o_orderkey AS hid, {uniform("o_orderkey", "elder")} AS u FROM order
     "draw_normal": f"""SELECT o_orderkey AS hid,
   least(9, greatest(2, CAST(round({normal("o_orderkey", 3.0, 1.0, "birth")}) AS INTEGER))) AS age FROM orders""",
     "draw_repeat": f"""SELECT hid, count(*) FILTER (age = 7) AS b7, count(*) FILTER (age = 8) AS b8,
-  count(*) FILTER (age = 9) AS b9
+  count(*) FILTER (age = 9) AS b9, CAST(0 AS BIGINT) AS b_other
 FROM (SELECT hid, {pick({7: 1, 8: 2, 9: 2}, "u")} AS age
       FROM (SELECT hid, {uniform("hid, copy", "elders")} AS u
             FROM (SELECT o_orderkey AS hid, unnest(range(1, o_orderkey % 4 + 1)) AS copy FROM orders))) GROUP BY hid""",
@@ -397,6 +413,18 @@ FROM type_dist WHERE NOT (head_age = 'P' AND hh_type IN (4, 5))""",
     + """
 SELECT CAST((age5 + 1) // 2 AS INTEGER) AS age, round(count(*) / (SELECT count(*) FROM members), 6) AS p
 FROM members GROUP BY ALL""",
+    "dist_rebin_by_type_size": with_(MEMBERS, matrix(), DWELLINGS, HEADS)
+    + """, coarse AS (
+  SELECT hh_type, hh_size,
+    CASE WHEN head_age IN ('0 - 24', '25 - 29') THEN 3 WHEN head_age IN ('30 - 34', '35 - 39') THEN 4
+         WHEN head_age IN ('40 - 44', '45 - 49') THEN 5 WHEN head_age IN ('50 - 54', '55 - 59') THEN 6
+         WHEN head_age = '60 - 64' THEN 7 ELSE 8 END AS age,
+    count(*) / sum(count(*)) OVER (PARTITION BY hh_type, hh_size) AS p
+  FROM heads GROUP BY hh_type, hh_size, 3)
+SELECT hh_type, hh_size, CAST(age AS INTEGER) AS age, round(p, 6) AS p FROM coarse WHERE age <> 8
+UNION ALL
+SELECT hh_type, hh_size, CAST(fine AS INTEGER), round(p * 0.5::DOUBLE, 6)
+FROM coarse, (SELECT unnest([8, 9]) AS fine) WHERE age = 8""",
     "dist_split": with_(MEMBERS)
     + """,
 coarse AS (
@@ -422,7 +450,8 @@ FROM (SELECT hid, head, least(9, greatest(3, head - CAST({uniform("hid", "partne
       FROM (SELECT o_orderkey AS hid, CAST(o_orderkey % 7 + 3 AS INTEGER) AS head FROM orders))""",
     "coverage": with_(MEMBERS)
     + """
-SELECT flag, hh_size FROM (SELECT DISTINCT flag FROM members) CROSS JOIN (SELECT unnest(range(1, 21)) AS hh_size)
+SELECT flag, hh_size FROM (SELECT DISTINCT flag FROM members) CROSS JOIN (
+  SELECT unnest(range(1, (SELECT max(n) + 1 FROM (SELECT count(*) AS n FROM members GROUP BY flag, hid)))) AS hh_size)
 EXCEPT
 SELECT flag, count(*) FROM members GROUP BY flag, hid""",
     "replicate_fit": with_(
@@ -454,18 +483,10 @@ SELECT CAST(replicate AS INTEGER) AS replicate, round(ss, 9) AS ss, ss <= 0.0000
     + """ AS ss FROM running CROSS JOIN target),
 stepped AS (SELECT *, ss - lag(ss, 1, 100.0::DOUBLE) OVER (ORDER BY hid) AS change FROM scored)
 SELECT hid, n_so_far, ss, change, change > 0 AS exceeds FROM stepped""",
-    "greedy_select": greedy(
-        "0", True, "SELECT stratum, block, hid, ss, kept FROM scan WHERE rn > 0"
-    ),
-    "greedy_select_last_accepted": greedy(
-        "0.0001::DOUBLE", False, "SELECT stratum, block, hid, ss, kept FROM scan WHERE rn > 0"
-    ),
-    "acceptance_by_stratum": greedy(
-        "0",
-        True,
-        """SELECT stratum, count(*) FILTER (kept) AS accepted, count(*) FILTER (NOT kept) AS rejected,
-  round(avg(CAST(kept AS INTEGER)), 6) AS rate FROM scan WHERE rn > 0 GROUP BY stratum""",
-    ),
+    "drift_by_stratum": STRATIFIED + "SELECT stratum, hid, n_so_far, ss, change, change > 0 AS exceeds FROM stepped",
+    "acceptance_by_stratum": STRATIFIED
+    + """SELECT stratum, count(*) FILTER (change <= 0) AS accepted, count(*) FILTER (change > 0) AS rejected,
+  round(avg(CAST(change <= 0 AS INTEGER)), 6) AS rate FROM stepped GROUP BY stratum""",
 }
 
 for _name, _share in (("child", "child"), ("elder", "elder")):

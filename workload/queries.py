@@ -12,7 +12,7 @@ from tallyloom.operators import aggregate, checks, compare, distributions, draws
 from tallyloom.operators import selection
 from tallyloom.operators.columns import all_but, starting_with
 from tallyloom.plans import fit, margins, patterns
-from tallyloom.sources import first_rows
+from tallyloom.sources import first_rows, read_block
 
 from . import standins as S
 
@@ -63,6 +63,23 @@ def patterns_two_populations(spark, sf_dir):
     return rounded(patterns.labelled(counted, ["population"]))
 
 
+def _stored(spark, sf_dir):
+    """A roster with a stored size that need not agree with its members."""
+    return S.roster(spark, sf_dir).withColumn("declared", F.col("hid") % 6 + 1)
+
+
+@register
+def patterns_stored_size(spark, sf_dir):
+    return rounded(patterns.ranked_patterns(_stored(spark, sf_dir), size_col="declared"))
+
+
+@register
+def populations_stacked(spark, sf_dir):
+    members = S.members(spark, sf_dir)
+    rosters = {"all": members, "sample": members.where(F.col("flag") == SAMPLE_FLAG)}
+    return rounded(patterns.compare_populations(rosters, "hid", "age"))
+
+
 @register
 def patterns_wide(spark, sf_dir):
     return reshape.members_wide(S.roster(spark, sf_dir), ["hid"], WIDTH)
@@ -82,13 +99,13 @@ def stored_size_distribution(spark, sf_dir):
 @register
 def sizes_zero_filled(spark, sf_dir):
     counted = fit.size_counts(S.roster(spark, sf_dir)).withColumn("hh_size", F.col("hh_size").cast("int"))
-    return aggregate.zero_filled(counted, aggregate.code_domain(counted, 1, WIDTH, "hh_size"), ["hh_size"])
+    return aggregate.zero_filled(counted, aggregate.code_domain(counted, "hh_size"), ["hh_size"])
 
 
 @register
 def size_by_band1_margins(spark, sf_dir):
     matrix = S.roster(spark, sf_dir)
-    return patterns.size_by_count(matrix, "b1", range(K.OPEN_SIZE + 1), S.size_class())
+    return patterns.size_by_count(matrix, "b1", range(K.OPEN_SIZE + 1))
 
 
 @register
@@ -96,6 +113,11 @@ def single_member_bands(spark, sf_dir):
     return rounded(patterns.single_member_bands(S.roster(spark, sf_dir)))
 
 
+@register
+def single_member_stored(spark, sf_dir):
+    return rounded(patterns.single_member_bands(_stored(spark, sf_dir), "declared"))
+
+
 # Roster shapes
 
 
@@ -109,6 +131,21 @@ def roster_long(spark, sf_dir):
     return reshape.to_long(S.roster(spark, sf_dir), ["hid"])
 
 
+@register
+def long_from_names(spark, sf_dir):
+    codes = {f"a_{10 * (c - 1)}_{10 * c - 1}": c for c in K.BAND_CODES}
+    matrix = S.roster(spark, sf_dir).withColumnsRenamed(dict(zip(BANDS, codes)))
+    return reshape.long_from_names(matrix, ["hid"], codes, other=reshape.other_name())
+
+
+@register
+def roster_block(spark, sf_dir):
+    """The sheet reader on a table that has no header, columns named by position."""
+    names = ["hid", "quantity", "flag"]
+    block = read_block(spark, f"{sf_dir}/lineitem.parquet", S.SCHEMAS["lineitem"], names, "parquet")
+    return aggregate.grouped_count(block, ["flag"]).withColumnRenamed("n", "n_rows")
+
+
 @register
 def roster_rebuilt(spark, sf_dir):
     long = reshape.to_long(S.roster(spark, sf_dir), ["hid"])
@@ -149,7 +186,12 @@ def margin_type_given_head_size(spark, sf_dir):
 
 @register
 def margin_type_from_sheet(spark, sf_dir):
-    return rounded(margins.type_margin(S.type_sheet(spark, sf_dir), block_rows=3))
+    return rounded(margins.type_margin(S.type_sheet(spark, sf_dir), heads=("F", "O", "P")))
+
+
+@register
+def margin_head_from_sheet(spark, sf_dir):
+    return rounded(margins.head_margin(S.head_sheet(spark, sf_dir)))
 
 
 @register
@@ -205,7 +247,7 @@ def clean_cells(spark, sf_dir):
     )
     codes = {"F": "1", "O": "2"}
     band = (F.col("hid") % 18 + 1).cast("int")
-    return S.households(spark, sf_dir).select(
+    return S.dwellings(spark, sf_dir).select(
         "hid",
         bracket_digit(label).alias("digit"),
         cell_count(cell).alias("n"),
@@ -218,17 +260,20 @@ def clean_cells(spark, sf_dir):
 
 def _purchases(spark, sf_dir):
     purchase = F.when(F.col("event_type") == "purchase", F.col("value"))
-    return S.table(spark, sf_dir, "events").select("event_id", "user_id", purchase.alias("last_purchase"))
+    return S.table(spark, sf_dir, "events").select("ts", "event_id", "user_id", purchase.alias("last_purchase"))
+
+
+IN_TIME = ("ts", "event_id")
 
 
 @register
 def fill_down(spark, sf_dir):
-    return ordered.fill_down(_purchases(spark, sf_dir), "event_id", "last_purchase", by=["user_id"])
+    return ordered.fill_down(_purchases(spark, sf_dir), IN_TIME, "last_purchase", by=["user_id"]).drop("ts")
 
 
 @register
 def fill_down_table(spark, sf_dir):
-    return ordered.fill_down(_purchases(spark, sf_dir), "event_id", "last_purchase")
+    return ordered.fill_down(_purchases(spark, sf_dir), IN_TIME, "last_purchase").drop("ts")
 
 
 @register
@@ -248,26 +293,21 @@ def row_ids(spark, sf_dir):
 # Fit
 
 
-def _pair(spark, sf_dir):
-    return S.roster(spark, sf_dir), S.roster(spark, sf_dir, SAMPLE_FLAG)
-
-
-def _type_counts(spark, sf_dir, matrix):
-    typed = S.households(spark, sf_dir).join(matrix.select("hid"), "hid")
-    return aggregate.grouped_count(typed, ["hh_type"])
+def _sides(spark, sf_dir):
+    """Population and sample, counted side by side in one pass over the members."""
+    return fit.two_sides(S.members(spark, sf_dir), "hid", "age", F.col("flag") == SAMPLE_FLAG)
 
 
 def _size_report(spark, sf_dir):
-    return fit.margin_fit(*[fit.size_counts(matrix) for matrix in _pair(spark, sf_dir)], "hh_size")
+    return fit.size_fit(_sides(spark, sf_dir))
 
 
 def _band_report(spark, sf_dir):
-    return fit.margin_fit(*[fit.band_counts(matrix) for matrix in _pair(spark, sf_dir)], "age")
+    return fit.band_fit(_sides(spark, sf_dir))
 
 
 def _type_report(spark, sf_dir):
-    counts = [_type_counts(spark, sf_dir, matrix) for matrix in _pair(spark, sf_dir)]
-    return fit.margin_fit(*counts, "hh_type")
+    return fit.type_fit(_sides(spark, sf_dir), S.dwellings(spark, sf_dir).select("hid", "hh_type"), "hid")
 
 
 @register
@@ -296,7 +336,7 @@ def fit_errors(spark, sf_dir):
 
 
 def _by_size(spark, sf_dir):
-    return fit.band_fit_by_size(*[fit.band_counts_by_size(m) for m in _pair(spark, sf_dir)])
+    return fit.band_fit_sides_by_size(_sides(spark, sf_dir))
 
 
 @register
@@ -312,14 +352,14 @@ def fit_band_by_size_errors(spark, sf_dir):
 
 @register
 def shortfall(spark, sf_dir):
-    declared = S.households(spark, sf_dir).select("hid", (F.col("hid") % 6 + 1).alias("declared"))
+    declared = S.dwellings(spark, sf_dir).select("hid", (F.col("hid") % 6 + 1).alias("declared"))
     return compare.member_gap(declared, S.members(spark, sf_dir), "hid", "declared")
 
 
 @register
 def no_members(spark, sf_dir):
     return compare.without_members(
-        S.households(spark, sf_dir).select("hid"), S.members(spark, sf_dir), "hid"
+        S.dwellings(spark, sf_dir).select("hid"), S.members(spark, sf_dir), "hid"
     )
 
 
@@ -342,7 +382,7 @@ def group_variance(spark, sf_dir):
 
 @register
 def draw_weighted(spark, sf_dir):
-    keys = S.households(spark, sf_dir).select("hid")
+    keys = S.dwellings(spark, sf_dir).select("hid")
     dist = aggregate.grouped_count(S.members(spark, sf_dir), ["age"])
     return draws.draw(keys, dist, "age", "n", uniform("hid", salt="band", seed=1), small=True)
 
@@ -358,13 +398,13 @@ def draw_conditional(spark, sf_dir):
 @register
 def draw_fixed(spark, sf_dir):
     number = uniform("hid", salt="elder", seed=1)
-    return S.households(spark, sf_dir).select("hid", draws.pick(K.HEAD_OPEN_SPLIT, number).alias("age"))
+    return S.dwellings(spark, sf_dir).select("hid", draws.pick(K.HEAD_OPEN_SPLIT, number).alias("age"))
 
 
 @register
 def draw_bernoulli(spark, sf_dir):
     number = uniform("hid", salt="gap", seed=1)
-    return S.households(spark, sf_dir).select(
+    return S.dwellings(spark, sf_dir).select(
         "hid", draws.bernoulli(1 - K.SAME_BAND_PARTNER, number).alias("gap")
     )
 
@@ -373,12 +413,12 @@ def draw_bernoulli(spark, sf_dir):
 def draw_normal(spark, sf_dir):
     mean, sd = K.BIRTH_GAP
     drawn = draws.whole_normal("hid", mean=mean, sd=sd, low=K.BIRTH_GAP_MIN, high=9, salt="birth", seed=1)
-    return S.households(spark, sf_dir).select("hid", drawn.alias("age"))
+    return S.dwellings(spark, sf_dir).select("hid", drawn.alias("age"))
 
 
 @register
 def draw_repeat(spark, sf_dir):
-    rows = S.households(spark, sf_dir).select("hid", (F.col("hid") % 4).alias("n_elder"))
+    rows = S.dwellings(spark, sf_dir).select("hid", (F.col("hid") % 4).alias("n_elder"))
     return draws.draw_members(rows, "hid", "n_elder", K.ELDER_WEIGHTS, tuple(K.ELDER_WEIGHTS), "elders", 1)
 
 
@@ -414,6 +454,16 @@ def dist_rebin(spark, sf_dir):
     return rounded(distributions.rebin(shares, [], "age5_code", coarser(F.col("age5_code")), "age"))
 
 
+@register
+def dist_rebin_by_type_size(spark, sf_dir):
+    """Head-age labels as bands of other members, by type and size, the top band split evenly."""
+    keys = ["hh_type", "hh_size"]
+    counted = aggregate.grouped_count(S.head_labels(spark, sf_dir), [*keys, "head_age"])
+    shares = aggregate.with_share(counted, by=keys, tiny=True).drop("n")
+    coarse = distributions.rebin(shares, keys, "head_age", K.OTHER_MEMBER_BANDS, "age")
+    return rounded(distributions.split(coarse, "age", {8: K.OTHER_TOP_SPLIT}))
+
+
 @register
 def dist_split(spark, sf_dir):
     shares = distributions.rebin(
@@ -426,13 +476,13 @@ def dist_split(spark, sf_dir):
 def recode_head(spark, sf_dir):
     labels = F.array(*[F.lit(label) for label in K.HEAD_LABELS])
     label = F.get(labels, (F.col("custkey") % len(K.HEAD_LABELS)).cast("int"))
-    labelled = S.households(spark, sf_dir).select("hid", label.alias("head_age"))
+    labelled = S.dwellings(spark, sf_dir).select("hid", label.alias("head_age"))
     return labelled.withColumn("head_code", relatives.head_band(F.col("head_age"), "hid", seed=1))
 
 
 @register
 def derived_age(spark, sf_dir):
-    heads = S.households(spark, sf_dir).select("hid", (F.col("hid") % 7 + 3).cast("int").alias("head"))
+    heads = S.dwellings(spark, sf_dir).select("hid", (F.col("hid") % 7 + 3).cast("int").alias("head"))
     with_partner = heads.withColumn("partner", relatives.partner_band(F.col("head"), "hid", seed=1))
     return with_partner.withColumns(
         {
@@ -450,19 +500,18 @@ def coverage(spark, sf_dir):
     sized = reshape.count_matrix(S.members(spark, sf_dir), ["flag", "hid"], "age").select(
         "flag", reshape.member_total().alias("hh_size")
     )
-    sizes = F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(WIDTH).cast("bigint")))
-    domain = S.members(spark, sf_dir).select("flag").distinct().withColumn("hh_size", sizes)
+    # Per flag its largest size; the largest of all flags is the end of every flag's domain.
+    flags = sized.groupBy("flag").agg(F.max("hh_size").alias("_last"))
+    last = flags.agg(F.max("_last")).scalar()
+    domain = flags.select("flag", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("hh_size"))
     return checks.never_seen(domain, sized, ["flag", "hh_size"])
 
 
 @register
 def replicate_fit(spark, sf_dir):
-    keys = S.households(spark, sf_dir).select("hid")
+    keys = S.dwellings(spark, sf_dir).select("hid")
     dist = fit.size_counts(S.roster(spark, sf_dir))
-    # Distinct sizes number at most the square root of twice the member count.
-    fitted = draws.replicate_fit(
-        keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1, small=True
-    )
+    fitted = draws.replicate_fit(keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1)
     return rounded(fitted, "ss", digits=ERROR_DIGITS)
 
 
@@ -473,27 +522,22 @@ def drift_monitor(spark, sf_dir):
     return selection.drift(matrix, "hid", BANDS, target, DRIFT_THRESHOLD)
 
 
-def _selected(spark, sf_dir, **options):
+def _stratified(spark, sf_dir):
     segment = S.table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("custkey"), F.col("c_mktsegment").alias("stratum")
     )
-    strata = S.households(spark, sf_dir).select("hid", "custkey").join(segment, "custkey")
+    strata = S.dwellings(spark, sf_dir).select("hid", "custkey").join(segment, "custkey")
     matrix = S.roster(spark, sf_dir)
     target = selection.target_shares(matrix, BANDS)
     placed = matrix.join(strata.drop("custkey"), "hid")
-    return selection.greedy_select(placed, "hid", BANDS, target, ["stratum"], **options)
-
-
-@register
-def greedy_select(spark, sf_dir):
-    return _selected(spark, sf_dir)
+    return selection.drift(placed, "hid", BANDS, target, DRIFT_THRESHOLD, by=["stratum"])
 
 
 @register
-def greedy_select_last_accepted(spark, sf_dir):
-    return _selected(spark, sf_dir, threshold=0.0001, baseline=selection.LAST_ACCEPTED)
+def drift_by_stratum(spark, sf_dir):
+    return _stratified(spark, sf_dir)
 
 
 @register
 def acceptance_by_stratum(spark, sf_dir):
-    return rounded(selection.acceptance(_selected(spark, sf_dir), ["stratum"]), "rate")
+    return rounded(selection.acceptance(_stratified(spark, sf_dir), ["stratum"]), "rate")

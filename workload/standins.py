@@ -1,4 +1,4 @@
-"""What stands for households, members and published sheets on the given tables."""
+"""What stands for dwellings, members and published sheets on the given tables."""
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -9,7 +9,7 @@ from tallyloom.operators.reshape import count_matrix, member_total, to_long
 
 SCHEMAS = {
     "customer": "c_custkey BIGINT, c_mktsegment STRING",
-    "events": "event_id BIGINT, user_id BIGINT, event_type STRING, value DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
     "lineitem": "l_orderkey BIGINT, l_quantity DOUBLE, l_returnflag STRING",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING",
 }
@@ -26,20 +26,12 @@ def _code(width: int) -> Column:
 
 
 def members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per member: hid, age (band 1..9), age5_code (1..17), flag.
-
-    The key filter is stated here so that plans with and without a join on hid scan and shuffle
-    alike, and share that shuffle.
-    """
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_orderkey").isNotNull())
-        .select(
-            F.col("l_orderkey").alias("hid"),
-            _code(6).alias("age"),
-            _code(3).alias("age5_code"),
-            F.col("l_returnflag").alias("flag"),
-        )
+    """One row per member: hid, age (band 1..9), age5_code (1..17), flag."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("hid"),
+        _code(6).alias("age"),
+        _code(3).alias("age5_code"),
+        F.col("l_returnflag").alias("flag"),
     )
 
 
@@ -54,7 +46,7 @@ def size_class() -> Column:
     return open_top(member_total(), K.OPEN_SIZE).cast("int")
 
 
-def households(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dwellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per household: hid, hh_type, head_age, custkey, worth."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("hid"),
@@ -66,18 +58,18 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sized_households(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
-    """Households with their size class and their counts of band 1 and of bands 7 to 9 (0..3)."""
+    """Dwellings with their size class and their counts of band 1 and of bands 7 to 9 (0..3)."""
     counts = roster(spark, sf_dir).select(
         "hid",
         size_class().alias("hh_size"),
         F.least("b1", F.lit(3)).cast("int").alias("child"),
         F.least(F.col("b7") + F.col("b8") + F.col("b9"), F.lit(3)).cast("int").alias("elder"),
     )
-    return households(spark, sf_dir).join(counts, "hid", how)
+    return dwellings(spark, sf_dir).join(counts, "hid", how)
 
 
 def household_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Households counted by every attribute the margins use: at most a few thousand rows.
+    """Dwellings counted by every attribute the margins use: at most a few thousand rows.
 
     All margins are sums of these cells, so queries that need several of them join and aggregate
     the tables once and share that shuffle.
@@ -91,7 +83,7 @@ def household_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Households per size class, head and type, absent types as 0."""
+    """Dwellings per size class, head and type, absent types as 0."""
     wide = count_matrix(
         household_cells(spark, sf_dir), ["hh_size", "head_age"], "hh_type", TYPE_CODES, weight="n", prefix="t"
     )
@@ -101,10 +93,25 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def member_counts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Households per type, size class and number of `name` members."""
+    """Dwellings per type, size class and number of `name` members."""
     return grouped_sum(household_cells(spark, sf_dir), ["hh_type", "hh_size", name], "n")
 
 
+def head_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per dwelling its type, its realised size class and one of the ten published head-age labels."""
+    labels = F.array(*[F.lit(label) for label in K.HEAD_LABELS])
+    sizes = roster(spark, sf_dir).select("hid", size_class().alias("hh_size"))
+    label = F.get(labels, (F.col("custkey") % len(K.HEAD_LABELS)).cast("int"))
+    return dwellings(spark, sf_dir).select("hid", "hh_type", label.alias("head_age")).join(sizes, "hid")
+
+
+def head_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published sheet of dwellings by head-age label, sizes as columns 1..6."""
+    cells = head_labels(spark, sf_dir).groupBy("head_age", "hh_size").agg(F.count(F.lit(1)).alias("n"))
+    sheet = count_matrix(cells, ["head_age"], "hh_size", SIZE_CLASSES, weight="n", prefix="s")
+    return sheet.select("head_age", *[F.col(f"s{s}").alias(str(s)) for s in SIZE_CLASSES])
+
+
 def _printed(cell: Column) -> Column:
     return F.when(cell == 0, F.lit(K.NIL_CELL)).otherwise(cell.cast("string"))
 
@@ -144,7 +151,7 @@ def type_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def member_sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A published sheet of households by type, size and number of `name` members."""
+    """A published sheet of dwellings by type, size and number of `name` members."""
     cells = count_matrix(
         household_cells(spark, sf_dir), ["hh_type", "hh_size"], name, range(4), weight="n", prefix="k"
     )
@@ -159,7 +166,7 @@ def member_sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         .otherwise(F.col("hh_size").cast("string"))
     )
     kind = F.when(F.col("_all_type") == 1, K.SUBTOTAL_LABEL).otherwise(
-        F.concat(F.lit("Households of type ("), F.col("hh_type").cast("string"), F.lit(")"))
+        F.concat(F.lit("Dwellings of type ("), F.col("hh_type").cast("string"), F.lit(")"))
     )
     # The subtotal row opens its block and carries the label.
     return sums.select(
