@@ -7,7 +7,8 @@ def expected(rows, threshold=0.9):
     valid = {}
     for i, v in rows:
         if v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            valid[i] = np.array(v, float) / np.linalg.norm(np.array(v, float))
+            scaled = np.array(v, float) / max(map(abs, v))
+            valid[i] = scaled / np.linalg.norm(scaled)
     links = {i: {j for j in valid if j != i and len(valid[i]) == len(valid[j]) and valid[i] @ valid[j] >= threshold} if i in valid else set() for i, _ in rows}
     out = {}
     for i in links:
