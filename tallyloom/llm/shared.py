@@ -47,8 +47,10 @@ def ddl(fields: str) -> StructType:
     return StructType.fromDDL(fields)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that `column` (string or binary) holds about `limit` bytes in each."""
+def slices(
+    batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, rows: int = 1 << 30
+) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that `column` (string or binary) holds about `limit` bytes in each, and `rows` rows at most."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -57,7 +59,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BY
         ends, start = np.cumsum(lengths, dtype=np.int64), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 
