@@ -54,23 +54,23 @@ def groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def forest(n: int, a, b) -> tuple:
-    """Links (a, b), indices below n, that connect what all the given ones connect: at most n - 1,
-    plus a few. Rounds of hooking to the smallest label, so it is numpy work throughout."""
+def forest(n: int, a, b, positions: bool = False) -> tuple:
+    """Links (a, b), indices below n, that connect what all the given ones connect, at most n - 1 of them; of links
+    that would do, those given earlier. Rounds of hooking to the smallest label, numpy work throughout.
+    With `positions`, where the links stand among the given ones."""
     import numpy as np
 
-    label, kept_a, kept_b = np.arange(n), [], []
-    while len(a):
-        la, lb = label[a], label[b]
+    label, kept, at = np.arange(n), [], np.arange(len(a))
+    while len(at):
+        la, lb = label[a[at]], label[b[at]]
         apart = la != lb
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        if not len(a):
+        at, la, lb = at[apart], la[apart], lb[apart]
+        if not len(at):
             break
         # Each label but the smallest of its surroundings is hooked by one of its links.
         high, low = np.maximum(la, lb), np.minimum(la, lb)
         hooked, first = np.unique(high, return_index=True)
-        kept_a.append(a[first])
-        kept_b.append(b[first])
+        kept.append(at[first])
         target = np.arange(n)
         target[hooked] = low[first]
         while True:
@@ -79,5 +79,5 @@ def forest(n: int, a, b) -> tuple:
                 break
             target = further
         label = target[label]
-    empty = np.zeros(0, np.int64)
-    return (np.concatenate(kept_a), np.concatenate(kept_b)) if kept_a else (empty, empty)
+    kept = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+    return kept if positions else (a[kept], b[kept])

@@ -1,14 +1,14 @@
 """Near-duplicate texts: HyperMinHash registers, banding, corrected estimates, exact confirmation.
 
-Every distinct shingle goes to each of REGISTERS buckets under that bucket's own hash. A bucket keeps
-its least hash value compressed to 16 bits: the count of leading zeros (6 bits) and the next 10 bits,
-the mantissa. (With one hash for all buckets, short texts would leave most of them empty.) Texts whose
-registers agree in all ROWS of a band are candidates; a candidate pair goes on if its Jaccard estimate,
-corrected for collisions of compressed values, is at least ESTIMATE; it is a link if the full sets meet
-the threshold exactly.
+Every distinct shingle goes to each of a number of buckets under that bucket's own hash. A bucket keeps
+its least hash value compressed: the count of leading zeros (6 bits) and the next bits, the mantissa. (With
+one hash for all buckets, short texts would leave most of them empty.) Texts whose REGISTERS registers of
+16 bits agree in all ROWS of a band are candidates. Texts with candidates get FINE more registers of 8 bits; a
+candidate pair goes on if its Jaccard estimate from those, corrected for collisions of compressed values,
+is at least ESTIMATE; it is a link if the full sets meet the threshold exactly.
 
 At the threshold of 0.75 a pair shares no band with probability (1 - 0.75**3)**32 = 2e-8; its estimate
-from 96 registers is under ESTIMATE with probability below 1e-7 (five standard errors).
+from 512 registers is under ESTIMATE with probability below 1e-6 (five standard errors of 0.02).
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from tallyloom.llm.words import mixed, shingles, word_hashes
 BANDS, ROWS = 32, 3
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
-ESTIMATE = 0.53
+FINE, FINE_MANTISSA = 512, 2
+ESTIMATE = 0.65
 WIDTH = 5
 #: Rows of a band bucket that one task holds; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
@@ -34,32 +35,34 @@ BLOCK = 2048
 COLLISION = 0.169919487159739093975315012348
 
 
-def registers(values, begins):
-    """HyperMinHash registers (texts x REGISTERS, uint16) of non-empty runs of shingle hashes."""
+def registers(values, begins, first: int = 0, count: int = REGISTERS, mantissa: int = MANTISSA):
+    """HyperMinHash registers `first` .. `first + count` (texts x count) of non-empty runs of shingle hashes:
+    uint16, or uint8 for a mantissa of two bits at most."""
     import numpy as np
 
     rng = np.random.default_rng(20)
-    scale = rng.integers(1 << 62, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    salt = rng.integers(0, 1 << 63, REGISTERS, dtype=np.uint64)
-    out = np.empty((len(begins), REGISTERS), np.uint16)
-    for k in range(REGISTERS):
-        x = (values ^ salt[k]) * scale[k]
+    scale = rng.integers(1 << 62, 1 << 63, REGISTERS + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    salt = rng.integers(0, 1 << 63, REGISTERS + FINE, dtype=np.uint64)
+    kind = np.uint8 if mantissa <= 2 else np.uint16
+    out = np.empty((len(begins), count), kind)
+    for k in range(count):
+        x = (values ^ salt[first + k]) * scale[first + k]
         x ^= x >> np.uint64(29)
         x *= np.uint64(0xBF58476D1CE4E5B9)
         fraction, exponent = np.frexp((np.minimum.reduceat(x, begins) >> np.uint64(1)).astype(np.float64))
         zeros = np.minimum(64 - exponent, 63)
-        mantissa = np.clip((fraction * 2 - 1) * (1 << MANTISSA), 0, (1 << MANTISSA) - 1)
-        out[:, k] = (zeros.astype(np.uint16) << np.uint16(MANTISSA)) | mantissa.astype(np.uint16)
+        cells = np.clip((fraction * 2 - 1) * (1 << mantissa), 0, (1 << mantissa) - 1)
+        out[:, k] = (zeros.astype(kind) << kind(mantissa)) | cells.astype(kind)
     return out
 
 
-def estimates(equal, left, right):
+def estimates(equal, left, right, mantissa: int = FINE_MANTISSA):
     """Jaccard estimates from the share of equal registers and the two set sizes."""
     import numpy as np
 
     left, right = np.maximum(left, 1).astype(float), np.maximum(right, 1).astype(float)
     ratio = np.maximum(left, right) / np.minimum(left, right)
-    chance = COLLISION * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
+    chance = COLLISION * 2.0**-mantissa * 4 * ratio / (1 + ratio) ** 2
     return (equal - chance) / (1 - chance)
 
 
@@ -82,6 +85,12 @@ def _binary_rows(matrix) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
+def _matrix(column, kind, width: int):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
@@ -115,12 +124,14 @@ def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     for batch in batches:
-        flat = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16)
-        cells = flat.reshape(-1, BANDS, ROWS).astype(np.uint64)
+        cells = _matrix(batch.column("registers"), np.uint16, REGISTERS).reshape(-1, BANDS, ROWS).astype(np.uint64)
         packed = (cells[:, :, 0] << np.uint64(32)) | (cells[:, :, 1] << np.uint64(16)) | cells[:, :, 2]
         keys = mixed(packed ^ (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(49)))
         ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.ravel().view(np.int64))], ["id", "band"])
+        numbers = np.tile(np.arange(BANDS, dtype=np.int8), len(cells))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(keys.ravel().view(np.int64)), pa.array(numbers)], ["id", "band", "number"]
+        )
 
 
 def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +139,7 @@ def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     for batch in batches:
-        left, right = (
-            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb")
-        )
+        left, right = (_matrix(batch.column(c), np.uint8, FINE) for c in ("ra", "rb"))
         sizes = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")]
         good = estimates((left == right).mean(axis=1), *sizes) >= ESTIMATE
         chosen = pa.array(np.flatnonzero(good))
@@ -155,38 +164,57 @@ def _confirmed(percent: int):
 
 
 def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole sets, their sizes and fine registers of texts that have at least one shingle."""
+    import numpy as np
+
     for batch in slices(batches, "text"):
         values, begins = _sets(batch, "text")
-        data = values.tobytes()
-        parts = [data[8 * a : 8 * b] for a, b in zip(begins[:-1], begins[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(parts, pa.binary())], ["id", "words"])
+        sizes = np.diff(begins)
+        full = np.flatnonzero(sizes > 0)
+        if len(full):
+            fine = registers(values, begins[:-1][full], REGISTERS, FINE, FINE_MANTISSA)
+            data = values.tobytes()
+            parts = [data[8 * begins[i] : 8 * begins[i + 1]] for i in full]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(pa.array(full)), pa.array(parts, pa.binary()), pa.array(sizes[full]), _binary_rows(fine)],
+                ["id", "words", "n_shingles", "fine"],
+            )
 
 
 def _rest_pairs(all_pairs: bool):
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate pairs across components within a bucket, but those with the bucket's leader,
-        which are tested already: a forest of them, or all."""
+        """Candidate pairs across components within a bucket, but those with the bucket's leader, which are tested
+        already. All of them, each in the first band that its texts share; or, of each bucket, the likeliest
+        ones that would connect its components."""
         import numpy as np
 
         for unit in groups(batches, "_unit"):
-            ids = unit["id"].to_numpy()
-            matrix = np.frombuffer(b"".join(unit["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-            sizes, own = unit["n_shingles"].to_numpy(), unit["component"].to_numpy()
-            side, leader = unit["_side"].to_numpy(), unit["leader"].to_numpy()
-            found_a, found_b = [], []
+            ids, number = unit["id"].to_numpy(), unit["number"][0].as_py()
+            bands = _matrix(unit["registers"], np.uint16, REGISTERS).reshape(-1, BANDS, ROWS)
+            fine, sizes = _matrix(unit["fine"], np.uint8, FINE), unit["n_shingles"].to_numpy()
+            own, side, leader = (unit[c].to_numpy() for c in ("component", "_side", "leader"))
+            found_a, found_b, chances = [], [], []
             for i in range(len(ids)):
                 mates = np.flatnonzero((own != own[i]) & (ids > ids[i]) & (leader != ids[i]))
                 if side[i] != -1:
                     mates = mates[side[mates] != side[i]]
                 if len(mates):
-                    equal = (matrix[mates] == matrix[i]).mean(axis=1)
-                    mates = mates[estimates(equal, sizes[i], sizes[mates]) >= ESTIMATE]
+                    chance = estimates((fine[mates] == fine[i]).mean(axis=1), sizes[i], sizes[mates])
+                    good = chance >= ESTIMATE
+                    mates, chance = mates[good], chance[good]
+                    if all_pairs and number and len(mates):
+                        new = ~(bands[mates, :number] == bands[i, :number]).all(axis=2).any(axis=1)
+                        mates, chance = mates[new], chance[new]
                     found_a.append(np.full(len(mates), i))
                     found_b.append(mates)
+                    chances.append(chance)
             if found_a:
                 a, b = np.concatenate(found_a), np.concatenate(found_b)
-                if not all_pairs:
-                    a, b = forest(len(ids), a, b)
+                if not all_pairs and len(a):
+                    order = np.argsort(-np.concatenate(chances), kind="stable")
+                    a, b = a[order], b[order]
+                    kept = forest(len(ids), np.unique(own, return_inverse=True)[1][a], np.unique(own, return_inverse=True)[1][b], True)
+                    a, b = a[kept], b[kept]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
     return compare
@@ -199,9 +227,9 @@ def near_duplicates(
 
     Texts with equal sets are one class, found by the digest of the set. Classes meet in bands: first
     every class is tested against the smallest id of its bucket. Then, in buckets that still hold
-    several components, candidate pairs across components are tested: a forest of them, and last
-    all that are left, so that no link between components is lost, however a group hangs together;
-    within a component no further pair is made.
+    several components, pairs across components are tested: first the likeliest that would connect them, last
+    all that are left with a high enough estimate, so that no link between components is lost, however
+    a group hangs together; within a component no further pair is made.
 
     Null or empty texts, and those without words, have 0 shingles and are their own component. A null
     id is kept as a row of its own component (null) and linked with nothing. Rows that repeat an
@@ -213,25 +241,25 @@ def near_duplicates(
     member = usable.join(classes, "print").select("id", "a")
     heads = written(
         usable.join(classes.select("print", F.col("a").alias("id")), ["print", "id"])
-        .groupBy("id", "print").agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-        .select("id", "n_shingles", "registers"),
+        .groupBy("id", "print").agg(F.first("registers").alias("registers"))
+        .select("id", "registers"),
         "heads",
     )
-    bands = written(heads.select("id", "registers").mapInArrow(_banded, ddl("id bigint, band bigint")), "bands")
+    bands = written(heads.select("id", "registers").mapInArrow(_banded, ddl("id bigint, band bigint, number tinyint")), "bands")
     leaders = bands.groupBy("band").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n"))
     shared = written(bands.join(leaders.where("n > 1").drop("n"), "band"), "shared")
 
     # Only classes that share a bucket need their sets.
     wanted = shared.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sets = written(
-        texts.join(wanted, "id", "left_semi").mapInArrow(_as_sets, ddl("id bigint, words binary")).dropDuplicates(["id", "words"]),
-        "sets",
+    sets = texts.join(wanted, "id", "left_semi").mapInArrow(
+        _as_sets, ddl("id bigint, words binary, n_shingles bigint, fine binary")
     )
+    sets = written(sets.dropDuplicates(["id", "words"]), "sets")
 
     def links(pairs: DataFrame) -> DataFrame:
-        left = heads.select(F.col("id").alias("a"), F.col("registers").alias("ra"), F.col("n_shingles").alias("na"))
-        right = heads.select(F.col("id").alias("b"), F.col("registers").alias("rb"), F.col("n_shingles").alias("nb"))
+        left = sets.select(F.col("id").alias("a"), F.col("fine").alias("ra"), F.col("n_shingles").alias("na"))
+        right = sets.select(F.col("id").alias("b"), F.col("fine").alias("rb"), F.col("n_shingles").alias("nb"))
         likely = written(
             pairs.distinct().join(left, "a").join(right, "b").mapInArrow(_estimated, ddl("a bigint, b bigint")), "likely"
         )
@@ -247,8 +275,9 @@ def near_duplicates(
         mixed_bands = (
             placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
         )
-        open_rows = written(placed.join(mixed_bands.select("band"), "band").join(heads, "id"), "open")
-        units = by_unit(block_pairs(open_rows, "band", "id", BLOCK))
+        open_rows = written(placed.join(mixed_bands.select("band"), "band"), "open")
+        dealt = block_pairs(open_rows, "band", "id", BLOCK).join(heads, "id").join(sets.drop("words"), "id")
+        units = by_unit(dealt)
         more = written(units.mapInArrow(_rest_pairs(all_pairs), ddl("a bigint, b bigint")), "rest")
         if more.isEmpty():
             break
