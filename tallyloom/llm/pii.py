@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.shared import ddl, slices
+from tallyloom.llm.shared import ddl, ship, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: The bound on training rows: texts sampled by the hash of their id, and windows made from them.
@@ -453,6 +453,7 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mo
             at = batch.schema.get_field_index(text_col)
             yield batch.set_column(at, text_col, pa.array(out, batch.schema.field(at).type))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(replace, docs.schema)
 
 

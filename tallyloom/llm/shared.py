@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package known to the executors, once per application; they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", False):
+        return
+    package = Path(__file__).parent.parent
+    archive = Path(tempfile.mkdtemp(prefix="tallyloom-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))  # from the driver's own disk; Spark serves it
+    context._llm_shipped = True
+
+
 def ddl(fields: str) -> StructType:
+    """The columns that a Python function over batches returns; what runs such functions needs the package."""
+    ship(SparkSession.active())
     return StructType.fromDDL(fields)
 
 
