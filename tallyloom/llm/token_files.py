@@ -8,7 +8,9 @@ then the documents (ids and token counts), compressed; then the footer's length
 
 from __future__ import annotations
 
+import itertools
 import json
+import operator
 import re
 import struct
 import zlib
@@ -28,7 +30,9 @@ BLOCK = 1 << 16
 END = 1
 LEVEL = 3
 #: Words whose ids a worker keeps between batches; the memory is started anew when it is full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 700_000
+#: Text bytes encoded at once; of a larger batch fewer words are distinct.
+_BATCH = 16 << 20
 
 
 # ---- the format -----------------------------------------------------------------------------------
@@ -139,8 +143,27 @@ _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 _STATE: dict = {}
 
 
-def _no_words() -> dict[str, np.ndarray]:
-    return {"": np.zeros(0, np.uint32)}
+class Words:
+    """The ids of the words that a worker has seen: a code for each word, and per code its run of ids."""
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.flat, self.begins, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def append(self, words: list[str], sizes: np.ndarray, flat: np.ndarray) -> None:
+        self.codes.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
+        self.begins = np.concatenate([self.begins, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, flat])
+
+    def find(self, words: list[str]) -> np.ndarray:
+        """The codes of words, -1 for unknown ones."""
+        return np.fromiter(map(self.codes.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def runs(self, codes: np.ndarray) -> np.ndarray:
+        """The ids of words one after the other."""
+        sizes = self.sizes[codes]
+        ends = np.cumsum(sizes)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[codes] - (ends - sizes), sizes)]
 
 
 def _tokenizer(path: str):
@@ -150,73 +173,70 @@ def _tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), words=_no_words())
+        _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), words=Words())
         _STATE["tokenizer"].encode_special_tokens = True
     return _STATE["tokenizer"]
 
 
-def _encode_new(path: str, words: list[str]) -> dict[str, np.ndarray]:
-    """Ids of words without white space, by the library, many words to a call."""
-    out = {}
+def _encode_new(path: str, words: list[str], into: Words) -> None:
+    """Adds words without white space, encoded by the library, many to a call."""
     tokenizer = _tokenizer(path)
     for at in range(0, len(words), 4096):
         part = words[at : at + 4096]
         encoded = tokenizer.encode(" ".join(part), add_special_tokens=False)
-        ids = np.array(encoded.ids, np.uint32)
-        starts = np.cumsum([0] + [len(w) + 1 for w in part])
-        first = np.array([a for a, _ in encoded.offsets], np.int64)
-        cuts = np.searchsorted(first, starts)
-        for word, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist()):
-            out[word] = ids[a:b]
-    return out
-
-
-def word_ids(path: str, words: list[str]) -> list[np.ndarray]:
-    """Ids of each word. The tokenizer splits at white space and between an ASCII letter and the ASCII signs after it
-    (but the apostrophe), so a word's ids are those of its stem and of its tail."""
+        starts = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
+        first = np.fromiter(map(operator.itemgetter(0), encoded.offsets), np.int64)
+        into.append(part, np.diff(np.searchsorted(first, starts)), np.array(encoded.ids, np.uint32))
+
+
+def word_codes(path: str, words: list[str]) -> tuple[Words, np.ndarray]:
+    """What is known of words, and the code of each. The tokenizer splits at white space and between an ASCII letter and
+    the ASCII signs after it (but the apostrophe), so a word's ids are those of its stem and of its tail."""
     _tokenizer(path)
-    if len(_STATE["words"]) + len(words) > KEPT_WORDS:
-        _STATE["words"] = _no_words()
+    if len(_STATE["words"].codes) + len(words) > KEPT_WORDS:
+        _STATE["words"] = Words()
     known = _STATE["words"]
-    parts = []
-    for word in words:
-        tail = _TAIL.search(word)
-        cut = tail.start() if tail else 0
-        if cut and "a" <= word[cut - 1] <= "z":
-            parts.append((word[:cut], word[cut:]))
-        else:
-            parts.append((word, None))
-    new = {w for pair in parts for w in pair if w is not None and w not in known}
-    known.update(_encode_new(path, sorted(new)))
-    return [known[a] if b is None else np.concatenate([known[a], known[b]]) for a, b in parts]
+    codes = known.find(words)
+    new = [words[i] for i in np.flatnonzero(codes < 0).tolist()]
+    if new:
+        whole, both, stems, tails = [], [], [], []
+        for word in new:
+            tail = _TAIL.search(word)
+            cut = tail.start() if tail else 0
+            if cut and "a" <= word[cut - 1] <= "z":
+                both.append(word)
+                stems.append(word[:cut])
+                tails.append(word[cut:])
+            else:
+                whole.append(word)
+        _encode_new(path, [w for w in {*whole, *stems, *tails} if w not in known.codes], known)
+        if both:
+            parts = np.stack([known.find(stems), known.find(tails)], axis=1)
+            known.append(both, known.sizes[parts].sum(axis=1), known.runs(parts.ravel()))
+        codes = known.find(words)
+    return known, codes
 
 
 def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, ids) of a string column, END after each text. Every distinct word of a batch is encoded once.
+    """(counts, ids) of a string column, END after each text. Every distinct word of a batch is looked up once.
 
     The tokenizer lower-cases, composes and drops white space, and none of that crosses a blank or a line
     feed, so a text's ids are its words' ids one after the other; A-Z are lowered before, for fewer words.
     """
-    lists = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), "[ \n]+")
+    plain = pc.replace_substring(pc.ascii_lower(pc.fill_null(texts, "")), "\n", " ")
+    lists = pc.split_pattern(plain, " ")
     per_text = lists.value_lengths().to_numpy()
     coded = lists.flatten().dictionary_encode()
-    index = coded.indices.to_numpy()
-    ids = word_ids(path, coded.dictionary.to_pylist())
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate([*ids, np.array([END], np.uint32)]) if ids else np.array([END], np.uint32)
-    begins = np.concatenate([[0], np.cumsum(sizes)])
-    owner = np.repeat(np.arange(len(per_text)), per_text)
-    counts = np.bincount(owner, weights=sizes[index], minlength=len(per_text)).astype(np.int64) + 1
-    # An end of text counts as one more word, which stands for END.
-    order_at = np.cumsum(per_text) + np.arange(len(per_text))
-    words = np.empty(len(index) + len(per_text), np.int64)
-    is_end = np.zeros(len(words), bool)
-    is_end[order_at] = True
-    words[is_end], words[~is_end] = len(ids), index
-    lengths = np.append(sizes, 1)[words]
-    ends = np.cumsum(lengths)
-    source = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[words] - (ends - lengths), lengths)
-    return counts, flat[source]
+    known, codes = word_codes(path, coded.dictionary.to_pylist())
+    codes = codes[coded.indices.to_numpy()]
+    ends = np.cumsum(per_text)
+    sums = np.concatenate([[0], np.cumsum(known.sizes[codes])])
+    counts = sums[ends] - sums[ends - per_text] + 1
+    out = np.empty(counts.sum(), np.uint32)
+    is_end = np.zeros(len(out), bool)
+    is_end[np.cumsum(counts) - 1] = True
+    out[is_end], out[~is_end] = END, known.runs(codes)
+    return counts, out
 
 
 # ---- jobs -----------------------------------------------------------------------------------------
@@ -233,7 +253,7 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
         part, n_docs, writer = TaskContext.get().partitionId(), 0, None
         with created(folder, f"part-{part:06d}.planes") as out:
             writer = Writer(out, planes)
-            for batch in slices(batches, "text"):
+            for batch in slices(batches, "text", _BATCH):
                 counts, ids = encoded(path, batch.column("text"))
                 writer.add(pc.fill_null(batch.column("id"), -1).to_numpy(), counts, ids)
                 n_docs += batch.num_rows
