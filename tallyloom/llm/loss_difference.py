@@ -123,7 +123,8 @@ def _kinds(counts: np.ndarray) -> np.ndarray:
 def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, target) of every row of `docs`; target rows are those whose id is in `chosen` (doc_id)."""
     ids = chosen.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_chosen")).distinct()
-    joined = docs.join(ids, F.col(id_col) == F.col("_chosen"), "left")
+    # The chosen ids grow with the corpus: one plan for any size, which does not broadcast them.
+    joined = docs.join(ids.hint("merge"), F.col(id_col) == F.col("_chosen"), "left")
     return joined.select(F.col(text_col).cast("string").alias("text"), F.col("_chosen").isNotNull().alias("target"))
 
 
