@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.blocks import block_pairs, by_unit, forest, groups
+from tallyloom.llm.blocks import block_pairs, by_unit, groups
 from tallyloom.llm.components import components
 from tallyloom.llm.shared import ddl, slices, utf8, written
 from tallyloom.llm.words import mixed, shingles, word_hashes
@@ -181,43 +181,76 @@ def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _rest_pairs(all_pairs: bool):
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Candidate pairs across components within a bucket, but those with the bucket's leader, which are tested
-        already. All of them, each in the first band that its texts share; or, of each bucket, the likeliest
-        ones that would connect its components."""
+def _rest_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs across components within a bucket, each in the first band that its texts share, but for those
+    with a bucket's leader, which are tested already. One row for each text of a pair, the pairs packed in the
+    row of their smaller id: the other ids (int64) and the estimates (float32)."""
+    import numpy as np
+
+    for unit in groups(batches, "_unit"):
+        ids, number = unit["id"].to_numpy(), unit["number"][0].as_py()
+        bands = _matrix(unit["registers"], np.uint16, REGISTERS).reshape(-1, BANDS, ROWS)
+        fine, sizes = _matrix(unit["fine"], np.uint8, FINE), unit["n_shingles"].to_numpy()
+        own, side, leader = (unit[c].to_numpy() for c in ("component", "_side", "leader"))
+        met, mates_of, chances_of = np.zeros(len(ids), bool), {}, {}
+        for i in range(len(ids)):
+            mates = np.flatnonzero((own != own[i]) & (ids > ids[i]) & (leader != ids[i]))
+            if side[i] != -1:
+                mates = mates[side[mates] != side[i]]
+            if len(mates):
+                chance = estimates((fine[mates] == fine[i]).mean(axis=1), sizes[i], sizes[mates])
+                good = chance >= ESTIMATE
+                good &= ~(bands[mates, :number] == bands[i, :number]).all(axis=2).any(axis=1)
+                if good.any():
+                    mates_of[i], chances_of[i] = ids[mates[good]].tobytes(), chance[good].astype(np.float32).tobytes()
+                    met[i] = met[mates[good]] = True
+        rows = np.flatnonzero(met)
+        if len(rows):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    unit["_unit"].combine_chunks().take(pa.array(rows)),
+                    pa.array(ids[rows]),
+                    pa.array(own[rows]),
+                    pa.array([mates_of.get(i, b"") for i in rows.tolist()], pa.binary()),
+                    pa.array([chances_of.get(i, b"") for i in rows.tolist()], pa.binary()),
+                ],
+                ["_unit", "id", "component", "mates", "chances"],
+            )
+
+
+def _rest_links(percent: int):
+    def confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links that connect the components of a unit: its pairs are tested exactly, the likeliest first, but not
+        those whose components its links have connected already."""
         import numpy as np
 
         for unit in groups(batches, "_unit"):
-            ids, number = unit["id"].to_numpy(), unit["number"][0].as_py()
-            bands = _matrix(unit["registers"], np.uint16, REGISTERS).reshape(-1, BANDS, ROWS)
-            fine, sizes = _matrix(unit["fine"], np.uint8, FINE), unit["n_shingles"].to_numpy()
-            own, side, leader = (unit[c].to_numpy() for c in ("component", "_side", "leader"))
-            found_a, found_b, chances = [], [], []
-            for i in range(len(ids)):
-                mates = np.flatnonzero((own != own[i]) & (ids > ids[i]) & (leader != ids[i]))
-                if side[i] != -1:
-                    mates = mates[side[mates] != side[i]]
-                if len(mates):
-                    chance = estimates((fine[mates] == fine[i]).mean(axis=1), sizes[i], sizes[mates])
-                    good = chance >= ESTIMATE
-                    mates, chance = mates[good], chance[good]
-                    if all_pairs and number and len(mates):
-                        new = ~(bands[mates, :number] == bands[i, :number]).all(axis=2).any(axis=1)
-                        mates, chance = mates[new], chance[new]
-                    found_a.append(np.full(len(mates), i))
-                    found_b.append(mates)
-                    chances.append(chance)
-            if found_a:
-                a, b = np.concatenate(found_a), np.concatenate(found_b)
-                if not all_pairs and len(a):
-                    order = np.argsort(-np.concatenate(chances), kind="stable")
-                    a, b = a[order], b[order]
-                    kept = forest(len(ids), np.unique(own, return_inverse=True)[1][a], np.unique(own, return_inverse=True)[1][b], True)
-                    a, b = a[kept], b[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
-
-    return compare
+            ids, own = unit["id"].to_numpy(), unit["component"].to_numpy()
+            place = {i: k for k, i in enumerate(ids.tolist())}
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["words"]]
+            pairs = []
+            for k, (mates, chances) in enumerate(zip(unit["mates"].to_pylist(), unit["chances"].to_pylist())):
+                pairs += [(-c, k, place[m]) for m, c in zip(np.frombuffer(mates, np.int64).tolist(), np.frombuffer(chances, np.float32).tolist())]
+            root = {c: c for c in own.tolist()}
+
+            def find(c):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            out = []
+            for _, x, y in sorted(pairs):
+                p, q = find(own[x]), find(own[y])
+                if p != q:
+                    left, right = sets[x], sets[y]
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    if 100 * both >= percent * (len(left) + len(right) - both):
+                        root[max(p, q)] = min(p, q)
+                        out.append((ids[x], ids[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], ["a", "b"])
+
+    return confirm
 
 
 def near_duplicates(
@@ -227,9 +260,9 @@ def near_duplicates(
 
     Texts with equal sets are one class, found by the digest of the set. Classes meet in bands: first
     every class is tested against the smallest id of its bucket. Then, in buckets that still hold
-    several components, pairs across components are tested: first the likeliest that would connect them, last
-    all that are left with a high enough estimate, so that no link between components is lost, however
-    a group hangs together; within a component no further pair is made.
+    several components, all pairs across components with a high enough estimate are tested where their bucket
+    is, the sets being sent there once per text: no link between components is lost, however a group hangs
+    together, no table of pairs is made, and within a component no further pair is tested.
 
     Null or empty texts, and those without words, have 0 shingles and are their own component. A null
     id is kept as a row of its own component (null) and linked with nothing. Rows that repeat an
@@ -269,19 +302,15 @@ def near_duplicates(
         return written(joined.mapInArrow(_confirmed(percent), ddl("a bigint, b bigint")), "confirmed")
 
     found = links(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")))
-    for all_pairs in (False, True):
-        named = components(found)
-        placed = shared.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed_bands = (
-            placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-        )
-        open_rows = written(placed.join(mixed_bands.select("band"), "band"), "open")
-        dealt = block_pairs(open_rows, "band", "id", BLOCK).join(heads, "id").join(sets.drop("words"), "id")
-        units = by_unit(dealt)
-        more = written(units.mapInArrow(_rest_pairs(all_pairs), ddl("a bigint, b bigint")), "rest")
-        if more.isEmpty():
-            break
-        found = found.unionByName(links(more))
+    placed = shared.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    apart = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    open_rows = written(placed.join(apart.select("band"), "band"), "open")
+    dealt = block_pairs(open_rows, "band", "id", BLOCK).join(heads, "id").join(sets.drop("words"), "id")
+    rest = written(
+        by_unit(dealt).mapInArrow(_rest_pairs, ddl("_unit bigint, id bigint, component bigint, mates binary, chances binary")), "rest"
+    )
+    tested = by_unit(rest.join(sets.select("id", "words"), "id"))
+    found = found.unionByName(written(tested.mapInArrow(_rest_links(percent), ddl("a bigint, b bigint")), "rest-links"))
 
     # Repeated ids of different texts join their classes.
     ends = found.unionByName(member.where("id <> a").select("a", F.col("id").alias("b")))
