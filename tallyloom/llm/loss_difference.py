@@ -1,28 +1,41 @@
 """Cross-entropy difference of texts between a target and a background model of the same kind.
 
 Both models are character n-gram models of order ORDER over one vocabulary, the Unicode code points, interpolated from the
-uniform distribution upwards with Witten-Bell weights. The background is counted over all texts, the target over
-the texts that are marked; counting is a Spark aggregation over all rows. Counts are kept by hashed n-gram in
-CELLS cells per order, so a model's size is fixed (ORDER x CELLS x 2 numbers) whatever the input; what each task
-counts, and sends, follows the input. A text's score is the mean over its characters, its end included,
+uniform distribution upwards. The background is counted over all texts, the target over the texts that are marked. The
+n-grams themselves are counted, in Spark with partial sums, and their counts are written tables, one for each order,
+that grow with the corpus. A text's score is the mean over its characters, its end included,
 of loss under the target minus loss under the background, in bits: lower means more like the target.
+
+The loss of a character follows from the n-gram of order ORDER that ends there. So texts are scored by blocks: the distinct
+n-grams of a block are joined to the losses, each block's losses become a file, and the block's texts are read
+along with it.
 """
 
 from __future__ import annotations
 
+import itertools
+import operator
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.shared import ddl, new_folder, slices
+from tallyloom.llm.files import created, opened
+from tallyloom.llm.shared import ddl, new_folder, slices, written
 
 ORDER = 5
-CELLS = 1 << 18
 VOCABULARY = 0x110000
 END = 0x10FFFF
-_BATCH = 1 << 20
+#: An n-gram is two numbers, its last three points in `low` and those before in `high`, each point plus one in so many bits.
+_BITS = 21
+_POINT = (1 << _BITS) - 1
+_BATCH = 1 << 21
+#: Text bytes of a block, and rows of n-gram counts that a task holds.
+_BLOCK, _HELD = 24 << 20, 1 << 20
+_GRAM = ["high", "low"]
 
 
 def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -34,8 +47,14 @@ def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(x for r in raw for x in (r, end)), np.uint32), begins
 
 
+def _mixed(key: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """The key of n-grams with one more point before them."""
+    key = (key + past + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(32))
+
+
 def cells(points: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """For each order, the cell of the n-gram that ends at each position; before a text there are END signs."""
+    """For each order, a 64-bit key of the n-gram that ends at each position; before a text there are END signs."""
     place = np.arange(len(points)) - np.repeat(begins[:-1], np.diff(begins))
     out, key = [], np.zeros(len(points), np.uint64)
     for back in range(ORDER):
@@ -43,14 +62,13 @@ def cells(points: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
         if back < len(points):
             past[back:] = points[: len(points) - back]
         past[place < back] = END
-        key = (key + past + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(32)
-        out.append((key % np.uint64(CELLS)).astype(np.int64))
+        key = _mixed(key, past)
+        out.append(key.view(np.int64))
     return out
 
 
 def _contexts(points: np.ndarray, begins: np.ndarray, own: list[np.ndarray]) -> list[np.ndarray]:
-    """For each order, the cell of the context of each position: the n-gram one shorter that ends just before."""
+    """For each order, the key of the context of each position: the n-gram one shorter that ends just before."""
     out = [np.zeros(len(points), np.int64)]
     first = begins[:-1]
     start = _starts()
@@ -63,63 +81,138 @@ def _contexts(points: np.ndarray, begins: np.ndarray, own: list[np.ndarray]) ->
 
 
 def _starts() -> list[int]:
-    """The cells of runs of END of each length: the contexts at the beginning of a text."""
+    """The keys of runs of END of each length: the contexts at the beginning of a text."""
     point = np.full(1, END, np.uint32)
     return [int(c[0]) for c in cells(point, np.array([0, 1]))]
 
 
+def _distinct(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the number of the n-gram of order ORDER at each position, the n-grams' keys, where each n-gram is)."""
+    coded = pa.array(cells(points, begins)[-1]).dictionary_encode()
+    numbers = coded.indices.to_numpy()
+    at = np.empty(len(coded.dictionary), np.int64)
+    at[numbers] = np.arange(len(numbers))
+    return numbers, coded.dictionary.to_numpy(), at
+
+
+def _grams(points: np.ndarray, begins: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """[high, low] of the n-grams of order ORDER that end at some positions."""
+    first = begins[np.searchsorted(begins, at, "right") - 1]
+    high, low = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for back in range(ORDER):
+        past = np.where(at - back >= first, points[np.maximum(at - back, 0)], END).astype(np.int64) + 1
+        if back < 3:
+            low |= past << (_BITS * back)
+        else:
+            high |= past << (_BITS * (back - 3))
+    return [high, low]
+
+
+def _keys(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The keys, as `cells` has them, of n-grams of order ORDER."""
+    key = np.zeros(len(low), np.uint64)
+    for back in range(ORDER):
+        part, shift = (low, back) if back < 3 else (high, back - 3)
+        key = _mixed(key, ((part >> (_BITS * shift)) & _POINT).astype(np.uint64) - np.uint64(1))
+    return key.view(np.int64)
+
+
 def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The n-gram counts of a task: (cell over all orders, count in the target, count in the background)."""
-    total = np.zeros((2, ORDER * CELLS), np.int64)
+    """Partial counts of the n-grams of order ORDER in a task's texts: (high, low, target, background)."""
+    names, held = [*_GRAM, "target", "background"], []
+
+    def merged() -> pa.Table:
+        found = pa.concat_tables(held).group_by(_GRAM).aggregate([("target", "sum"), ("background", "sum")])
+        return found.select([*_GRAM, "target_sum", "background_sum"]).rename_columns(names)
+
     for batch in slices(batches, "text", _BATCH):
         points, begins = codes(batch.column("text"))
         wanted = np.repeat(batch.column("target").to_numpy(zero_copy_only=False).astype(bool), np.diff(begins))
-        for n, own in enumerate(cells(points, begins)):
-            part = slice(n * CELLS, (n + 1) * CELLS)
-            total[0, part] += np.bincount(own[wanted], minlength=CELLS)
-            total[1, part] += np.bincount(own, minlength=CELLS)
-    some = np.flatnonzero(total[1])
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[0, some]), pa.array(total[1, some])], ["cell", "target", "background"])
-
-
-def fit(rows: DataFrame) -> list[np.ndarray]:
-    """(target, background) counts, each (ORDER, CELLS), from (text, target)."""
-    summed = (
-        rows.select("text", "target").mapInArrow(_counted, ddl("cell bigint, target bigint, background bigint"))
-        .groupBy("cell").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    )
-    path = new_folder(rows.sparkSession, "ngrams")
-    summed.write.parquet(path)
-    out = [np.zeros(ORDER * CELLS), np.zeros(ORDER * CELLS)]
-    # At most ORDER x CELLS rows.
-    found = rows.sparkSession.read.schema(summed.schema).parquet(path).toArrow()
-    for counts, name in zip(out, ("target", "background")):
-        counts[found["cell"].to_numpy()] = found[name].to_numpy()
-    return [c.reshape(ORDER, CELLS) for c in out]
-
-
-def losses(counts: np.ndarray, own: list[np.ndarray], before: list[np.ndarray], kinds: np.ndarray) -> np.ndarray:
-    """Loss in bits of each position. kinds: for each order, distinct continuations by context cell."""
-    chance = np.full(len(own[0]), 1.0 / VOCABULARY)
-    for n in range(ORDER):
-        seen = counts[n - 1][before[n]] if n else counts[0].sum()
-        new = kinds[n][before[n]]
-        # A context's count can differ from its continuations' sum through shared cells, so it is raised to the part.
-        found = counts[n][own[n]]
-        weight = np.maximum(seen, found) + new
-        chance = np.where(weight > 0, (found + new * chance) / np.maximum(weight, 1e-9), chance)
-    return -np.log2(chance)
-
-
-def _kinds(counts: np.ndarray) -> np.ndarray:
-    """How much each context gives to shorter ones: the Witten-Bell count of continuations, bounded by what a cell can
-    tell: the square root of the context's count, at least one."""
-    out = np.zeros_like(counts)
-    out[0] = np.count_nonzero(counts[0])
-    out[1:] = np.ceil(np.sqrt(counts[:-1]))
+        numbers, keys, at = _distinct(points, begins)
+        counts = [np.bincount(numbers[wanted], minlength=len(keys)), np.bincount(numbers, minlength=len(keys))]
+        held.append(pa.table([*_grams(points, begins, at), *counts], names))
+        if sum(map(len, held)) > _HELD:
+            held = [merged()]
+            if len(held[0]) > _HELD // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from merged().to_batches()
+
+
+def _suffix(n: int) -> list:
+    """[high, low] of the last n - 1 points of an n-gram."""
+    high, low = F.col("high"), F.col("low")
+    kept = _BITS * min(n - 1, 3)
+    return [
+        (high.bitwiseAND(F.lit(_POINT)) if n == 5 else F.lit(0).cast("bigint")),
+        low if kept == 3 * _BITS else low.bitwiseAND(F.lit((1 << kept) - 1)),
+    ]
+
+
+def _prefix() -> list:
+    """[high, low] of an n-gram without its last point."""
+    high, low = F.col("high"), F.col("low")
+    return [
+        F.shiftright(high, _BITS),
+        F.shiftright(low, _BITS).bitwiseOR(F.shiftleft(high.bitwiseAND(F.lit(_POINT)), 2 * _BITS)),
+    ]
+
+
+def fit(rows: DataFrame) -> list[DataFrame]:
+    """For each order the written table (high, low, target, background) of n-gram counts, from (text, target)."""
+    sums = [F.sum(c).alias(c) for c in ("target", "background")]
+    counted = rows.select("text", "target").mapInArrow(_counted, ddl("high bigint, low bigint, target bigint, background bigint"))
+    out = [written(counted.groupBy(*_GRAM).agg(*sums), "ngrams")]
+    for n in range(ORDER, 1, -1):
+        # Each n-gram ends with one that is a point shorter, so the counts of those are sums.
+        high, low = _suffix(n)
+        shorter = out[0].select(high.alias("high"), low.alias("low"), "target", "background")
+        out.insert(0, written(shorter.groupBy(*_GRAM).agg(*sums), "ngrams"))
     return out
 
 
+def _found(rows: DataFrame, table: DataFrame, on: list[str], columns: dict[str, str]) -> DataFrame:
+    """`rows` with columns of the table's n-gram that is in the columns `on`; one plan for any size."""
+    named = table.select(F.col("high").alias("_high"), F.col("low").alias("_low"), *[F.col(c).alias(to) for c, to in columns.items()])
+    same = (F.col(on[0]) == F.col("_high")) & (F.col(on[1]) == F.col("_low"))
+    return rows.join(named.hint("merge"), same, "left").drop("_high", "_low")
+
+
+_MODELS = ("target", "background")
+
+
+def _chances(grams: DataFrame, models: list[DataFrame]) -> DataFrame:
+    """(high, low, target, background): the chance of the last point of n-grams of order ORDER, which are distinct."""
+    sets = [grams]
+    for n in range(ORDER, 1, -1):
+        high, low = _suffix(n)
+        sets.insert(0, sets[0].select(high.alias("high"), low.alias("low")).distinct())
+    totals = models[0].agg(
+        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in _MODELS], *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in _MODELS]
+    ).first()
+    chances = None
+    for n, (own, model) in enumerate(zip(sets, models), 1):
+        own = _found(own, model, _GRAM, {m: f"{m}_found" for m in _MODELS})
+        if n > 1:
+            (before_high, before_low), (after_high, after_low) = _prefix(), _suffix(n)
+            own = own.withColumns({"_bh": before_high, "_bl": before_low, "_ah": after_high, "_al": after_low})
+            own = _found(own, models[n - 2], ["_bh", "_bl"], {m: f"{m}_seen" for m in _MODELS})
+            own = _found(own, chances, ["_ah", "_al"], {m: f"{m}_chance" for m in _MODELS})
+        out = []
+        for m in _MODELS:
+            found = F.coalesce(F.col(f"{m}_found"), F.lit(0)).cast("double")
+            if n > 1:
+                seen, chance = F.coalesce(F.col(f"{m}_seen"), F.lit(0)).cast("double"), F.col(f"{m}_chance")
+                new = F.ceil(F.sqrt(seen)).cast("double")
+            else:
+                seen, new, chance = F.lit(float(totals[m])), F.lit(float(totals[f"{m}_kinds"])), F.lit(1.0 / VOCABULARY)
+            # The context at a text's beginning is counted less often than what follows it, so it is raised to the part.
+            weight = F.greatest(seen, found) + new
+            out.append(F.when(weight > 0, (found + new * chance) / weight).otherwise(chance).alias(m))
+        chances = own.select(*_GRAM, *out)
+    return chances
+
+
 def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(text, target) of every row of `docs`; target rows are those whose id is in `chosen` (doc_id)."""
     ids = chosen.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_chosen")).distinct()
@@ -128,32 +221,102 @@ def marked(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col:
     return joined.select(F.col(text_col).cast("string").alias("text"), F.col("_chosen").isNotNull().alias("target"))
 
 
-def loss_difference(docs: DataFrame, models: list[np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, difference): mean losses in bits a token for every row.
+def _blocked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the number of their block; a block is of one task and has about _BLOCK bytes of text."""
+    block, used = TaskContext.get().partitionId() << 32, 0
+    for batch in slices(batches, "text", _BATCH):
+        size = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if used and used + size > _BLOCK:
+            block, used = block + 1, 0
+        used += size
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], ["block", *batch.schema.names])
+
+
+def _by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Each block's number with some of its rows; blocks follow each other."""
+    for batch in batches:
+        blocks = batch.column("block").to_numpy()
+        edges = np.flatnonzero(np.diff(blocks)) + 1
+        for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(blocks)]):
+            if end > start:
+                yield int(blocks[start]), batch.slice(start, end - start)
+
+
+def _block_grams(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, high, low): the distinct n-grams of order ORDER of each block."""
+    for block, parts in itertools.groupby(_by_block(slices(batches, "text", _BATCH)), key=operator.itemgetter(0)):
+        held = None
+        for _, part in parts:
+            points, begins = codes(part.column("text"))
+            _, _, at = _distinct(points, begins)
+            new = pa.table(_grams(points, begins, at), _GRAM)
+            held = (pa.concat_tables([held, new]) if held else new).group_by(_GRAM).aggregate([])
+        yield from held.append_column("block", pa.array(np.full(len(held), block))).select(["block", *_GRAM]).to_batches()
+
+
+def _name(block: int) -> str:
+    return f"block-{block:016x}.arrow"
 
-    `models` is what `fit` returns for (text, target) rows, such as `marked` makes. A null text is an empty one,
-    with its end as its only token. Rows that repeat are counted and scored each; other columns are ignored.
-    With no target rows the target model is uniform.
-    """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    models = [c.astype(np.float32) for c in models]
-    # A broadcast variable of fixed size: 2 x ORDER x CELLS numbers.
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
+def _stored(folder: str):
+    """Writes each block's losses to a file, sorted by key; rows come by block."""
+
+    def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in itertools.groupby(_by_block(batches), key=operator.itemgetter(0)):
+            rows = pa.Table.from_batches([part for _, part in parts])
+            key = _keys(rows["high"].to_numpy(), rows["low"].to_numpy())
+            order = np.argsort(key)
+            columns = [key[order], *(-np.log2(rows[m].to_numpy()[order]) for m in _MODELS)]
+            with created(folder, _name(block)) as out:
+                table = pa.table(columns, ["key", *_MODELS])
+                with pa.ipc.new_file(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as file:
+                    file.write_table(table)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(key)])], ["block", "n"])
+
+    return store
+
+
+def _scored(folder: str):
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
-        kinds = [_kinds(c) for c in counts]
-        for batch in slices(batches, "text", _BATCH):
-            points, begins = codes(batch.column("text"))
-            own = cells(points, begins)
-            before = _contexts(points, begins, own)
-            means = [np.add.reduceat(losses(c, own, before, k), begins[:-1]) / np.diff(begins) for c, k in zip(counts, kinds)]
+        loaded, known, losses = None, None, None
+        for block, part in _by_block(slices(batches, "text", _BATCH)):
+            if block != loaded:
+                system, path = opened(folder)
+                with system.open_input_file(f"{path}/{_name(block)}") as source:
+                    table = pa.ipc.open_file(source).read_all()
+                loaded, known, losses = block, table["key"].to_numpy(), [table[m].to_numpy() for m in _MODELS]
+            points, begins = codes(part.column("text"))
+            numbers, keys, _ = _distinct(points, begins)
+            place = np.searchsorted(known, keys)
+            if not (known[place] == keys).all():
+                raise ValueError(f"block {block}: n-grams without a loss")
+            means = [np.add.reduceat(loss[place][numbers], begins[:-1]) / np.diff(begins) for loss in losses]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(begins)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])],
+                [part.column("doc_id"), pa.array(np.diff(begins)), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])],
                 ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"],
             )
 
+    return score
+
+
+def loss_difference(docs: DataFrame, models: list[DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, difference): mean losses in bits a token for every row.
+
+    `models` is what `fit` returns for (text, target) rows, such as `marked` makes. A null text is an empty one,
+    with its end as its only token. Rows that repeat are counted and scored each; other columns are ignored.
+    With no target rows the target model is uniform. Texts need not be those of `fit`.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(
-        score, ddl(f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, difference double")
+    texts = written(rows.mapInArrow(_blocked, ddl(f"block bigint, doc_id {kind}, text string")), "texts")
+    grams = written(texts.select("block", "text").mapInArrow(_block_grams, ddl("block bigint, high bigint, low bigint")), "grams")
+    chances = _chances(grams.select(*_GRAM).distinct(), models)
+    found = _found(grams, chances, _GRAM, {m: m for m in _MODELS})
+    folder = new_folder(spark, "losses")
+    # A block's n-grams are bounded by its text.
+    dealt = found.repartition("block").sortWithinPartitions("block")
+    written(dealt.mapInArrow(_stored(folder), ddl("block bigint, n bigint")), "blocks")
+    return texts.mapInArrow(
+        _scored(folder), ddl(f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double, difference double")
     )

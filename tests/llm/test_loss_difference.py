@@ -78,3 +78,36 @@ def test_marked_rows(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     chosen = spark.createDataFrame([(1,), (1,), (None,)], "doc_id long")
     assert sorted(map(tuple, D.marked(docs, chosen).collect())) == [("a", True), ("b", False), ("c", False)]
+
+
+def test_every_ngram_has_its_own_count(spark):
+    """More distinct n-grams than any fixed table of 2**18 cells holds apart; texts need not be those of the fit."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 300, 40000))) for _ in range(10)]
+    rows = [(i, t, i < 5) for i, t in enumerate(texts)]
+    models = model(spark, rows)
+    grams = [[Counter() for _ in range(D.ORDER)] for _ in range(2)]
+    for _, text, target in rows:
+        padded = "$" * (D.ORDER - 1) + text + "$"
+        for n in range(D.ORDER):
+            own = Counter(padded[i - n : i + 1] for i in range(D.ORDER - 1, len(padded)))
+            grams[1][n].update(own)
+            if target:
+                grams[0][n].update(own)
+    assert models[-1].count() == len(grams[1][-1]) > 1 << 18
+    probe = texts[0][100:400] + "new" + texts[7][5:300]
+    want = []
+    for counts in grams:
+        padded, total = "$" * (D.ORDER - 1) + probe + "$", 0.0
+        for i in range(D.ORDER - 1, len(padded)):
+            p = 1 / D.VOCABULARY
+            for n in range(D.ORDER):
+                gram = padded[i - n : i + 1]
+                seen = counts[n - 1][gram[:-1]] if n else sum(counts[0].values())
+                new = math.ceil(math.sqrt(seen)) if n else len(counts[0])
+                weight = max(seen, counts[n][gram]) + new
+                p = (counts[n][gram] + new * p) / weight if weight else p
+            total -= math.log2(p)
+        want.append(total / (len(probe) + 1))
+    (row,) = D.loss_difference(spark.createDataFrame([(1, probe)], "doc_id long, text string"), models).collect()
+    assert abs(row["target_loss"] - want[0]) < 1e-6 and abs(row["background_loss"] - want[1]) < 1e-6
