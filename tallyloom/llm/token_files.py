@@ -174,6 +174,11 @@ def _tokenizer(path: str):
         from tokenizers import Tokenizer
 
         _STATE.update(path=path, tokenizer=Tokenizer.from_file(path), words=Words())
+        added = _STATE["tokenizer"].get_added_tokens_decoder()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
+            raise ValueError(f"{path}: added tokens that are not literal")
+        _STATE["added"] = {t.content: i for i, t in added.items()}
+        # Texts are cut at added tokens before; what is like one only once it is lowered is ordinary text.
         _STATE["tokenizer"].encode_special_tokens = True
     return _STATE["tokenizer"]
 
@@ -218,7 +223,8 @@ def word_codes(path: str, words: list[str]) -> tuple[Words, np.ndarray]:
 
 
 def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(counts, ids) of a string column, END after each text. Every distinct word of a batch is looked up once.
+    """(counts, ids) of a string column, END after each text; added tokens are not looked for (see `tokenized`).
+    Every distinct word of a batch is looked up once.
 
     The tokenizer lower-cases, composes and drops white space, and none of that crosses a blank or a line
     feed, so a text's ids are its words' ids one after the other; A-Z are lowered before, for fewer words.
@@ -239,6 +245,31 @@ def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return counts, out
 
 
+def tokenized(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, ids) as the tokenizer's plain call gives them, END after each text.
+
+    The call finds added tokens, such as <|endoftext|>, in the text as it is and encodes what is between them by itself.
+    """
+    _tokenizer(path)
+    added = _STATE["added"]
+    holds = np.zeros(len(texts), bool)
+    for content in added:
+        holds |= pc.fill_null(pc.match_substring(texts, content), False).to_numpy(zero_copy_only=False)
+    if not holds.any():
+        return encoded(path, texts)
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    pieces, closing, n_pieces = [], [], []
+    for text in texts.to_pylist():
+        parts = split.split(text or "")
+        pieces += parts[::2]
+        closing += [*(added[t] for t in parts[1::2]), END]
+        n_pieces.append(len(parts[::2]))
+    counts, ids = encoded(path, pa.array(pieces, texts.type))
+    # Each piece is closed by the token that follows it in place of the end.
+    ids[np.cumsum(counts) - 1] = closing
+    return np.add.reduceat(counts, np.cumsum([0, *n_pieces[:-1]])), ids
+
+
 # ---- jobs -----------------------------------------------------------------------------------------
 
 
@@ -254,7 +285,7 @@ def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id",
         with created(folder, f"part-{part:06d}.planes") as out:
             writer = Writer(out, planes)
             for batch in slices(batches, "text", _BATCH):
-                counts, ids = encoded(path, batch.column("text"))
+                counts, ids = tokenized(path, batch.column("text"))
                 writer.add(pc.fill_null(batch.column("id"), -1).to_numpy(), counts, ids)
                 n_docs += batch.num_rows
             writer.close()

@@ -93,3 +93,21 @@ def test_edges(spark):
     got = [tuple(r) for r in T.token_table(df, PATH, planes="byte").collect()]
     assert sorted(got, key=lambda r: r[1]) == expected(rows)
     assert T.token_table(df.limit(0), PATH).collect() == []
+
+
+def test_added_tokens_are_those_of_the_plain_call(spark):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    assert plain.encode("end of file <|endoftext|> next", add_special_tokens=False).ids == [806, 539, 4512, 49407, 1131]
+    rng = random.Random(5)
+    alphabet = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "\n", "a", "B", "'s", "t", ".", "é", "\u0301", "İ", "中"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(600)]
+    texts += ["end of file <|endoftext|> next", "<|endoftext|><|endoftext|>", "plain", "", None]
+    want, start = [], 0
+    for i, text in enumerate(texts):
+        ids = np.array(plain.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = T.token_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH)
+    assert sorted(map(tuple, got.collect())) == want
