@@ -1,7 +1,9 @@
 """Cross-entropy difference of texts between a target and a background model of the same kind.
 
 Both models are character n-gram models of order ORDER over one vocabulary, the Unicode code points, interpolated from the
-uniform distribution upwards. The background is counted over all texts, the target over the texts that are marked. The
+uniform distribution upwards. A context that was seen c times gives its shorter context the weight of ceil(sqrt(c)) counts:
+this smoothing is the module's own and not Witten-Bell's, which would count the context's distinct continuations.
+The lowest order gives the uniform distribution the number of distinct characters. The background is counted over all texts, the target over the texts that are marked. The
 n-grams themselves are counted, in Spark with partial sums, and their counts are written tables, one for each order,
 that grow with the corpus. A text's score is the mean over its characters, its end included,
 of loss under the target minus loss under the background, in bits: lower means more like the target.
