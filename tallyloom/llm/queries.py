@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyloom.llm import decontamination, language, loss_difference
+from tallyloom.llm import decontamination, filter_audit, language, loss_difference
 from tallyloom.llm.near_duplicates import near_duplicates
 from tallyloom.llm.near_vectors import near_vectors
 from tallyloom.llm.pii import personal_data
 from tallyloom.llm.secret_scan import secrets
 from tallyloom.llm.sentence_pieces import sentence_pieces
 from tallyloom.llm.shared import table
+from tallyloom.llm.spelling_variants import spelling_variants
+from tallyloom.llm.token_counts import token_counts
 from tallyloom.llm.token_files import token_table
 from tallyloom.llm.warc import archived
 
@@ -78,12 +80,25 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pii, op2_decontamination, op3_language, op4_near_duplicates, op5_token_files, op6_sentence_pieces,
-        op7_warc, op8_loss_difference, op9_near_vectors, op10_secrets,
+        op7_warc, op8_loss_difference, op9_near_vectors, op10_secrets, op11_filter_audit, op12_spelling_variants,
+        op13_token_counts,
     )
 }
 #: For the exact operators that SQL can express.
-ORACLE: dict[str, str] = {"op2_decontamination": decontamination.ORACLE}
+ORACLE: dict[str, str] = {"op2_decontamination": decontamination.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
