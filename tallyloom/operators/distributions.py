@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import recode
 from .aggregate import with_share
 from .columns import join_back
+from .ordered import running_totals
 
 
 def joint(
@@ -72,3 +73,23 @@ def split(
     return dist.select(*others, F.col(p).alias("_p"), F.inline(whole_rows)).select(
         *others, F.col("code").alias(outcome), (F.col("_p") * F.col("w")).alias(p)
     )
+
+
+def joint_marginal(
+    first: DataFrame, second: DataFrame, keys: Sequence[str], outcome: str, other: str, bound: Column, p: str = "p"
+) -> DataFrame:
+    """The first outcome's law given that the sum of both, whole numbers, is at most `bound` (of keys): keys, outcome, p.
+
+    The marginal of the joint law without its pairs: each share is weighed by the second law's running total at the largest
+    outcome that the bound leaves. Both tables are put in one order and added up once, in segments, so a key
+    may have any number of outcomes. Shares count to 15 places, added as decimals.
+    """
+    exact = F.col(p).cast("decimal(30,15)")
+    none = F.lit(0).cast("decimal(30,15)")
+    # At equal places the second law's own rows come first.
+    steps = second.select(*keys, F.col(other).cast("bigint").alias("_at"), F.lit(0).alias("_asks"), F.lit(None).cast(first.schema[outcome].dataType).alias(outcome), exact.alias("_step"), none.alias("_share"))
+    asks = first.select(*keys, (bound - F.col(outcome)).cast("bigint").alias("_at"), F.lit(1).alias("_asks"), outcome, none.alias("_step"), exact.alias("_share"))
+    stacked = steps.groupBy(*keys, "_at", "_asks", outcome).agg(F.sum("_step").cast("decimal(30,15)").alias("_step"), F.max("_share").alias("_share"))
+    totals = running_totals(stacked.unionByName(asks), ("_at", "_asks", outcome), ["_step"], by=keys)
+    weighed = totals.where("_asks = 1").select(*keys, outcome, (F.col("_share").cast("double") * F.col("run__step").cast("double")).alias("_pp"))
+    return with_share(weighed.where("_pp > 0"), "_pp", keys, name=p).drop("_pp")

@@ -21,7 +21,8 @@ from .reshape import count_matrix, uncount
 
 CELLS_PER_PARTITION = 4
 LEAST_CELLS = 64
-WHOLE_NUMBERS = ("tinyint", "smallint", "int", "bigint")
+#: A distribution that is held as one array has fewer than two to this power of outcomes.
+LARGEST_TABLE_BITS = 21
 
 
 def intervals(
@@ -30,24 +31,22 @@ def intervals(
     """Cumulative interval [lo, hi) of `total` for each outcome with a positive weight.
 
     A distribution holds one row per (keys, outcome). A small one takes a plain window per key.
-    Otherwise the running totals follow the outcome code in bounded segments of the code range, so
-    that a key with very many outcomes is not one task; label outcomes are a category of their own
-    and always take the window.
+    Otherwise the running totals follow the outcomes, codes or labels, in segments of about equal size, so
+    that a key with very many outcomes is not one task.
     """
     exact = F.col(weight)
     if dict(dist.dtypes)[weight] in ("float", "double"):
         # In binary fractions a bound and the next one's start could come out apart, whatever the order.
         exact = exact.cast("decimal(30,15)")
     positive = dist.select(*keys, outcome, exact.alias("_weight")).where(F.col("_weight") > 0)
-    if small or dict(dist.dtypes)[outcome] not in WHOLE_NUMBERS:
+    if small:
         group = Window.partitionBy(*keys)
         upto = group.orderBy(outcome).rowsBetween(Window.unboundedPreceding, 0)
         summed = positive.withColumn("hi", F.sum("_weight").over(upto)).withColumn(
             "total", F.max("hi").over(group)
         )
     else:
-        coded = positive.withColumn("_code", F.col(outcome).cast("bigint"))
-        running = running_totals(coded, "_code", ["_weight"], by=keys).withColumnRenamed("run__weight", "hi")
+        running = running_totals(positive, outcome, ["_weight"], by=keys).withColumnRenamed("run__weight", "hi")
         whole = F.sum("_weight").alias("total")
         if keys:
             summed = join_back(running, positive.groupBy(*keys).agg(whole), keys)
@@ -152,29 +151,43 @@ def replicate_fit(
 ) -> DataFrame:
     """Seeded replicates of a draw with their squared error, and the first that fits.
 
-    Each row is expanded to its replicates and counted per (replicate, outcome) before anything is
-    shuffled by replicate, so the cost is `replicates` narrow passes and no retry loop.
+    With `small=True` the distribution is one ordered array of bounds, in which every row looks up its drawn codes by
+    halves; they are counted by (replicate, code) in the same task, and only those counts are shuffled. Otherwise
+    each row is expanded to its replicates and drawn by join.
     """
     numbers = F.array(*[F.lit(r) for r in range(1, replicates + 1)])
-    expanded = rows.select(key).withColumn("replicate", F.explode(numbers))
-    number = uniform(key, "replicate", salt=salt, seed=seed)
-    drawn = draw(expanded, dist, outcome, weight, number, small=small)
+    if small:
+        ends = intervals(dist, outcome, weight, small=True)
+        table = F.array_sort(F.collect_list(F.struct("hi", "total", F.col(outcome).alias("code"))))
+        bounds = ends.agg(table.alias("_bounds")).scalar()
+        placed = rows.select(key).withColumn("_bounds", bounds)
+
+        def code_of(replicate: Column) -> Column:
+            at = uniform(key, replicate, salt=salt, seed=seed) * F.get("_bounds", F.lit(0))["total"]
+            return F.struct(replicate.alias("replicate"), _first_above(F.col("_bounds"), at)["code"].alias(outcome))
+
+        drawn = placed.select(F.inline(F.transform(numbers, code_of))).where(F.col(outcome).isNotNull())
+    else:
+        expanded = rows.select(key).withColumn("replicate", F.explode(numbers))
+        drawn = draw(expanded, dist, outcome, weight, uniform(key, "replicate", salt=salt, seed=seed))
     counted = drawn.groupBy("replicate", outcome).agg(F.count(F.lit(1)).alias("_drawn"))
     # Every outcome takes part in every replicate, drawn or not.
     target = grouped_sum(dist, [outcome], weight, "_wanted").withColumn("replicate", F.explode(numbers))
+    none = F.lit(0).cast("bigint")
     stacked = (
-        target.select("replicate", outcome, "_wanted", F.lit(0).cast("bigint").alias("_drawn"))
-        .unionByName(
-            counted.select("replicate", outcome, F.lit(0).cast("bigint").alias("_wanted"), "_drawn")
-        )
+        target.select("replicate", outcome, "_wanted", none.alias("_drawn"))
+        .unionByName(counted.select("replicate", outcome, none.alias("_wanted"), "_drawn"))
         .groupBy("replicate", outcome)
         .agg(F.sum("_wanted").alias("_wanted"), F.sum("_drawn").alias("_drawn"))
     )
     if small:
-        group = Window.partitionBy("replicate")
-        totalled = stacked.withColumns(
-            {"_all_drawn": F.sum("_drawn").over(group), "_all_wanted": F.sum("_wanted").over(group)}
+        # All counts of a replicate are one row, of as many as the distribution has codes.
+        cells = F.sort_array(F.collect_list(F.struct(F.col(outcome).alias("code"), "_drawn", "_wanted")))
+        by_replicate = stacked.groupBy("replicate").agg(
+            cells.alias("_cells"), F.sum("_drawn").alias("_all_drawn"), F.sum("_wanted").alias("_all_wanted")
         )
+        gap = lambda c: c["_drawn"] / F.col("_all_drawn") - c["_wanted"] / F.col("_all_wanted")
+        scored = by_replicate.select("replicate", F.aggregate("_cells", F.lit(0.0), lambda ss, c: ss + gap(c) * gap(c)).alias("ss"))
     else:
         # One pair of totals per replicate, read from the same columns as the counts so that both
         # share their shuffle.
@@ -182,8 +195,8 @@ def replicate_fit(
             F.sum("_drawn").alias("_all_drawn"), F.sum("_wanted").alias("_all_wanted")
         )
         totalled = join_back(stacked, wholes, ["replicate"], small=True)
-    gap = F.col("_drawn") / F.col("_all_drawn") - F.col("_wanted") / F.col("_all_wanted")
-    scored = totalled.withColumn("_gap", gap).groupBy("replicate").agg(F.sum(F.col("_gap") * F.col("_gap")).alias("ss"))
+        gap = F.col("_drawn") / F.col("_all_drawn") - F.col("_wanted") / F.col("_all_wanted")
+        scored = totalled.withColumn("_gap", gap).groupBy("replicate").agg(F.sum(F.col("_gap") * F.col("_gap")).alias("ss"))
     # One row per replicate from here on: a fixed, small number.
     first = F.min(F.when(F.col("ss") <= tolerance, F.col("replicate"))).over(Window.partitionBy())
     return scored.select(
@@ -192,3 +205,15 @@ def replicate_fit(
         (F.col("ss") <= tolerance).alias("fits"),
         F.coalesce(F.col("replicate") == first, F.lit(False)).alias("chosen"),
     )
+
+
+def _first_above(bounds: Column, at: Column) -> Column:
+    """The first interval of an ordered array that ends above `at`, by halves; NULL for an empty array."""
+    bits = F.array(*[F.lit(1 << b) for b in reversed(range(LARGEST_TABLE_BITS))])
+    used = F.filter(bits, lambda step: step <= F.size(bounds))
+
+    def further(place: Column, step: Column) -> Column:
+        end = F.get(bounds, place + step - 1)["hi"]
+        return F.when(end <= at, place + step).otherwise(place)
+
+    return F.get(bounds, F.aggregate(used, F.lit(0), further))

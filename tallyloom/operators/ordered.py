@@ -1,10 +1,11 @@
 """Operators that follow a row order: running totals, row numbers, fill-down, block labels.
 
-The order is cut into segments at quantiles of its leading column, as many as there are shuffle
-partitions. The quantiles come from one aggregate whose result all parts of the plan share. Each segment
-is folded on its own; the folds before a segment are added up over the segments alone, at most as many
-rows per group as there are segments. So a table without groups, or a group with a third of all
-rows, is as many tasks as the cluster has partitions, and small groups take the same path.
+The order may be of any columns that can be sorted: numbers, text, dates. It is cut into segments at tuples of
+all of them, as many segments as there are shuffle partitions; so rows that share the leading value, a third of
+the table perhaps, are cut by the further columns. The tuples come from a sample of bounded size that all parts
+of the plan share. Each segment is folded on its own; the folds before a segment are added up over the segments
+alone, at most as many rows per group as there are segments. So a table without groups, or a group with a third
+of all rows, is as many tasks as the cluster has partitions, and small groups take the same path.
 """
 
 from collections.abc import Mapping, Sequence
@@ -16,6 +17,9 @@ from .columns import join_back
 # A spreadsheet holds at most 2**20 rows, so a published sheet takes a single window.
 SHEET = 1
 
+#: Rows of the sample for each segment. With 40 of them a segment's share is within half of the mean.
+SAMPLED = 40
+
 SUM = "sum"
 LAST = "last"
 
@@ -38,16 +42,32 @@ def _then(kind: str, earlier: str, later: str) -> Column:
     return F.coalesce(F.col(later), F.col(earlier))
 
 
-def _segment(df: DataFrame, key: str, segments: int) -> tuple[Column, Column]:
-    """The quantiles, and how many of them (in _bounds) are up to the key, by halves. A missing key has none below it,
-    as it sorts first."""
-    bounds = df.agg(F.percentile_approx(key, [i / segments for i in range(1, segments)], 10 * segments)).scalar()
+def _splitters(df: DataFrame, by: Sequence[str], keys: Sequence[str], segments: int) -> Column:
+    """segments - 1 tuples of the keys in order, evenly spread over a sample: the rows of least hash."""
+    drawn = df.select(F.struct(*keys).alias("_key"), F.xxhash64(*by, *keys).alias("_hash")).orderBy("_hash", "_key")
+    tuples = drawn.limit(SAMPLED * segments).agg(F.array_sort(F.collect_list("_key")).alias("_tuples"))
+    places = F.array(*[F.lit(i / segments) for i in range(1, segments)])
+    at = F.transform(places, lambda share: F.get("_tuples", F.floor(share * F.size("_tuples")).cast("int")))
+    return tuples.select(at.alias("_splitters")).scalar()
+
+
+def _segment(keys: Sequence[str], segments: int) -> Column:
+    """How many of the splitters (in _bounds) are up to the row's keys, by halves. Missing keys sort first."""
+    own = F.struct(*keys)
     steps = [1 << b for b in reversed(range(segments.bit_length()))]
 
     def further(place: Column, step: Column) -> Column:
-        return F.when(F.get(F.col("_bounds"), place + step - 1) <= F.col(key), place + step).otherwise(place)
+        return F.when(F.get(F.col("_bounds"), place + step - 1) <= own, place + step).otherwise(place)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+
 
-    return bounds, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), further)
+def in_segments(
+    df: DataFrame, by: Sequence[str], keys: Sequence[str], segments: int, sample: DataFrame | None = None
+) -> DataFrame:
+    """Add _segment, the row's place among `segments` of about equal size in the order of the keys."""
+    bounds = _splitters(df if sample is None else sample, by if sample is None else (), keys, segments)
+    return df.withColumn("_bounds", bounds).withColumn("_segment", _segment(keys, segments)).drop("_bounds")
 
 
 def _carry(
@@ -57,9 +77,13 @@ def _carry(
     wanted: Mapping[str, tuple[str, str]],
     segments: int | None = None,
     end: int = 0,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Add each wanted column: the fold of its input over the rows of the group up to `end`, in the order of
-    `keys`, which together are unique within a group; the first is a number, date or timestamp."""
+    `keys`, which together are unique within a group.
+
+    The segments are cut by the keys of `df`, or of `sample`, a table with the same keys that costs less to make.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if segments is None:
         segments = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -67,8 +91,7 @@ def _carry(
     if segments <= 1:
         return df.withColumns({out: _in_window(kind, c, window) for out, (kind, c) in wanted.items()})
 
-    bounds, place = _segment(df, keys[0], segments)
-    cut = df.withColumn("_bounds", bounds).withColumn("_segment", place).drop("_bounds")
+    cut = in_segments(df, by, keys, segments, sample)
     order = F.struct(*keys)
     totals = cut.groupBy(*by, "_segment").agg(
         *[_of_segment(kind, c, order).alias(f"_total_{out}") for out, (kind, c) in wanted.items()]
@@ -92,9 +115,10 @@ def running_totals(
     by: Sequence[str] = (),
     prefix: str = "run_",
     segments: int | None = None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
-    """Inclusive running sums of integer columns in key order."""
-    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, segments)
+    """Inclusive running sums of integer or decimal columns in key order."""
+    return _carry(df, by, key, {prefix + c: (SUM, c) for c in columns}, segments, sample=sample)
 
 
 def row_numbers(
@@ -124,3 +148,10 @@ def fill_down(
     """Replace missing values by the last one before them in key order (in place unless `name`)."""
     filled = _carry(df, by, key, {"_filled": (LAST, column)}, segments)
     return filled.withColumn(name or column, F.col("_filled")).drop("_filled")
+
+
+def value_before(
+    df: DataFrame, key: str | Sequence[str], column: str, by: Sequence[str] = (), name: str = "before", segments: int | None = None
+) -> DataFrame:
+    """The last value that is not missing of the rows before, in key order."""
+    return _carry(df, by, key, {name: (LAST, column)}, segments, end=-1)

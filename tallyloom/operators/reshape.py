@@ -103,7 +103,9 @@ def uncount(rows: DataFrame, weight: str, copy: str = "copy", chunk: int = CHUNK
     count = F.col(weight).cast("bigint")
     one = F.lit(1).cast("bigint")
     starts = F.sequence(one, count, F.lit(chunk).cast("bigint"))
-    cut = rows.where(count > 0).withColumn("_start", F.explode(starts)).repartition(*rows.columns, "_start")
+    # Of a stated number, as the few bytes of the chunks would be put back into one task.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = rows.where(count > 0).withColumn("_start", F.explode(starts)).repartition(tasks, *rows.columns, "_start")
     end = F.least(count, F.col("_start") + (chunk - 1))
     return cut.withColumn(copy, F.explode(F.sequence(F.col("_start"), end))).drop("_start")
 
@@ -162,3 +164,30 @@ def members_wide(
         *counts,
         F.greatest(F.col("hh_size") - width, F.lit(0)).cast("bigint").alias("n_over"),
     )
+
+
+def run_lengths(rows: DataFrame, keys: Sequence[str], code: str, weight: str | None = None, name: str = "runs") -> DataFrame:
+    """Members to one row per entity: its distinct codes in order, each with its count, and its size.
+
+    For codes of any number and type. Members are counted by (entity, code) first, with partial sums, so an entity
+    with a third of all rows is shuffled as its counts; only these are put together. Members without a code come last.
+    """
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = rows.groupBy(*keys, code).agg(count.cast("bigint").alias("_n")).where("_n > 0")
+    cell = F.struct(F.col(code).isNull().alias("missing"), F.col(code).alias("code"), F.col("_n").alias("n"))
+    cells = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(cell)).alias("_cells"), F.sum("_n").alias("hh_size"))
+    runs = F.transform("_cells", lambda cell: F.struct(cell["code"].alias("code"), cell["n"].alias("n")))
+    return cells.select(*keys, runs.alias(name), "hh_size")
+
+
+def member_at(runs: Column, position: Column) -> Column:
+    """The code of the member at a position, from 1, read off the run lengths without listing the members; NULL beyond."""
+    none = F.lit(0).cast("bigint")
+
+    def past(state: Column, run: Column) -> Column:
+        """Members in the runs so far, and how many of these runs end before the position."""
+        upto = state["upto"] + run["n"]
+        return F.struct(upto.alias("upto"), (state["at"] + (upto < position).cast("int")).alias("at"))
+
+    at = F.aggregate(runs, F.struct(none.alias("upto"), F.lit(0).alias("at")), past)["at"]
+    return F.when(position >= 1, F.get(runs, at)["code"])

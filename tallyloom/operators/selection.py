@@ -43,14 +43,16 @@ def drift(
     threshold: float = 0.0,
     by: Sequence[str] = (),
     segments: int | None = None,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Per entity in key order, over the table or within each stratum `by`: members so far, squared error so
     far, its change, and a flag.
 
     The error before an entity follows from the running totals less its own counts, so no lag over
-    the whole table is needed; the running totals themselves are segmented (see `ordered`).
+    the whole table is needed; the running totals themselves are segmented (see `ordered`), by the
+    keys of `sample` if it is given, a table that is cheaper to read than the roster is to make.
     """
-    running = running_totals(matrix, key, columns, by, prefix="_run_", segments=segments)
+    running = running_totals(matrix, key, columns, by, prefix="_run_", segments=segments, sample=sample)
     now = [F.col(f"_run_{c}") for c in columns]
     before = [F.col(f"_run_{c}") - F.col(c) for c in columns]
     measured = _with_target(running, columns, target).select(

@@ -44,12 +44,17 @@ def head_margin(sheet: DataFrame) -> DataFrame:
     return with_share(tidy, by=["hh_size"], tiny=True)
 
 
-def type_margin(sheet: DataFrame, heads: Sequence[str] = K.HEAD_LABELS, label: str = "sex") -> DataFrame:
-    """Share of each household type given head age and size.
+def type_margin(
+    sheet: DataFrame, heads: Sequence[str] = K.HEAD_LABELS, label: str = "sex", types: Sequence[int] | None = None
+) -> DataFrame:
+    """Share of each dwelling type given head age and size.
 
     Kept rows are those of the subtotal over `label` with a real head age. They come in blocks, one for each
     type; within a block the head ages come in the order of `heads`, so a new block begins where that
     order starts over. A block that lacks a head age, or has another one, is an error.
+
+    The sheet does not name its blocks: `types` are their codes in order, and a sheet with another number of blocks
+    is an error, as a type that is not there would shift the others. Without `types` the blocks count from 1.
     """
     filled = fill_down(sheet, "ord", label, segments=SHEET).where(F.col(label) == K.SUBTOTAL_LABEL).drop(label)
     kept = drop_subtotals(filled, ["head_age"])
@@ -60,7 +65,13 @@ def type_margin(sheet: DataFrame, heads: Sequence[str] = K.HEAD_LABELS, label: s
     found = F.count_if(place > 0).over(Window.partitionBy("_type"))
     whole = (found == len(heads)) & (F.count(F.lit(1)).over(Window.partitionBy("_type")) == len(heads))
     message = F.concat(F.lit("block "), F.col("_type").cast("string"), F.lit(" of the sheet is not complete"))
-    typed = typed.withColumn("hh_type", F.when(whole, F.col("_type")).otherwise(F.raise_error(message).cast("int")))
+    code = F.col("_type")
+    if types is not None:
+        blocks = F.max("_type").over(Window.partitionBy())
+        wrong = F.concat(F.lit(f"{len(types)} blocks are expected, the sheet has "), blocks.cast("string"))
+        listed = F.get(F.array(*[F.lit(t) for t in types]), code - 1)
+        code = F.when(blocks == len(types), listed).otherwise(F.raise_error(wrong).cast("int"))
+    typed = typed.withColumn("hh_type", F.when(whole, code).otherwise(F.raise_error(message).cast("int")))
     typed = typed.drop("_starts", "_type", "ord")
     long = typed.unpivot(["head_age", "hh_type"], list(SIZE_COLUMNS), "_size", "_cell")
     tidy = long.select(

@@ -1,7 +1,8 @@
 """Which member combinations occur in entities of each size, and how often.
 
 A pattern is the sorted multiset of member codes. It is held as its count vector: fixed width, one
-aggregation away from the member rows, and equal exactly when the sorted members are equal.
+aggregation away from the member rows, and equal exactly when the sorted members are equal. Where the
+codes are many or not known before, it is held as its run lengths: (code, count) in code order.
 """
 
 from collections.abc import Mapping, Sequence
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import BAND_CODES
 from ..operators.aggregate import column_totals, crosstab, grouped_count, with_share
-from ..operators.reshape import count_matrix, count_names, member_total, other_name
+from ..operators.reshape import count_matrix, count_names, member_total, other_name, run_lengths
 
 
 def pattern_label(codes: Sequence[int] = BAND_CODES, prefix: str = "b") -> Column:
@@ -100,3 +101,20 @@ def single_member_bands(matrix: DataFrame, size_col: str | None = None) -> DataF
     """Band distribution of one-member entities, bands without any included."""
     size = F.col(size_col) if size_col else member_total()
     return with_share(column_totals(matrix.where(size == 1), count_names()), tiny=True)
+
+
+def runs_label(runs: Column) -> Column:
+    """As `pattern_label`, from run lengths."""
+    text = F.transform(
+        runs, lambda run: F.concat(F.coalesce(run["code"].cast("string"), F.lit("?")), F.lit("{"), run["n"].cast("string"), F.lit("}"))
+    )
+    return F.array_join(text, "+")
+
+
+def sparse_patterns(rows: DataFrame, keys: Sequence[str], code: str, by: Sequence[str] = ()) -> DataFrame:
+    """Patterns of any codes by entity size (within `by`, which is among the keys): hh_size, pattern, n, p.
+
+    The pattern is compared by its codes and counts, not by its label. Totals per size are joined back.
+    """
+    counted = with_share(grouped_count(run_lengths(rows, keys, code), [*by, "hh_size", "runs"]), by=[*by, "hh_size"])
+    return counted.select(*by, "hh_size", runs_label(F.col("runs")).alias("pattern"), "n", "p")

@@ -1,6 +1,6 @@
 """Writers."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .readers import RUN_PARTS
 
@@ -16,6 +16,17 @@ def write_run(path: str, roster: DataFrame, types: DataFrame, steps: DataFrame)
         df.write.mode("overwrite").parquet(f"{path}/{part}")
 
 
+def write_roster(roster: DataFrame, table: str, key: str, size: str = "hh_size", buckets: int = 64) -> None:
+    """Store a roster as a table that is partitioned by size and bucketed and sorted by its key.
+
+    Tables that are stored so join on the key without a shuffle, and a size reads its own files. Rows are dealt by
+    (size, bucket), so a bucket of a size is one file.
+    """
+    bucket = F.expr(f"pmod(hash(`{key}`), {buckets})")
+    dealt = roster.repartition(F.col(size), bucket)
+    dealt.write.mode("overwrite").partitionBy(size).bucketBy(buckets, key).sortBy(key).saveAsTable(table)
+
+
 def first_rows(df: DataFrame, *order: Column | str, n: int = 6) -> DataFrame:
     """The first n rows in a stated order (a top-n over partitions, not a full sort)."""
     return df.orderBy(*order).limit(n)

@@ -31,6 +31,16 @@ def test_type_sheet(spark):
     assert totals == {1: (10, 10 / 12), 2: (2, 2 / 12)}
 
 
+def test_types_of_the_blocks_are_those_expected(spark):
+    dash = ["-"] * 5
+    rows = [(1, "Sub-Total", "0 - 24", "5", *dash), (2, None, "65+", "1", *dash), (3, None, "0 - 24", "7", *dash), (4, None, "65+", "2", *dash)]
+    sheet, heads = spark.createDataFrame(rows, schemas.TYPE_SHEET), ("0 - 24", "65+")
+    margin = margins.type_margin(sheet, heads, types=(1, 3))
+    assert {(r.hh_type, r.n) for r in margin.where("hh_size = 1").collect()} == {(1, 5), (1, 1), (3, 7), (3, 2)}
+    with pytest.raises(Exception, match="3 blocks are expected, the sheet has 2"):
+        margins.type_margin(sheet, heads, types=(1, 2, 3)).collect()
+
+
 def test_type_sheet_with_a_missing_row_is_an_error(spark):
     dash = ["-"] * 5
     rows = [(1, "Sub-Total", "0 - 24", "5", *dash), (2, None, "65+", "1", *dash), (3, None, "65+", "7", *dash)]

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordered import _segment, block_labels, fill_down, row_numbers, running_totals
+from tallyloom.operators.ordered import block_labels, fill_down, in_segments, row_numbers, running_totals, value_before
 
 SEGMENTS = st.sampled_from([1, 2, 5, None])
 QUICK = settings(
@@ -90,9 +90,8 @@ def test_rows_are_spread_over_tasks(spark):
     for step in (1, 10**12):
         df = spark.range(10_000).select((F.col("id") * step).alias("k"), F.lit("a").alias("g"))
         for by in ([], ["g"]):
-            cut = df.withColumn("_bounds", _segment(df, "k", 8)[0]).withColumn("s", _segment(df, "k", 8)[1])
-            held = _rows_by_task(cut, "s")
-            assert len(held) == 8 and max(held) < 2 * min(held)
+            held = _rows_by_task(in_segments(df, by, ["k"], 8), "_segment")
+            assert len(held) == 8 and max(held) < 2 * 10_000 / 8
             numbered = row_numbers(df, "k", by, segments=8)
             assert numbered.where(F.col("row_number") != F.col("k") / step + 1).isEmpty()
 
@@ -102,8 +101,8 @@ def test_only_segment_totals_meet_in_one_task(spark, plan_text):
     plan = plan_text(row_numbers(df, "k"))
     lines = plan.splitlines()
     below = [lines[i + 1] for i, line in enumerate(lines) if "SinglePartition" in line]
-    # The totals of segments, and partial quantiles.
-    assert below and all("HashAggregate(keys=[_segment" in x or "partial_percentile_approx" in x for x in below)
+    # The totals of segments, and the bounded sample.
+    assert below and all("HashAggregate(keys=[_segment" in x or "partial_collect_list" in x or "Limit" in x for x in below), below
     assert "hashpartitioning(_segment" in plan
 
 
@@ -112,3 +111,26 @@ def test_block_labels(spark, blocks, expected):
     df = spark.range(1, 7).withColumnRenamed("id", "n")
     labelled = block_labels(df, "n", 2, "block", blocks)
     assert [r.block for r in labelled.orderBy("n").collect()] == expected
+
+
+def test_a_popular_leading_value_is_cut_by_the_next_column(spark):
+    """Text keys, a third of the rows with one leading value and some without any."""
+    name = F.when(F.col("id") % 3 == 0, "popular").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("n"), F.col("id") % 997))
+    df = spark.range(30_000).select(name.alias("name"), F.concat(F.lit("id"), "id").alias("key"), "id")
+    held = _rows_by_task(in_segments(df, [], ["name", "key"], 8), "_segment")
+    assert len(held) == 8 and max(held) < 2 * 30_000 / 8
+    rows = sorted(df.collect(), key=lambda r: (r.name is not None, r.name or "", r.key))
+    expected = {r.id: i for i, r in enumerate(rows, 1)}
+    assert {r.id: r.row_number for r in row_numbers(df, ("name", "key"), segments=8).collect()} == expected
+
+
+def test_value_before(spark):
+    df = spark.createDataFrame([(1, None), (3, 5), (4, None), (7, 2), (9, 1)], "k INT, v INT")
+    for segments in (1, 3, None):
+        assert {r.k: r.before for r in value_before(df, "k", "v", segments=segments).collect()} == {1: None, 3: None, 4: 5, 7: 5, 9: 2}
+
+
+def test_sample_of_another_table(spark):
+    df = spark.range(1000).withColumnRenamed("id", "k").withColumn("v", F.col("k") % 5)
+    totals = running_totals(df, "k", ["v"], segments=6, sample=df.where("k % 3 = 0").select("k"))
+    assert totals.where("run_v <> (k div 5) * 10 + (k % 5) * (k % 5 + 1) / 2").isEmpty()

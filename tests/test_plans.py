@@ -44,7 +44,7 @@ def test_unpivot_lets_key_filters_through(spark, sf_dir, plan_text):
     "name, shuffles_by_household",
     [("patterns_by_size", 1), ("drift_monitor", 1), ("roster_persons", 1), ("margin_child", 1)],
 )
-def test_households_are_shuffled_once_per_population(spark, sf_dir, plan_text, name, shuffles_by_household):
+def test_dwellings_are_shuffled_once_per_population(spark, sf_dir, plan_text, name, shuffles_by_household):
     """Branches that need the roster again reuse its shuffle: one executed exchange by household per
     population, plus the one of the dwellings table where it is joined."""
     df = queries()[name](spark, sf_dir)
@@ -76,3 +76,31 @@ def test_fit_reports_scan_the_members_once(spark, sf_dir, plan_text, name):
 def test_no_python_in_the_plans_and_no_forced_broadcast_of_sizes(spark, sf_dir, plan_text):
     for name in ("acceptance_by_stratum", "drift_by_stratum", "fill_down", "row_ids"):
         assert "Python" not in _plan(spark, sf_dir, plan_text, name)
+
+
+def test_replicates_shuffle_counts_only(spark, sf_dir, plan_text):
+    """Rows meet the distribution as one array: no join, and what is dealt by replicate are partial counts."""
+    df = queries()["replicate_fit"](spark, sf_dir)
+    df.collect()
+    lines = _executed(plan_text(df))
+    assert not any("Join" in line for line in lines)
+    dealt = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(replicate" in line and "Reused" not in line]
+    assert dealt and all("HashAggregate" in lines[i + 1] for i in dealt)
+
+
+def test_drift_cuts_segments_by_a_scan_of_the_keys(spark, sf_dir, plan_text):
+    plan = _plan(spark, sf_dir, plan_text, "drift_monitor")
+    assert re.findall(r"ReadSchema: struct<o_orderkey:bigint>", plan)
+
+
+def test_the_cube_expands_sums(spark, sf_dir, plan_text):
+    lines = _plan(spark, sf_dir, plan_text, "margins_cube").splitlines()
+    expands = [i for i, line in enumerate(lines) if "Expand [" in line]
+    assert expands and all("HashAggregate" in lines[i + 1] or "HashAggregate" in lines[i + 2] for i in expands)
+
+
+def test_wide_form_has_the_width_of_the_data(spark, sf_dir):
+    df = queries()["patterns_wide"](spark, sf_dir)
+    widest = df.agg({"hh_size": "max"}).first()[0]
+    assert [c for c in df.columns if c.startswith("age_")] == [f"age_{i}" for i in range(1, widest + 1)]
+    assert df.where("n_over > 0").isEmpty()

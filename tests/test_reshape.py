@@ -165,3 +165,32 @@ def test_subtotals_and_missing_labels_are_dropped(spark):
         [("x", "1"), ("Sub-Total", "1"), ("x", "Sub-Total"), (None, "1")], "a STRING, b STRING"
     )
     assert [tuple(r) for r in drop_subtotals(df, ["a", "b"]).collect()] == [("x", "1")]
+
+
+def test_unlike_codes_are_unlike_patterns(spark):
+    """Codes 10 and 11 are codes like others, and members without one are told apart from them."""
+    rows = [(1, 10), (1, 2), (2, 11), (2, 2), (3, 2), (3, None), (4, 11), (4, 2)]
+    df = spark.createDataFrame(rows, "hid BIGINT, code INT")
+    found = {r.pattern: (r.hh_size, r.n, r.p) for r in patterns.sparse_patterns(df, ["hid"], "code").collect()}
+    assert found == {"2{1}+10{1}": (2, 1, 0.25), "2{1}+11{1}": (2, 2, 0.5), "2{1}+?{1}": (2, 1, 0.25)}
+
+
+def test_text_codes_are_compared_by_code_and_not_by_label(spark):
+    df = spark.createDataFrame([(1, "a{1}+b"), (2, "a"), (2, "b")], "hid BIGINT, code STRING")
+    found = patterns.sparse_patterns(df, ["hid"], "code").collect()
+    assert sorted((r.pattern, r.hh_size) for r in found) == [("a{1}+b{1}", 1), ("a{1}+b{1}", 2)]
+
+
+def test_run_lengths_are_read_by_position(spark):
+    rows = [(1, 7), (1, 3), (1, 7), (1, None), (2, 1000)]
+    runs = reshape.run_lengths(spark.createDataFrame(rows, "hid BIGINT, code INT"), ["hid"], "code")
+    at = {f"m{i}": reshape.member_at(F.col("runs"), F.lit(i)) for i in range(6)}
+    found = {r.hid: tuple(r[c] for c in at) for r in runs.withColumns(at).collect()}
+    assert found == {1: (None, 3, 7, 7, None, None), 2: (None, 1000, None, None, None, None)}
+    assert {r.hid: r.hh_size for r in runs.collect()} == {1: 4, 2: 1}
+
+
+def test_run_lengths_of_a_large_entity_stay_short(spark):
+    df = spark.range(300_000).select(F.lit(1).alias("hid"), (F.col("id") % 3).alias("code"), F.lit(10**6).alias("w"))
+    row = reshape.run_lengths(df, ["hid"], "code", weight="w").first()
+    assert row.hh_size == 3 * 10**11 and len(row.runs) == 3

@@ -208,6 +208,15 @@ CODE_TABLE = "codes AS (SELECT CAST(unnest(range(1, 10)) AS INTEGER) AS age)"
 SAMPLE = matrix("sample", "WHERE flag = 'R'")
 PAIR_TABLES = (MEMBERS, matrix(), SAMPLE, DWELLINGS, CODE_TABLE)
 BASE = with_(MEMBERS, matrix()) + "\n"
+QUANTITIES = """WITH quantities AS (
+  SELECT l_orderkey AS hid, CASE WHEN l_quantity % 17 <> 0 THEN CAST(l_quantity AS INTEGER) END AS code FROM lineitem),
+entities AS (
+  SELECT hid, CAST(sum(k) AS BIGINT) AS hh_size,
+         string_agg(coalesce(CAST(code AS VARCHAR), '?') || '{' || k || '}', '+' ORDER BY code NULLS LAST) AS pattern
+  FROM (SELECT hid, code, count(*) AS k FROM quantities GROUP BY ALL) GROUP BY hid)"""
+LABELS = """WITH labels_ AS (
+  SELECT o_orderkey AS hid, CASE WHEN o_custkey % 17 = 0 THEN 'Unlisted ' || (o_custkey % 5)
+         ELSE 'Customer#' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') END AS label FROM orders)"""
 SIZED_BASE = (MEMBERS, DWELLINGS, SIZED.format(how=""))
 
 STRATIFIED = (
@@ -256,11 +265,20 @@ SELECT * FROM (
         PATTERNS.format(by="flag,"),
     )
     + "\nSELECT flag AS population, hh_size, pattern, n, round(share, 6) AS p FROM shared",
-    "patterns_wide": with_(MEMBERS, matrix())
-    + ", lists AS (SELECT hid, list_sort(list(age)) AS a FROM members GROUP BY hid)\n"
-    + "SELECT hid, hh_size, "
-    + ", ".join(f"a[{i}] AS age_{i}" for i in range(1, 21))
-    + f", {BANDS}, {OTHER}, greatest(hh_size - 20, 0) AS n_over FROM lists JOIN matrix USING (hid)",
+    "patterns_wide": f"""SELECT w.*, {BANDS}, {OTHER}, CAST(0 AS BIGINT) AS n_over
+FROM (PIVOT (
+  SELECT l_orderkey AS hid, CAST(1 + floor((l_quantity - 1) / 6) AS INTEGER) AS age,
+         count(*) OVER (PARTITION BY l_orderkey) AS hh_size,
+         'age_' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS place FROM lineitem)
+  ON place USING max(age) GROUP BY hid, hh_size) w
+JOIN (SELECT * EXCLUDE (hh_size) FROM ({with_(MEMBERS, matrix())} SELECT * FROM matrix)) m USING (hid)""",
+    "patterns_any_code": QUANTITIES
+    + """, counted AS (SELECT hh_size, pattern, count(*) AS n FROM entities GROUP BY ALL)
+SELECT hh_size, pattern, n, round(n / sum(n) OVER (PARTITION BY hh_size), 6) AS p FROM counted""",
+    "members_array": QUANTITIES
+    + """
+SELECT hid, hh_size, pattern AS runs, a[1] AS first, a[(hh_size + 1) // 2] AS middle, a[hh_size] AS last, a[10] AS tenth
+FROM entities JOIN (SELECT hid, list(code ORDER BY code NULLS LAST) AS a FROM quantities GROUP BY hid) USING (hid)""",
     "size_distribution": BASE
     + "SELECT hh_size, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM matrix GROUP BY hh_size",
     "stored_size_distribution": BASE
@@ -270,6 +288,12 @@ SELECT * FROM (
     + """SELECT CAST(d.s AS INTEGER) AS hh_size, count(m.hid) AS n
 FROM (SELECT unnest(range(1, (SELECT max(hh_size) + 1 FROM matrix))) AS s) d
 LEFT JOIN matrix m ON m.hh_size = d.s GROUP BY d.s""",
+    "worth_gaps": with_(DWELLINGS)
+    + """, hundreds AS (SELECT hh_type, CAST(floor(worth / 100) AS BIGINT) AS hundreds FROM dwellings)
+SELECT d.hh_type, d.hundreds, count(h.hh_type) AS n
+FROM (SELECT hh_type, unnest(range(least(1, min(hundreds)), max(hundreds) + 1)) AS hundreds FROM hundreds GROUP BY hh_type) d
+LEFT JOIN hundreds h ON h.hh_type = d.hh_type AND h.hundreds = d.hundreds GROUP BY d.hh_type, d.hundreds
+HAVING d.hundreds > 0 OR count(h.hh_type) > 0""",
     "size_by_band1_margins": BASE
     + "SELECT coalesce(CAST(hh_size AS VARCHAR), 'Sum') AS hh_size, "
     + ", ".join(f"count(*) FILTER (b1 = {k}) AS c{k}" for k in range(7))
@@ -295,7 +319,7 @@ SELECT age, n, round(n / sum(n) OVER (), 6) AS p FROM (
     "roster_sizes": BASE + f"SELECT hid, b1, {OTHER}, hh_size FROM matrix",
     "couples_of_two": with_(*SIZED_BASE)
     + "\nSELECT hid, hh_type, hh_size FROM sized WHERE hh_size = 2 AND hh_type IN (1, 2, 4, 5)",
-    "first_households": BASE + f"SELECT hid, {BANDS}, {OTHER} FROM matrix ORDER BY hid LIMIT 6",
+    "first_rosters": BASE + f"SELECT hid, {BANDS}, {OTHER} FROM matrix ORDER BY hid LIMIT 6",
     "margin_type_given_head_size": with_(*SIZED_BASE, TYPED, TYPE_SHARES)
     + "\nSELECT hh_size, head_age, hh_type, n, round(p, 6) AS p FROM type_dist",
     "margin_type_from_sheet": with_(*SIZED_BASE, TYPED, TYPE_SHARES)
@@ -347,6 +371,36 @@ FROM dwellings""",
     "fill_down_table": f"""SELECT event_id, user_id,
   last_value(v IGNORE NULLS) OVER (ORDER BY ts, event_id
     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM ({PURCHASES})""",
+    "fill_down_by_name": """SELECT c_name, c_nationkey, c_custkey,
+  last_value(CASE WHEN c_acctbal >= 0 THEN c_acctbal END IGNORE NULLS) OVER (PARTITION BY c_nationkey ORDER BY c_name, c_custkey
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_balance FROM customer""",
+    "fill_down_ties": f"""SELECT event_id, last_value(v IGNORE NULLS) OVER (
+  ORDER BY CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2020-01-01 12:00:00' WHEN event_id % 10 <> 1 THEN ts END NULLS FIRST, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_purchase FROM ({PURCHASES})""",
+    "sheet_with_order": """SELECT ord, hid, head_age FROM (
+  SELECT o_orderkey AS hid, o_orderstatus AS head_age, row_number() OVER (ORDER BY o_orderkey) AS ord FROM orders) WHERE ord > 18""",
+    "recode_by_table": LABELS + " SELECT hid, label, c_nationkey AS code FROM labels_ LEFT JOIN customer ON c_name = label",
+    "recode_unmatched": LABELS
+    + " SELECT label, count(*) AS n FROM labels_ LEFT JOIN customer ON c_name = label WHERE c_name IS NULL GROUP BY label",
+    "margins_cube": with_(MEMBERS, DWELLINGS, SIZED.format(how=""))
+    + """, dims AS (SELECT DISTINCT hh_type FROM sized), heads AS (SELECT DISTINCT head_age FROM sized),
+sizes AS (SELECT DISTINCT hh_size FROM sized),
+grid AS (
+  SELECT hh_type, head_age, hh_size, 0 AS n FROM dims CROSS JOIN heads CROSS JOIN sizes
+  UNION ALL SELECT hh_type, head_age, hh_size, 1 FROM sized)
+SELECT hh_type, head_age, hh_size, CAST(grouping(hh_type, head_age, hh_size) AS INTEGER) AS level, CAST(sum(n) AS BIGINT) AS n
+FROM grid GROUP BY CUBE (hh_type, head_age, hh_size)""",
+    "fit_two_tables": """WITH a AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1),
+b AS (SELECT s_nationkey AS nation, count(*) AS n FROM supplier GROUP BY 1),
+sides AS (
+  SELECT nation, coalesce(a.n, 0) AS n_pop, coalesce(b.n, 0) AS n_sample,
+         coalesce(a.n, 0) / sum(a.n) OVER () AS p, coalesce(b.n, 0) / sum(b.n) OVER () AS q
+  FROM a FULL JOIN b USING (nation))
+SELECT nation, CAST(n_pop AS BIGINT) AS n_pop, CAST(n_sample AS BIGINT) AS n_sample, round(p, 6) AS p_pop, round(q, 6) AS p_sample,
+       round(q - p, 4) AS diff FROM sides""",
+    "price_variance": """SELECT o_custkey AS custkey, count(*) AS n,
+  round(CAST(count(*) * sum(x * x) - sum(x) * sum(x) AS DOUBLE) / nullif(count(*) * (count(*) - 1), 0) / 10000, 2) AS variance
+FROM (SELECT o_custkey, CAST(round(o_totalprice * 100) AS HUGEINT) AS x FROM orders) GROUP BY o_custkey""",
     "member_numbers": """SELECT event_id, user_id,
   row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pid FROM events""",
     "row_ids": """SELECT hid, row_id, CAST((row_id - 1) // 18 + 1 AS INTEGER) AS block,
@@ -405,6 +459,12 @@ pairs AS (
   FROM child_dist c JOIN elder_dist e USING (hh_type, hh_size) WHERE child + elder < hh_size)
 SELECT hh_type, hh_size, child, elder,
   round(pp / sum(pp) OVER (PARTITION BY hh_type, hh_size), 6) AS p FROM pairs""",
+    "dist_joint_marginals": with_(*SIZED_BASE, MEMBER_SHARES.format(name="child"), MEMBER_SHARES.format(name="elder"))
+    + """,
+pairs AS (
+  SELECT hh_type, hh_size, child, sum(c.p * e.p) AS pp
+  FROM child_dist c JOIN elder_dist e USING (hh_type, hh_size) WHERE child + elder < hh_size GROUP BY ALL)
+SELECT hh_type, hh_size, child, round(pp / sum(pp) OVER (PARTITION BY hh_type, hh_size), 6) AS p FROM pairs""",
     "dist_exclude": with_(*SIZED_BASE, TYPED, TYPE_SHARES)
     + """
 SELECT hh_size, head_age, hh_type, round(p / sum(p) OVER (PARTITION BY hh_size, head_age), 6) AS p

@@ -3,16 +3,17 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from tallyloom import constants as K
 from tallyloom.functions.numeric import clamp
 from tallyloom.functions.text import band_label, bracket_digit, cell_count, coarser, recode
 from tallyloom.functions.uniform import uniform
 from tallyloom.operators import aggregate, checks, compare, distributions, draws, ordered, relatives, reshape
-from tallyloom.operators import selection
+from tallyloom.operators import recoding, selection
 from tallyloom.operators.columns import all_but, starting_with
 from tallyloom.plans import fit, margins, patterns
-from tallyloom.sources import first_rows, read_block
+from tallyloom.sources import first_rows, read_block, read_range
 
 from . import standins as S
 
@@ -21,7 +22,6 @@ REGISTRY: dict[str, Query] = {}
 
 BANDS = reshape.count_names()
 SAMPLE_FLAG = "R"
-WIDTH = 20
 SHARE_DIGITS = 6
 ERROR_DIGITS = 9
 DRIFT_THRESHOLD = 0.0
@@ -82,7 +82,25 @@ def populations_stacked(spark, sf_dir):
 
 @register
 def patterns_wide(spark, sf_dir):
-    return reshape.members_wide(S.roster(spark, sf_dir), ["hid"], WIDTH)
+    return reshape.members_wide(S.roster(spark, sf_dir), ["hid"])
+
+
+@register
+def patterns_any_code(spark, sf_dir):
+    return rounded(patterns.sparse_patterns(S.quantities(spark, sf_dir), ["hid"], "code"))
+
+
+@register
+def members_array(spark, sf_dir):
+    """Members in code order as run lengths, and some of them read by position."""
+    found = reshape.run_lengths(S.quantities(spark, sf_dir), ["hid"], "code")
+    places = {"first": F.lit(1), "middle": F.expr("(hh_size + 1) div 2"), "last": F.col("hh_size"), "tenth": F.lit(10)}
+    return found.select(
+        "hid",
+        "hh_size",
+        patterns.runs_label(F.col("runs")).alias("runs"),
+        *[reshape.member_at(F.col("runs"), place).alias(name) for name, place in places.items()],
+    )
 
 
 @register
@@ -99,7 +117,15 @@ def stored_size_distribution(spark, sf_dir):
 @register
 def sizes_zero_filled(spark, sf_dir):
     counted = fit.size_counts(S.roster(spark, sf_dir)).withColumn("hh_size", F.col("hh_size").cast("int"))
-    return aggregate.zero_filled(counted, aggregate.code_domain(counted, "hh_size"), ["hh_size"])
+    return aggregate.gap_filled(counted, "hh_size")
+
+
+@register
+def worth_gaps(spark, sf_dir):
+    """Dwellings per hundred of worth, and the hundreds that no dwelling of the type has."""
+    worth = F.floor(F.col("worth") / 100).cast("bigint")
+    counted = aggregate.grouped_count(S.dwellings(spark, sf_dir).select("hh_type", worth.alias("hundreds")), ["hh_type", "hundreds"])
+    return aggregate.gap_filled(counted, "hundreds", by=["hh_type"])
 
 
 @register
@@ -166,13 +192,13 @@ def roster_sizes(spark, sf_dir):
 
 @register
 def couples_of_two(spark, sf_dir):
-    typed = S.sized_households(spark, sf_dir)
+    typed = S.sized_dwellings(spark, sf_dir)
     chosen = typed.where((F.col("hh_size") == 2) & F.col("hh_type").isin(*K.TYPES_WITH_COUPLE))
     return chosen.select("hid", "hh_type", "hh_size")
 
 
 @register
-def first_households(spark, sf_dir):
+def first_rosters(spark, sf_dir):
     return first_rows(S.roster(spark, sf_dir), "hid", n=6)
 
 
@@ -186,7 +212,7 @@ def margin_type_given_head_size(spark, sf_dir):
 
 @register
 def margin_type_from_sheet(spark, sf_dir):
-    return rounded(margins.type_margin(S.type_sheet(spark, sf_dir), heads=("F", "O", "P")))
+    return rounded(margins.type_margin(S.type_sheet(spark, sf_dir), heads=("F", "O", "P"), types=S.TYPE_CODES))
 
 
 @register
@@ -196,10 +222,16 @@ def margin_head_from_sheet(spark, sf_dir):
 
 @register
 def margin_head_given_size(spark, sf_dir):
-    counted = aggregate.grouped_sum(S.household_cells(spark, sf_dir), ["hh_size", "head_age"], "n")
+    counted = aggregate.grouped_sum(S.dwelling_cells(spark, sf_dir), ["hh_size", "head_age"], "n")
     return rounded(aggregate.with_share(counted, by=["hh_size"], tiny=True))
 
 
+@register
+def margins_cube(spark, sf_dir):
+    cells = S.dwelling_cells(spark, sf_dir)
+    return aggregate.cube_margins(cells, ["hh_type", "head_age", "hh_size"], F.col("n"))
+
+
 @register
 def margin_type(spark, sf_dir):
     return rounded(margins.type_totals(S.type_counts(spark, sf_dir)))
@@ -276,6 +308,43 @@ def fill_down_table(spark, sf_dir):
     return ordered.fill_down(_purchases(spark, sf_dir), IN_TIME, "last_purchase").drop("ts")
 
 
+@register
+def fill_down_by_name(spark, sf_dir):
+    """Text keys: the last balance that is not negative, by name within the nation."""
+    rows = S.table(spark, sf_dir, "customer")
+    balance = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("last_balance")
+    named = rows.select("c_name", "c_nationkey", "c_custkey", balance)
+    return ordered.fill_down(named, ("c_name", "c_custkey"), "last_balance", by=["c_nationkey"])
+
+
+@register
+def fill_down_ties(spark, sf_dir):
+    """A third of the events have one time, some have none."""
+    noon = F.lit("2020-01-01 12:00:00").cast("timestamp_ntz")
+    ts = F.when(F.col("event_id") % 3 == 0, noon).when(F.col("event_id") % 10 != 1, F.col("ts"))
+    tied = _purchases(spark, sf_dir).withColumn("ts", ts)
+    return ordered.fill_down(tied, IN_TIME, "last_purchase").drop("ts", "user_id")
+
+
+@register
+def sheet_with_order(spark, sf_dir):
+    """Rows of a text sheet from the 19th on, by their number in it, and two of its columns."""
+    path = S.written_sheet(spark, sf_dir)
+    schema = StructType.fromDDL("hid BIGINT, hh_type INT, head_age STRING, worth DOUBLE")
+    return read_range(spark, path, schema, (19, 1 << 62), ["hid", "head_age"])
+
+
+@register
+def recode_by_table(spark, sf_dir):
+    names = S.table(spark, sf_dir, "customer").select("c_name", F.col("c_nationkey").alias("code"))
+    return recoding.recode_by_table(S.customer_names(spark, sf_dir), "label", names, "c_name", "code", "code")
+
+
+@register
+def recode_unmatched(spark, sf_dir):
+    return recoding.unmatched_labels(recode_by_table(spark, sf_dir), "label", "code")
+
+
 @register
 def member_numbers(spark, sf_dir):
     events = S.table(spark, sf_dir, "events").select("event_id", "user_id")
@@ -350,6 +419,14 @@ def fit_band_by_size_errors(spark, sf_dir):
     return rounded(errors, "ss", digits=ERROR_DIGITS)
 
 
+@register
+def fit_two_tables(spark, sf_dir):
+    """Customers by nation against suppliers by nation, two tables that are counted on their own."""
+    customers = aggregate.grouped_count(S.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("nation")), ["nation"])
+    suppliers = aggregate.grouped_count(S.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation")), ["nation"])
+    return rounded(compare.fit_report(customers, suppliers, "nation"), "p_pop", "p_sample")
+
+
 @register
 def shortfall(spark, sf_dir):
     declared = S.dwellings(spark, sf_dir).select("hid", (F.col("hid") % 6 + 1).alias("declared"))
@@ -377,6 +454,13 @@ def group_variance(spark, sf_dir):
     )
 
 
+@register
+def price_variance(spark, sf_dir):
+    """Variance of fractions, by customer."""
+    spread = aggregate.spread_of_group(S.dwellings(spark, sf_dir), ["custkey"], "worth", digits=2)
+    return rounded(spread, "variance", digits=2)
+
+
 # Draws and distributions
 
 
@@ -389,7 +473,7 @@ def draw_weighted(spark, sf_dir):
 
 @register
 def draw_conditional(spark, sf_dir):
-    rows = S.sized_households(spark, sf_dir, "left").select("hid", "head_age", "hh_size")
+    rows = S.sized_dwellings(spark, sf_dir, "left").select("hid", "head_age", "hh_size")
     dist = S.type_counts(spark, sf_dir)
     number = uniform("hid", salt="type", seed=1)
     return draws.draw(rows, dist, "hh_type", "n", number, keys=["hh_size", "head_age"], small=True)
@@ -433,6 +517,13 @@ def dist_joint(spark, sf_dir):
     return rounded(distributions.joint(child, elder, ["hh_type", "hh_size"], allowed))
 
 
+@register
+def dist_joint_marginals(spark, sf_dir):
+    """The child counts' law of `dist_joint`, without its pairs."""
+    child, elder = (_member_shares(spark, sf_dir, name) for name in ("child", "elder"))
+    return rounded(distributions.joint_marginal(child, elder, ["hh_type", "hh_size"], "child", "elder", F.col("hh_size") - 1))
+
+
 def _type_shares(spark, sf_dir):
     return margins.conditional_type_share(S.type_counts(spark, sf_dir)).drop("n")
 
@@ -500,18 +591,14 @@ def coverage(spark, sf_dir):
     sized = reshape.count_matrix(S.members(spark, sf_dir), ["flag", "hid"], "age").select(
         "flag", reshape.member_total().alias("hh_size")
     )
-    # Per flag its largest size; the largest of all flags is the end of every flag's domain.
-    flags = sized.groupBy("flag").agg(F.max("hh_size").alias("_last"))
-    last = flags.agg(F.max("_last")).scalar()
-    domain = flags.select("flag", F.explode(F.sequence(F.lit(1).cast("bigint"), last)).alias("hh_size"))
-    return checks.never_seen(domain, sized, ["flag", "hh_size"])
+    return checks.unseen_codes(sized, "hh_size", ["flag"])
 
 
 @register
 def replicate_fit(spark, sf_dir):
     keys = S.dwellings(spark, sf_dir).select("hid")
     dist = fit.size_counts(S.roster(spark, sf_dir))
-    fitted = draws.replicate_fit(keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1)
+    fitted = draws.replicate_fit(keys, dist, "hh_size", "n", "hid", REPLICATES, REPLICATE_TOLERANCE, salt="size", seed=1, small=True)
     return rounded(fitted, "ss", digits=ERROR_DIGITS)
 
 
@@ -519,7 +606,7 @@ def replicate_fit(spark, sf_dir):
 def drift_monitor(spark, sf_dir):
     matrix = S.roster(spark, sf_dir)
     target = selection.target_shares(matrix, BANDS)
-    return selection.drift(matrix, "hid", BANDS, target, DRIFT_THRESHOLD)
+    return selection.drift(matrix, "hid", BANDS, target, DRIFT_THRESHOLD, sample=S.dwellings(spark, sf_dir).select("hid"))
 
 
 def _stratified(spark, sf_dir):
@@ -530,7 +617,7 @@ def _stratified(spark, sf_dir):
     matrix = S.roster(spark, sf_dir)
     target = selection.target_shares(matrix, BANDS)
     placed = matrix.join(strata.drop("custkey"), "hid")
-    return selection.drift(placed, "hid", BANDS, target, DRIFT_THRESHOLD, by=["stratum"])
+    return selection.drift(placed, "hid", BANDS, target, DRIFT_THRESHOLD, by=["stratum"], sample=S.dwellings(spark, sf_dir).select("hid"))
 
 
 @register

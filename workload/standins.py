@@ -1,5 +1,8 @@
 """What stands for dwellings, members and published sheets on the given tables."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom import constants as K
@@ -8,7 +11,8 @@ from tallyloom.operators.aggregate import grouped_sum
 from tallyloom.operators.reshape import count_matrix, member_total, to_long
 
 SCHEMAS = {
-    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_nationkey INT",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE",
     "lineitem": "l_orderkey BIGINT, l_quantity DOUBLE, l_returnflag STRING",
     "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderpriority STRING",
@@ -42,12 +46,12 @@ def roster(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFra
 
 
 def size_class() -> Column:
-    """Household size with the open top class."""
+    """Size with the open top class."""
     return open_top(member_total(), K.OPEN_SIZE).cast("int")
 
 
 def dwellings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per household: hid, hh_type, head_age, custkey, worth."""
+    """One row per dwelling: hid, hh_type, head_age, custkey, worth."""
     return table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("hid"),
         F.regexp_extract("o_orderpriority", r"^(\d)", 1).cast("int").alias("hh_type"),
@@ -57,7 +61,7 @@ def dwellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sized_households(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+def sized_dwellings(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
     """Dwellings with their size class and their counts of band 1 and of bands 7 to 9 (0..3)."""
     counts = roster(spark, sf_dir).select(
         "hid",
@@ -68,14 +72,14 @@ def sized_households(spark: SparkSession, sf_dir: str, how: str = "inner") -> Da
     return dwellings(spark, sf_dir).join(counts, "hid", how)
 
 
-def household_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dwelling_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dwellings counted by every attribute the margins use: at most a few thousand rows.
 
     All margins are sums of these cells, so queries that need several of them join and aggregate
     the tables once and share that shuffle.
     """
     return (
-        sized_households(spark, sf_dir)
+        sized_dwellings(spark, sf_dir)
         .withColumn("sex", F.when(F.col("worth") < 250000, "Lower").otherwise("Upper"))
         .groupBy("hh_type", "sex", "head_age", "hh_size", "child", "elder")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -85,7 +89,7 @@ def household_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dwellings per size class, head and type, absent types as 0."""
     wide = count_matrix(
-        household_cells(spark, sf_dir), ["hh_size", "head_age"], "hh_type", TYPE_CODES, weight="n", prefix="t"
+        dwelling_cells(spark, sf_dir), ["hh_size", "head_age"], "hh_type", TYPE_CODES, weight="n", prefix="t"
     )
     return to_long(
         wide, ["hh_size", "head_age"], TYPE_CODES, "t", positive=False, code="hh_type", value="n"
@@ -94,7 +98,7 @@ def type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def member_counts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Dwellings per type, size class and number of `name` members."""
-    return grouped_sum(household_cells(spark, sf_dir), ["hh_type", "hh_size", name], "n")
+    return grouped_sum(dwelling_cells(spark, sf_dir), ["hh_type", "hh_size", name], "n")
 
 
 def head_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +123,9 @@ def _printed(cell: Column) -> Column:
 def type_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A published sheet: blocks of type, group and head with subtotals, block labels on the first
     row only, sizes as columns, dashes for zero."""
-    households_counted = household_cells(spark, sf_dir)
+    counted_cells = dwelling_cells(spark, sf_dir)
     cells = count_matrix(
-        households_counted, ["hh_type", "sex", "head_age"], "hh_size", SIZE_CLASSES, weight="n", prefix="s"
+        counted_cells, ["hh_type", "sex", "head_age"], "hh_size", SIZE_CLASSES, weight="n", prefix="s"
     )
     sums = cells.groupingSets(
         [["hh_type", "sex", "head_age"], ["hh_type", "sex"], ["hh_type", "head_age"], ["hh_type"]],
@@ -153,7 +157,7 @@ def type_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def member_sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A published sheet of dwellings by type, size and number of `name` members."""
     cells = count_matrix(
-        household_cells(spark, sf_dir), ["hh_type", "hh_size"], name, range(4), weight="n", prefix="k"
+        dwelling_cells(spark, sf_dir), ["hh_type", "hh_size"], name, range(4), weight="n", prefix="k"
     )
     sums = cells.rollup("hh_type", "hh_size").agg(
         F.grouping("hh_type").alias("_all_type"),
@@ -177,3 +181,30 @@ def member_sheet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         size.alias("hh_size"),
         *[_printed(F.col(f"k{k}")).alias(str(k)) for k in range(4)],
     )
+
+
+def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per member with a code of many: hid, code (1..50; missing for some)."""
+    rows = table(spark, sf_dir, "lineitem")
+    code = F.when(F.col("l_quantity") % 17 != 0, F.col("l_quantity").cast("int"))
+    return rows.select(F.col("l_orderkey").alias("hid"), code.alias("code"))
+
+
+def customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for every dwelling, some of which no table knows: hid, label."""
+    label = F.when(F.col("o_custkey") % 17 == 0, F.concat(F.lit("Unlisted "), F.col("o_custkey") % 5)).otherwise(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
+    )
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("hid"), label.alias("label"))
+
+
+def written_sheet(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the dwellings as a published text sheet: a line each, in order of their ids, without their number."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
+    path = f"{root.rstrip('/')}/sheet-{uuid.uuid4().hex}"
+    dwellings(spark, sf_dir).select("hid", "hh_type", "head_age", "worth").orderBy("hid").write.csv(path)
+    return path
