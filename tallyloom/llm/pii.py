@@ -1,18 +1,21 @@
 """Personal data in texts: fixed base patterns, and a character-level bidirectional LSTM with CRF.
 
-The base patterns give the base spans. The model reads every text in overlapping windows, tags each
-character (none, email, ip, card, phone) and adds spans for written forms that the patterns miss, such as
-"jane at example dot org" with its signs in brackets, numbers grouped by dots, or phones without a plus.
-
-Reconciling is global: every position of a text takes the tag of the window in whose middle it lies, runs
-of a tag are joined across windows, runs that touch a base span are dropped, and a run is added only
-if it has the shape of its kind (`plausible`). Training is in numpy on the driver, from labelled spans: the
-base spans of a bounded sample of texts, half of them rewritten into such forms, within their context.
+The base patterns give the base spans. The model reads every text in overlapping windows, whose middles give the
+emissions (none, email, ip, card, phone) of each character, and adds spans for written forms that the patterns miss,
+such as "jane at example dot org" with its signs in brackets, numbers grouped by dots, or phones without a plus.
+
+Reconciling is global: the windows' emissions are joined, and one Viterbi path is taken through the whole text. Where an
+emission prefers "none" by more than any two transitions can make up for, the best path is known to be there, so the
+path is searched for only between such places. Runs of a tag that touch a base span are dropped, and a run is
+added where it is most of a stretch with the shape of its kind (`shape`). Training is in numpy on the driver,
+from labelled spans: base spans of a bounded sample of texts for each kind, as they are and rewritten into such
+forms, within their context, and passages of texts without any.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 
@@ -20,19 +23,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.shared import ddl, ship, slices
+from tallyloom.llm.shared import ddl, ship, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: The bound on training rows: texts sampled by the hash of their id, and windows made from them.
-SAMPLE_TEXTS, SAMPLE_WINDOWS = 2000, 1500
+#: The bound on training rows: labelled spans of each kind, and passages without one, those of least hash.
+SAMPLE_SPANS = 300
 HIDDEN, TAGS, SYMBOLS = 8, 5, 130
-WINDOW, OVERLAP = 256, 64
-_TRAIN_LENGTH, _BATCH, _STEPS = 96, 48, 180
+WINDOW, OVERLAP = 512, 64
+_TRAIN_LENGTH, _BATCH, _STEPS = 96, 48, 300
 _ROWS = 1024
+#: Text bytes read at once.
+_BYTES = 1 << 20
+#: Characters of a block of a long stretch; a score that no path has.
+_BLOCK, _NEVER = 2048, np.float32(-1e9)
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match starts where a run of digits does, and a run is taken whole: nothing is tried twice.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
@@ -80,23 +88,32 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-_EMAIL_LIKE = re.compile(
-    r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.IGNORECASE
+_LIKE = (
+    re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]+)+", re.IGNORECASE),
+    re.compile(r"(?<![0-9])[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}(?![0-9])"),
+    re.compile(r"(?<![0-9])[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),
+    re.compile(r"(?<![0-9])(?:00[0-9]{1,3}|\([0-9]{2,4}\))(?:[ ./-]{0,2}[0-9]{2,5}){2,4}(?![0-9])"),
 )
-_IP_LIKE = re.compile(r"[0-9]{1,3}(?: ?(?:\.|\[\.\]|\(\.\)) ?[0-9]{1,3}){3}")
-_CARD_LIKE = re.compile(r"[0-9]{4}([./_])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}")
-_PHONE_LIKE = re.compile(r"(?:00[0-9]{1,3}|\([0-9]{2,4}\))(?:[ ./-]{0,2}[0-9]{2,5}){2,4}")
+#: Characters around a tagged run in which its stretch is looked for.
+_AROUND = 48
 
 
-def plausible(kind: int, text: str) -> bool:
-    """Whether a tagged run has the shape of its kind: what the model may add at all."""
-    if kind == 0:
-        return bool(_EMAIL_LIKE.fullmatch(text))
+def _valid(kind: int, text: str) -> bool:
     if kind == 1:
-        return bool(_IP_LIKE.fullmatch(text)) and all(int(n) < 256 for n in re.findall("[0-9]+", text))
+        return all(int(n) < 256 for n in re.findall("[0-9]+", text))
     if kind == 2:
-        return bool(_CARD_LIKE.fullmatch(text)) and 13 <= len(_digits(text)) <= 19 and luhn(_digits(text))
-    return bool(_PHONE_LIKE.fullmatch(text)) and 9 <= len(_digits(text)) <= 15
+        return 13 <= len(_digits(text)) <= 19 and luhn(_digits(text))
+    return kind == 0 or 9 <= len(_digits(text)) <= 15
+
+
+def shape(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The stretch with the shape of its kind of which the tagged run is at least half, or None: what the model may add."""
+    low = max(0, start - _AROUND)
+    for m in _LIKE[kind].finditer(text, low, min(len(text), end + _AROUND)):
+        a, b = m.span()
+        if 2 * (min(b, end) - max(a, start)) >= b - a and _valid(kind, m.group()):
+            return a, b
+    return None
 
 
 def symbols(text: str) -> np.ndarray:
@@ -109,7 +126,7 @@ def symbols(text: str) -> np.ndarray:
 
 
 def _start(rng) -> dict:
-    """Gates in the order input, forget, output (scaled for a tanh form of the sigmoid), candidate."""
+    """Gates in the order input, forget, output, candidate."""
     h = HIDDEN
     bias = np.zeros(4 * h, np.float32)
     bias[h : 2 * h] = 1.0
@@ -124,8 +141,16 @@ def _start(rng) -> dict:
     return model
 
 
-def _sigmoid(x):
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+def _squash(x):
+    """A rational form of tanh, whose slope is 0 from -3 and 3 on; some times faster than tanh."""
+    x = np.clip(x, np.float32(-3), np.float32(3))
+    y = x * x
+    return x * (y + np.float32(27)) / (y * np.float32(9) + np.float32(27))
+
+
+def _slope(x):
+    y = np.clip(x, np.float32(-3), np.float32(3)) ** 2
+    return ((y - np.float32(9)) / (y + np.float32(3))) ** 2 / np.float32(9)
 
 
 def _run(model: dict, side: str, chars: np.ndarray, mask: np.ndarray):
@@ -136,31 +161,32 @@ def _run(model: dict, side: str, chars: np.ndarray, mask: np.ndarray):
     table, inner = model["x" + side] + model["c" + side], model["u" + side]
     states, kept = np.zeros((time, rows, HIDDEN), np.float32), []
     order = range(time) if side == "f" else range(time - 1, -1, -1)
+    half = np.float32(0.5)
     for t in order:
         gates = table[chars[t]] + h @ inner
-        sig, cand = _sigmoid(gates[:, : 3 * HIDDEN]), np.tanh(gates[:, 3 * HIDDEN :])
+        sig, cand = _squash(gates[:, : 3 * HIDDEN] * half) * half + half, _squash(gates[:, 3 * HIDDEN :])
         i, f, o = sig[:, :HIDDEN], sig[:, HIDDEN : 2 * HIDDEN], sig[:, 2 * HIDDEN :]
         m = mask[t][:, None]
         before, c = (h, c), (f * c + i * cand) * m
-        squashed = np.tanh(c)
+        squashed = _squash(c)
         h = o * squashed * m
         states[t] = h
-        kept.append((t, before, i, f, o, cand, squashed, m))
+        kept.append((t, before, c, gates, i, f, o, cand, squashed, m))
     return states, kept
 
 
 def _back(model: dict, side: str, chars: np.ndarray, kept: list, grad: np.ndarray, into: dict) -> None:
-    h = HIDDEN
+    n = HIDDEN
     dh, dc = np.zeros_like(grad[0]), np.zeros_like(grad[0])
-    for t, (h0, c0), i, f, o, cand, squashed, m in reversed(kept):
+    for t, (h0, c0), c, gates, i, f, o, cand, squashed, m in reversed(kept):
         dh = (dh + grad[t]) * m
-        dc = (dc + dh * o * (1 - squashed**2)) * m
-        gates = np.concatenate([dc * cand * i * (1 - i), dc * c0 * f * (1 - f), dh * squashed * o * (1 - o), dc * i * (1 - cand**2)], axis=1)
+        dc = (dc + dh * o * _slope(c)) * m
+        slope = np.concatenate([_slope(gates[:, : 3 * n] * np.float32(0.5)) * np.float32(0.25), _slope(gates[:, 3 * n :])], axis=1)
+        gates = np.concatenate([dc * cand, dc * c0, dh * squashed, dc * i], axis=1) * slope
         into["u" + side] += h0.T @ gates
         into["c" + side] += gates.sum(axis=0)
         np.add.at(into["x" + side], chars[t], gates)
         dh, dc = gates @ model["u" + side].T, dc * f
-    assert gates.shape[1] == 4 * h
 
 
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -220,8 +246,8 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = _STEPS) ->
     return model
 
 
-def decode(model: dict, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Best tags (time, rows) of windows given as (time, rows) symbols. Both directions run together:
+def emissions(model: dict, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Emissions (time, rows, tags) of windows given as (time, rows) symbols. Both directions run together:
     the second one reads each row from its own end."""
     time, rows = chars.shape
     h2 = 2 * HIDDEN
@@ -229,58 +255,157 @@ def decode(model: dict, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     turned = np.take_along_axis(chars, np.clip(order, 0, None), 0)
 
     def laid(a, b):
-        """Gate blocks side by side, (…, 8 HIDDEN): input, forget, output of both, then candidates."""
-        a, b = (m.reshape(*m.shape[:-1], 4, HIDDEN) for m in (a, b))
-        return np.concatenate([a, b], axis=-1).reshape(*a.shape[:-2], 8 * HIDDEN)
+        """Gates of both directions side by side, by gate: (4, ..., 2 HIDDEN)."""
+        a, b = (np.moveaxis(m.reshape(*m.shape[:-1], 4, HIDDEN), -2, 0) for m in (a, b))
+        return np.concatenate([a, b], axis=-1)
 
-    half = np.ones(8 * HIDDEN, np.float32)
-    half[: 3 * h2] = 0.5
+    # The sigmoid gates are squashed at half their sum.
+    half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
     zero = np.zeros_like(model["xf"])
     table_f = laid(model["xf"] + model["cf"], zero) * half
     table_b = laid(zero, model["xb"] + model["cb"]) * half
     zero = np.zeros_like(model["uf"])
-    inner = np.concatenate([laid(model["uf"], zero), laid(zero, model["ub"])]) * half
-    # Each pair of symbols has its row of input sums, so a step gathers once.
-    pairs = (table_f[:, None, :] + table_b[None, :, :]).reshape(-1, 8 * HIDDEN)
-    both = chars.astype(np.int32) * SYMBOLS + turned
+    inner = np.ascontiguousarray(np.concatenate([laid(model["uf"], zero), laid(zero, model["ub"])], axis=1) * half)
+    # Each pair of symbols has its row of input sums, so a step gathers once for each gate.
+    pairs = np.ascontiguousarray((table_f[:, :, None, :] + table_b[:, None, :, :]).reshape(4, -1, h2))
+    both = chars.astype(np.intp) * SYMBOLS + turned
     h, c = np.zeros((rows, h2), np.float32), np.zeros((rows, h2), np.float32)
     states = np.empty((time, rows, h2), np.float32)
-    gates = np.empty((rows, 8 * HIDDEN), np.float32)
+    gates, work, more, less = (np.empty((4, rows, h2), np.float32) for _ in range(4))
+    three, nine, own = np.float32(3), np.float32(9), np.float32(27)
+
+    def squash(x, y, z):
+        """`_squash` in place."""
+        np.clip(x, -three, three, out=x)
+        np.multiply(x, x, out=y)
+        np.add(y, own, out=z)
+        np.multiply(x, z, out=x)
+        np.multiply(y, nine, out=y)
+        np.add(y, own, out=y)
+        np.divide(x, y, out=x)
+
     for t in range(time):
         np.matmul(h, inner, out=gates)
-        gates += pairs[both[t]]
-        np.tanh(gates, out=gates)
-        sig = gates[:, : 3 * h2]
+        for gate in range(4):
+            np.take(pairs[gate], both[t], axis=0, out=work[gate], mode="clip")
+        gates += work
+        squash(gates, more, less)
+        sig = gates[:3]
         sig *= np.float32(0.5)
         sig += np.float32(0.5)
-        c *= gates[:, h2 : 2 * h2]
-        c += gates[:, :h2] * gates[:, 3 * h2 :]
-        np.tanh(c, out=h)
-        h *= gates[:, 2 * h2 : 3 * h2]
-        states[t] = h
+        c *= gates[1]
+        np.multiply(gates[0], gates[3], out=work[0])
+        c += work[0]
+        h = states[t]
+        h[:] = c
+        squash(h, more[0], less[0])
+        h *= gates[2]
     emit = states[:, :, :HIDDEN] @ model["out"][:HIDDEN] + model["bias"]
     from_end = states[:, :, HIDDEN:] @ model["out"][HIDDEN:]
     emit += np.take_along_axis(from_end, np.clip(order, 0, None)[:, :, None], 0)
-    past = np.arange(time)[:, None] >= lengths
-    emit[past] = 0
-    emit = np.ascontiguousarray(emit.transpose(0, 2, 1))
-    score, back = emit[0], np.empty((time, TAGS, rows), np.uint8)
-    move = model["move"]
-    for t in range(1, time):
-        best = np.empty_like(score)
-        for k in range(TAGS):
-            top, arg = score[0] + move[0, k], np.zeros(rows, np.uint8)
-            for j in range(1, TAGS):
-                other = score[j] + move[j, k]
-                arg[other > top] = j
-                np.maximum(top, other, out=top)
-            best[k], back[t, k] = top, arg
-        score = best + emit[t]
-    tags = np.empty((time, rows), np.uint8)
-    tags[-1] = score.argmax(axis=0)
-    index = np.arange(rows)
-    for t in range(time - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t], index]
+    return emit
+
+
+def _transfers(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """[stretch, first tag, last tag]: the best score of each of equally long stretches (stretches, characters, tags)."""
+    score = np.where(np.eye(TAGS, dtype=bool), emit[:, 0, None, :], _NEVER)
+    for t in range(1, emit.shape[1]):
+        top = score[:, :, :1] + move[0]
+        for j in range(1, TAGS):
+            np.maximum(top, score[:, :, j : j + 1] + move[j], out=top)
+        score = top + emit[:, t, None, :]
+    return score
+
+
+def _cut(emit: np.ndarray, move: np.ndarray, begun: np.ndarray, ended: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A long stretch as blocks of _BLOCK characters (the last one longer) that can be decoded on their own: their starts,
+    and what their first and last tags add. All blocks are searched together for every pair of end tags, and one
+    path goes through the blocks."""
+    n = len(emit) // _BLOCK
+    starts = np.arange(n) * _BLOCK
+    whole = _transfers(emit[: (n - 1) * _BLOCK].reshape(n - 1, _BLOCK, TAGS), move)
+    whole = np.concatenate([whole, _transfers(emit[None, (n - 1) * _BLOCK :], move)])
+    ahead, came = begun, []
+    for block in whole:
+        reach = ahead[:, None] + block
+        came.append(reach.argmax(axis=0))  # the block's first tag, by its last one
+        best = reach.max(axis=0)[:, None] + move
+        came.append(best.argmax(axis=0))  # the block's last tag, by the next one's first
+        ahead = best.max(axis=0)
+    opens, closes = np.full((2, n, TAGS), _NEVER)
+    last = int((reach.max(axis=0) + ended).argmax())
+    for b in range(n - 1, -1, -1):
+        first = int(came[2 * b][last])
+        opens[b, first] = closes[b, last] = 0
+        last = int(came[2 * b - 1][first]) if b else 0
+    return starts, opens, closes
+
+
+def _unsure(emit: np.ndarray, begins: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Whether a place is in a span whose tags other than 0 may be worth it: a bound on the best sum over all such spans."""
+    step, leave, back = (m.max() - move[0, 0] for m in (move[1:, 1:], move[0, 1:], move[1:, 0]))
+    gain = (emit[1:].max(axis=0) - emit[0]).astype(np.float64) + step
+    # A span that starts or ends with its text need not leave 0 or come back.
+    begins = np.unique(begins)
+    gain[begins[:-1]] += max(0.0, -leave)
+    gain[begins[1:] - 1] += max(0.0, -back)
+    # Texts are set apart by a loss that no span makes up for.
+    text = np.zeros(len(gain), np.int64)
+    text[begins[1:-1]] = 1
+    place = np.arange(len(gain)) + np.cumsum(text)
+    sums = np.full(len(gain) + len(begins) - 2, -1e5)
+    sums[place] = gain
+    sums = np.cumsum(sums)
+    before = np.append(0.0, sums[:-1])
+    best = np.maximum.accumulate(sums[::-1])[::-1] - np.minimum.accumulate(before)
+    return best[place] + leave + back - step > -1e-3
+
+
+def best_path(emit: np.ndarray, begins: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """The best tags of texts whose emissions (tags, characters) lie one after the other; `begins` has their starts and the end.
+
+    A span of other tags is on the best path only if its emissions are above those of 0 by what it costs to leave 0 and to
+    come back. Places that are in no span of which that can be so have 0 (`_unsure`). The rest are stretches between such
+    places, which are decoded on their own, all of them together: step by step over those that are long enough.
+    """
+    n = emit.shape[1]
+    tags = np.zeros(n, np.uint8)
+    if not n:
+        return tags
+    unsure = _unsure(emit, begins, move)
+    first = np.zeros(n + 1, bool)
+    first[begins] = True
+    at = np.flatnonzero(unsure)
+    if not len(at):
+        return tags
+    emit = np.ascontiguousarray(emit[:, at].T)  # from here on by place among the unsure ones
+    head = np.append(True, (at[1:] != at[:-1] + 1) | first[at[1:]])
+    starts = np.flatnonzero(head)
+    sizes = np.diff(np.append(starts, len(at)))
+    begun = np.where(first[at[starts]][:, None], np.float32(0), move[0])
+    ended = np.where(first[at[starts + sizes - 1] + 1][:, None], np.float32(0), move[:, 0])
+    for i in np.flatnonzero(sizes >= 2 * _BLOCK):
+        blocks, opens, closes = _cut(emit[starts[i] : starts[i] + sizes[i]], move, begun[i], ended[i])
+        starts = np.append(starts, starts[i] + blocks)
+        sizes = np.append(sizes, np.diff(np.append(blocks, sizes[i])))
+        begun, ended = np.concatenate([begun, opens]), np.concatenate([ended, closes])
+        sizes[i] = 0
+    order = np.argsort(-sizes, kind="stable")
+    order = order[: np.count_nonzero(sizes)]
+    starts, sizes, begun, ended = starts[order], sizes[order], begun[order].astype(np.float32), ended[order].astype(np.float32)
+    live = np.searchsorted(-sizes, -np.arange(1, sizes[0] + 1), "right")  # stretches that have a step
+    scores = [begun + emit[starts]]
+    for t in range(1, sizes[0]):
+        before = scores[-1][: live[t]]
+        top = before[:, :1] + move[0]
+        for j in range(1, TAGS):
+            np.maximum(top, before[:, j : j + 1] + move[j], out=top)
+        scores.append(top + emit[starts[: live[t]] + t])
+    later = np.zeros(0, np.intp)
+    for t in range(sizes[0] - 1, -1, -1):
+        gain = np.concatenate([move.T[later], ended[len(later) : live[t]]])
+        later = (scores[t] + gain).argmax(axis=1)
+        tags[at[starts[: live[t]] + t]] = later
     return tags
 
 
@@ -305,58 +430,72 @@ def _rewritten(kind: int, text: str, rng) -> str:
     return f"({digits[:3]}){sign}" + sign.join([digits[3:6], digits[6:]])
 
 
-def labelled_windows(texts: Iterable[str], limit: int = SAMPLE_WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Windows of _TRAIN_LENGTH symbols with their tags, from the base spans of texts and from texts without any."""
-    rng = np.random.default_rng(11)
-    out: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(before: str, inside: str, after: str, kind: int | None) -> None:
-        lead = int(rng.integers(4, 40))
-        text = before[-lead:] + inside + after
-        tags = np.zeros(max(len(text), _TRAIN_LENGTH), np.int64)
-        if kind is not None:
-            a = len(before[-lead:])
-            tags[a : a + len(inside)] = kind + 1
-        out.append((symbols(text.ljust(_TRAIN_LENGTH))[:_TRAIN_LENGTH], tags[:_TRAIN_LENGTH]))
-
-    per_kind = dict.fromkeys(range(len(KINDS)), 0)
-    for text in texts:
-        if len(out) >= limit:
-            break
-        spans = base_spans(text)
-        for kind, a, b in spans:
-            around = (text[max(0, a - 60) : a], text[b : b + _TRAIN_LENGTH])
-            if per_kind[kind] < limit // (2 * len(KINDS)) and not any(x < b + 60 and y > a - 60 and (k, x) != (kind, a) for k, x, y in spans):
-                per_kind[kind] += 1
-                add(around[0], text[a:b], around[1], kind)
-                add(around[0], _rewritten(kind, text[a:b], rng), around[1], kind)
-        if not spans and len(text) > 20 and rng.integers(4) == 0:
-            at = int(rng.integers(0, len(text)))
-            add(text[max(0, at - 60) : at], "", text[at : at + _TRAIN_LENGTH], None)
+def _window(text: str, a: int, b: int, inside: str, kind: int | None, rng) -> tuple[np.ndarray, np.ndarray]:
+    """_TRAIN_LENGTH symbols around text[a:b], which is written as `inside`, and their tags."""
+    lead = int(rng.integers(4, 40))
+    before = text[max(0, a - lead) : a]
+    made = before + inside + text[b : b + _TRAIN_LENGTH]
+    tags = np.zeros(max(len(made), _TRAIN_LENGTH), np.int64)
+    if kind is not None:
+        tags[len(before) : len(before) + len(inside)] = kind + 1
+    return symbols(made.ljust(_TRAIN_LENGTH))[:_TRAIN_LENGTH], tags[:_TRAIN_LENGTH]
+
+
+def labelled_windows(text: str, seed: int = 0) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, symbols, tags) of two windows for the first span of each kind, as it is and rewritten, that has no other
+    near it; of a passage, of kind -1, for a text without spans."""
+    rng = np.random.default_rng(seed)
+    spans = base_spans(text)
+    out = []
+    for kind in range(len(KINDS)):
+        alone = (
+            (a, b)
+            for k, a, b in spans
+            if k == kind and not any(x < b + 60 and y > a - 60 and (q, x) != (k, a) for q, x, y in spans)
+        )
+        if len(spans) < 200 and (span := next(alone, None)):
+            a, b = span
+            for inside in (text[a:b], _rewritten(kind, text[a:b], rng)):
+                out.append((kind, *_window(text, a, b, inside, kind, rng)))
+    if not spans and len(text) > 20:
+        at = int(rng.integers(0, len(text)))
+        out.append((-1, *_window(text, at, at, "", None, rng)))
     return out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_TEXTS) -> dict | None:
-    """Trains on about `sample` texts at most, chosen by the hash of their id; None without labelled spans.
-    Only the windows, not the texts, go to the driver."""
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"))
-    total = rows.count()
-    if not total:
-        return None
-    part = int(min(1.0, sample / total) * (1 << 30))
-    picked = rows.where(F.pmod(F.xxhash64("key", F.lit("pii")), F.lit(1 << 30)) < part)
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE_SPANS) -> dict | None:
+    """Trains on `sample` labelled spans of each kind at most, and as many passages without one; None without labelled spans.
+
+    All texts are looked through, and of each kind those of least hash of id and text are taken, so a corpus with few
+    spans gives them all. A task keeps as many texts of a kind; only windows of that number go to the driver.
+    """
+    bounds = {kind: sample if kind >= 0 else 2 * sample for kind in range(-1, len(KINDS))}
 
     def windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, list] = {kind: [] for kind in bounds}
         for batch in slices(batches, "text"):
-            found = labelled_windows(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([t.astype(np.uint8).tobytes() for _, t in found], pa.binary())],
-                ["chars", "tags"],
-            )
-
-    made = picked.mapInArrow(windows, ddl("chars binary, tags binary")).limit(SAMPLE_WINDOWS * 4).toLocalIterator()
-    pairs = sorted({(r["chars"], r["tags"]) for r in made}, key=lambda x: hashlib.md5(x[0]).digest())
-    found = [(np.frombuffer(c, np.uint8), np.frombuffer(t, np.uint8).astype(np.int64)) for c, t in pairs[:SAMPLE_WINDOWS]]
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist()):
+                if all(len(rows) >= bounds[kind] and -h <= rows[0][0] for kind, rows in kept.items()):
+                    continue  # not among the least of any kind
+                found: dict[int, list] = {}
+                for kind, chars, tags in labelled_windows(text, h & 0xFFFFFFFF):
+                    found.setdefault(kind, []).append((chars.tobytes(), tags.astype(np.uint8).tobytes()))
+                for kind, made in found.items():
+                    if (-h, made) not in kept[kind]:  # a row that repeats
+                        heapq.heappush(kept[kind], (-h, made))
+                    if len(kept[kind]) > bounds[kind]:
+                        heapq.heappop(kept[kind])
+        flat = [(kind, -h, *pair) for kind, rows in kept.items() for h, made in rows for pair in made]
+        columns = zip(*flat) if flat else ([], [], [], [])
+        kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["kind", "h", "chars", "tags"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(id_col).cast("string"), text_col, F.lit("pii")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    made = written(rows.mapInArrow(windows, ddl("kind int, h bigint, chars binary, tags binary")), "labelled")
+    found = []
+    for kind in bounds:
+        best = made.where(F.col("kind") == kind).dropDuplicates(["h", "chars", "tags"]).orderBy("h", "chars", "tags").limit(2 * sample)
+        found += [(np.frombuffer(r["chars"], np.uint8), np.frombuffer(r["tags"], np.uint8).astype(np.int64)) for r in best.collect()]
     return train(found) if any(t.any() for _, t in found) else None
 
 
@@ -364,9 +503,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample:
 
 
 def tag_texts(model: dict, texts: list[str]) -> list[np.ndarray]:
-    """Tags of every character of every text, from overlapping windows of bounded number at a time."""
+    """Tags of every character of every text: emissions from overlapping windows, of a bounded number at a time, then one
+    path through each text."""
     coded = [symbols(t) for t in texts]
-    tags = [np.zeros(len(c), np.uint8) for c in coded]
+    begins = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
+    emit = np.empty((TAGS, begins[-1]), np.float32)
     step = WINDOW - OVERLAP
     windows = [(i, at) for i, c in enumerate(coded) for at in range(0, max(len(c) - OVERLAP, 1), step) if len(c)]
     windows.sort(key=lambda w: min(WINDOW, len(coded[w[0]]) - w[1]))
@@ -376,25 +517,30 @@ def tag_texts(model: dict, texts: list[str]) -> list[np.ndarray]:
         chars = np.zeros((len(part), lengths.max()), np.uint8)
         for row, (i, at) in enumerate(part):
             chars[row, : lengths[row]] = coded[i][at : at + lengths[row]]
-        found = decode(model, np.ascontiguousarray(chars.T), lengths).T
+        found = np.ascontiguousarray(emissions(model, np.ascontiguousarray(chars.T), lengths).transpose(1, 2, 0))
         for row, (i, at) in enumerate(part):
             low = OVERLAP // 2 if at else 0
             high = lengths[row] if at + lengths[row] == len(coded[i]) else WINDOW - OVERLAP // 2
-            tags[i][at + low : at + high] = found[row, low:high]
-    return tags
+            emit[:, begins[i] + at + low : begins[i] + at + high] = found[row, :, low:high]
+    tags = best_path(emit, begins, model["move"])
+    return [tags[a:b] for a, b in zip(begins[:-1], begins[1:])]
 
 
 def added_spans(text: str, tags: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of a tag that are plausible, once trimmed of blanks, and that touch no base span."""
+    """The stretches that runs of a tag stand for, without those that touch a base span; of two that overlap, the first."""
     edges = np.flatnonzero(np.diff(tags)) + 1
     bounds = np.concatenate([[0], edges, [len(tags)]])
+    runs = np.flatnonzero(tags[bounds[:-1]]) if len(tags) else []
+    taken = np.zeros(len(text) + 1, bool)
+    for _, a, b in base:
+        taken[a:b] = True
     out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b > a and tags[a]:
-            kind, inside = int(tags[a]) - 1, text[a:b]
-            a, b = a + len(inside) - len(inside.lstrip()), b - (len(inside) - len(inside.rstrip()))
-            if plausible(kind, text[a:b]) and not any(x < b and a < y for _, x, y in base):
-                out.append((kind, a, b))
+    for r in runs:
+        kind = int(tags[bounds[r]]) - 1
+        found = shape(kind, text, int(bounds[r]), int(bounds[r + 1]))
+        if found and not taken[found[0] : found[1]].any():
+            taken[found[0] : found[1]] = True
+            out.append((kind, *found))
     return out
 
 
@@ -422,7 +568,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     model = fit(docs, id_col, text_col) if model is None else model
 
     def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", _BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             found = spans_of(model, texts)
             counts = [[sum(k == kind for k, _, _ in base) for base, _ in found] for kind in range(len(KINDS))]
@@ -447,7 +593,7 @@ def redacted(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", mo
     model = fit(docs, id_col, text_col) if model is None else model
 
     def replace(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 2 << 20):
+        for batch in slices(batches, text_col, _BYTES):
             texts = batch.column(text_col).to_pylist()
             out = [t if t is None else without(t, [*b, *m]) for t, (b, m) in zip(texts, spans_of(model, [t or "" for t in texts]))]
             at = batch.schema.get_field_index(text_col)
