@@ -101,7 +101,9 @@ def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     part = F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), part, F.col(text_col).cast("string").alias("text"))
     looked = written(rows.mapInArrow(look, ddl("doc_id bigint, part string, own int, digest binary")), "failures")
+    # Written, so that both sides of the join are shuffled as they are and a popular digest can be split.
     first = looked.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = written(first, "firsts")
     found = looked.join(first, "digest", "left")
     later = F.coalesce(F.col("doc_id") > F.col("first"), F.col("first").isNotNull())
     return found.select("doc_id", "part", (F.col("own") + F.when(later, 16).otherwise(0)).alias("mask"))
@@ -122,7 +124,7 @@ def filter_audit(
         F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"),
         F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"),
     )
-    marked = failed.join(marks.where("good OR toxic"), "doc_id", "left")
+    marked = failed.join(written(marks.where("good OR toxic"), "marks"), "doc_id", "left")
     ones = [F.lit(1), F.col("good").cast("int"), F.col("toxic").cast("int")]
     sums = [F.coalesce(F.sum(one), F.lit(0)).cast("bigint").alias(kind) for kind, one in zip(KINDS, ones, strict=True)]
     counted = marked.groupBy("part", "mask").agg(*sums)
