@@ -39,7 +39,8 @@ ADDED = (
     Rule("pem", 1, r"-----BEGIN (?:[A-Z]+ ){0,2}PRIVATE KEY-----"),
     Rule("forge", 1, r"\bgh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("chat", 1, r"\bxox[abprs]-[0-9]{8,}-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
+    # From the start of a run of its signs, each run taken whole: a match that fails is not tried again within it.
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+"),
 )
 RULES = BASE + ADDED
 _SEEN = "blob string, kind string, version int"

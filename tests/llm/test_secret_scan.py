@@ -75,3 +75,16 @@ def test_edges(spark):
 
 def test_plan_is_native(spark, sf_dir, plan_text):
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan_text(S.secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+def test_a_megabyte_of_token_starts_takes_seconds(spark):
+    """The added rules look at each run of signs once."""
+    import time
+
+    good = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P"
+    rows = [(1, "eyJ-" * 250_000), (2, f"see {good} there"), (3, "eyJ" + "z" * 500_000 + ".eyJ" + "y" * 500_000), (4, "x-" + good)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    out = {r["doc_id"]: r["spans"] for r in S.secrets(df).collect()}
+    assert time.time() - start < 60
+    assert out == {1: "", 2: f"jwt:4:{4 + len(good)}", 3: "", 4: ""}
