@@ -41,8 +41,9 @@ _GRAM = ["high", "low"]
 
 
 def codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(code points with END after each text, where each text begins) of a string column; nulls are empty."""
-    raw = [(t or "").encode("utf-32-le") for t in column.to_pylist()]
+    """(code points with END after each text, where each text begins) of a string column; nulls are empty. An END sign
+    within a text, which is no character, counts as U+FFFD."""
+    raw = [(t or "").replace(chr(END), "\ufffd").encode("utf-32-le") for t in column.to_pylist()]
     sizes = np.array([len(r) // 4 + 1 for r in raw], np.int64)
     begins = np.concatenate([[0], np.cumsum(sizes)])
     end = np.uint32(END).tobytes()
@@ -69,25 +70,6 @@ def cells(points: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _contexts(points: np.ndarray, begins: np.ndarray, own: list[np.ndarray]) -> list[np.ndarray]:
-    """For each order, the key of the context of each position: the n-gram one shorter that ends just before."""
-    out = [np.zeros(len(points), np.int64)]
-    first = begins[:-1]
-    start = _starts()
-    for n in range(1, ORDER):
-        before = np.empty(len(points), np.int64)
-        before[1:] = own[n - 1][:-1]
-        before[first] = start[n - 1]
-        out.append(before)
-    return out
-
-
-def _starts() -> list[int]:
-    """The keys of runs of END of each length: the contexts at the beginning of a text."""
-    point = np.full(1, END, np.uint32)
-    return [int(c[0]) for c in cells(point, np.array([0, 1]))]
-
-
 def _distinct(points: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(the number of the n-gram of order ORDER at each position, the n-grams' keys, where each n-gram is)."""
     coded = pa.array(cells(points, begins)[-1]).dictionary_encode()
@@ -173,6 +155,12 @@ def fit(rows: DataFrame) -> list[DataFrame]:
     return out
 
 
+def _beginning(n: int) -> tuple[int, int]:
+    """(high, low) of n END signs: the context at the beginning of a text."""
+    parts = [(END + 1) << (_BITS * back) for back in range(3)]
+    return (END + 1 if n > 3 else 0), sum(parts[: min(n, 3)])
+
+
 def _found(rows: DataFrame, table: DataFrame, on: list[str], columns: dict[str, str]) -> DataFrame:
     """`rows` with columns of the table's n-gram that is in the columns `on`; one plan for any size."""
     named = table.select(F.col("high").alias("_high"), F.col("low").alias("_low"), *[F.col(c).alias(to) for c, to in columns.items()])
@@ -190,7 +178,9 @@ def _chances(grams: DataFrame, models: list[DataFrame]) -> DataFrame:
         high, low = _suffix(n)
         sets.insert(0, sets[0].select(high.alias("high"), low.alias("low")).distinct())
     totals = models[0].agg(
-        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in _MODELS], *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in _MODELS]
+        *[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in _MODELS],
+        *[F.count_if(F.col(m) > 0).alias(f"{m}_kinds") for m in _MODELS],
+        *[F.coalesce(F.sum(F.when(F.col("low") == END + 1, F.col(m))), F.lit(0)).alias(f"{m}_texts") for m in _MODELS],
     ).first()
     chances = None
     for n, (own, model) in enumerate(zip(sets, models), 1):
@@ -204,12 +194,15 @@ def _chances(grams: DataFrame, models: list[DataFrame]) -> DataFrame:
         for m in _MODELS:
             found = F.coalesce(F.col(f"{m}_found"), F.lit(0)).cast("double")
             if n > 1:
-                seen, chance = F.coalesce(F.col(f"{m}_seen"), F.lit(0)).cast("double"), F.col(f"{m}_chance")
+                # A context is followed by one character wherever it ends, but for the one at the beginning of a text: its
+                # END signs end nowhere, and one character of each text follows them.
+                high, low = _beginning(n - 1)
+                seen = F.when((F.col("_bh") == high) & (F.col("_bl") == low), F.lit(totals[f"{m}_texts"])).otherwise(F.coalesce(F.col(f"{m}_seen"), F.lit(0)))
+                seen, chance = seen.cast("double"), F.col(f"{m}_chance")
                 new = F.ceil(F.sqrt(seen)).cast("double")
             else:
                 seen, new, chance = F.lit(float(totals[m])), F.lit(float(totals[f"{m}_kinds"])), F.lit(1.0 / VOCABULARY)
-            # The context at a text's beginning is counted less often than what follows it, so it is raised to the part.
-            weight = F.greatest(seen, found) + new
+            weight = seen + new
             out.append(F.when(weight > 0, (found + new * chance) / weight).otherwise(chance).alias(m))
         chances = own.select(*_GRAM, *out)
     return chances
