@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,10 +18,12 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's folder in spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The cluster's folder in spark.checkpoint.dir; a temporary one where it is unset on a single machine, as in tests."""
     context = spark.sparkContext
     root = context.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         root = getattr(context, "_llm_scratch", None)
         if root is None:
             root = context._llm_scratch = "file://" + tempfile.mkdtemp(prefix="tallyloom-")
@@ -65,13 +68,25 @@ def ddl(fields: str) -> StructType:
     return StructType.fromDDL(fields)
 
 
+def release() -> None:
+    """Gives back memory that earlier batches and tasks of this worker have freed; Spark keeps its workers."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(
     batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES, rows: int = 1 << 30
 ) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that `column` (string or binary) holds about `limit` bytes in each, and `rows` rows at most."""
+    """The batches cut so that `column` (string or binary) holds about `limit` bytes in each, and `rows` rows at most.
+    Unused memory is given back before the first and after the last."""
     import numpy as np
     import pyarrow.compute as pc
 
+    release()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, start = np.cumsum(lengths, dtype=np.int64), 0
@@ -80,6 +95,7 @@ def slices(
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
 
 
 def utf8(column: pa.Array) -> tuple:

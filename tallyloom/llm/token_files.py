@@ -3,7 +3,7 @@
 A file holds blocks of BLOCK ids (the last one fewer). A block's ids are transposed into planes, plane b holding
 bit b of every id, or byte b, as asked for; each plane is a zstandard frame, planes above the highest
 used one are left out. The footer is the chunk index: for each block its place, ids, and the sizes of its planes;
-then the documents (ids and token counts), compressed; then the footer's length and the magic bytes.
+then the documents (ids, token counts, and which have no id), compressed; then the footer's length and the magic bytes.
 """
 
 from __future__ import annotations
@@ -25,14 +25,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tallyloom.llm.files import created, opened, read_range
 from tallyloom.llm.shared import ddl, new_folder, slices
 
-MAGIC = b"BITPLANE1"
+MAGIC = b"BITPLANE2"
 BLOCK = 1 << 16
 END = 1
 LEVEL = 3
-#: Words whose ids a worker keeps between batches; the memory is started anew when it is full.
-KEPT_WORDS = 700_000
+#: Words whose ids a task keeps between batches; the memory is started anew when it is full.
+KEPT_WORDS = 500_000
 #: Text bytes encoded at once; of a larger batch fewer words are distinct.
-_BATCH = 16 << 20
+_BATCH = 8 << 20
+#: New words to a call of the library.
+_WORDS = 4096
 
 
 # ---- the format -----------------------------------------------------------------------------------
@@ -44,21 +46,17 @@ def packed(ids: np.ndarray, planes: str) -> list[bytes]:
     if planes == "byte":
         raw = ids.astype("<u4").view(np.uint8).reshape(-1, 4)
         return [raw[:, b].tobytes() for b in range(max(1, -(-top.bit_length() // 8)))]
-    bits = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return [np.packbits(bits[:, b], bitorder="little").tobytes() for b in range(max(1, top.bit_length()))]
+    ids = ids.astype(np.uint32)
+    return [np.packbits((ids & np.uint32(1 << b)).astype(bool), bitorder="little").tobytes() for b in range(max(1, top.bit_length()))]
 
 
 def unpacked(planes: list[bytes], n: int, kind: str) -> np.ndarray:
-    out = np.zeros((n, 4), np.uint8)
-    if kind == "byte":
-        for b, plane in enumerate(planes):
-            out[:, b] = np.frombuffer(plane, np.uint8)
-    else:
-        bits = np.zeros((n, 32), np.uint8)
-        for b, plane in enumerate(planes):
-            bits[:, b] = np.unpackbits(np.frombuffer(plane, np.uint8), count=n, bitorder="little")
-        out = np.packbits(bits, axis=1, bitorder="little")
-    return np.ascontiguousarray(out).view("<u4").ravel()
+    out = np.zeros(n, np.uint32)
+    for b, plane in enumerate(planes):
+        part = np.frombuffer(plane, np.uint8)
+        part, shift = (part, 8 * b) if kind == "byte" else (np.unpackbits(part, count=n, bitorder="little"), b)
+        out |= part.astype(np.uint32) << np.uint32(shift)
+    return out
 
 
 class Writer:
@@ -73,10 +71,12 @@ class Writer:
         self.n_held, self.n_ids, self.blocks = 0, 0, []
         self.docs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
+        self.absent: list[np.ndarray] = []
 
-    def add(self, doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
-        self.docs.append(doc_ids.astype("<i8"))
+    def add(self, doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray) -> None:
+        self.docs.append(pc.fill_null(doc_ids, 0).to_numpy().astype("<i8"))
         self.counts.append(counts.astype("<i8"))
+        self.absent.append(doc_ids.is_null().to_numpy(zero_copy_only=False))
         self.held.append(ids.astype(np.uint32))
         self.n_held += len(ids)
         if self.n_held >= BLOCK:
@@ -97,13 +97,13 @@ class Writer:
     def close(self) -> None:
         if self.n_held:
             self._block(np.concatenate(self.held))
-        docs = b"".join(x.tobytes() for part in (self.docs, self.counts) for x in part)
+        docs = b"".join(x.tobytes() for part in (self.docs, self.counts, self.absent) for x in part)
         index = json.dumps({"planes": self.planes, "block": BLOCK, "blocks": self.blocks}).encode()
         footer = struct.pack("<q", len(index)) + index + self.pack.compress(docs)
         self.out.write(footer + struct.pack("<q", len(footer)) + MAGIC)
 
 
-def documents(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def documents(uri: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
     """(document ids, counts, token ids) of a file, some whole documents at a time, a block read at a time."""
     import zstandard
 
@@ -115,8 +115,10 @@ def documents(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     footer = read_range(system, path, size - tail - length, length)
     (n,) = struct.unpack("<q", footer[:8])
     index, unpack = json.loads(footer[8 : 8 + n]), zstandard.ZstdDecompressor()
-    flat = np.frombuffer(unpack.decompress(footer[8 + n :]), "<i8")
-    docs, counts = flat[: len(flat) // 2], flat[len(flat) // 2 :]
+    flat = unpack.decompress(footer[8 + n :])
+    n_docs = len(flat) // 17
+    docs, counts = np.frombuffer(flat, "<i8", 2 * n_docs).reshape(2, -1)
+    docs = pa.array(docs, mask=np.frombuffer(flat, bool, n_docs, 16 * n_docs))
     ends, done, held, have = np.cumsum(counts), 0, [], 0
     with system.open_input_file(path) as source:
         for at, n_ids, sizes in index["blocks"]:
@@ -139,6 +141,7 @@ def documents(uri: str) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 # ---- encoding -------------------------------------------------------------------------------------
 
+_LETTERS = re.compile("[a-z]+")
 _TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
 _STATE: dict = {}
 
@@ -178,16 +181,32 @@ def _tokenizer(path: str):
         if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added.values()):
             raise ValueError(f"{path}: added tokens that are not literal")
         _STATE["added"] = {t.content: i for i, t in added.items()}
+        vocabulary = _STATE["tokenizer"].get_vocab()
+        _STATE["closes"] = np.zeros(max(vocabulary.values()) + 1, bool)
+        _STATE["closes"][[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         # Texts are cut at added tokens before; what is like one only once it is lowered is ordinary text.
         _STATE["tokenizer"].encode_special_tokens = True
     return _STATE["tokenizer"]
 
 
 def _encode_new(path: str, words: list[str], into: Words) -> None:
-    """Adds words without white space, encoded by the library, many to a call."""
-    tokenizer = _tokenizer(path)
-    for at in range(0, len(words), 4096):
-        part = words[at : at + 4096]
+    """Adds words without white space, encoded by the library, many to a call.
+
+    A word of the letters a-z is one pre-token, whose last token closes a word; of others the offsets tell where they end.
+    """
+    tokenizer, closes = _tokenizer(path), _STATE["closes"]
+    plain = [w for w in words if _LETTERS.fullmatch(w)]
+    for at in range(0, len(plain), _WORDS):
+        part = plain[at : at + _WORDS]
+        (encoded,) = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+        ids = np.array(encoded.ids, np.uint32)
+        ends = np.flatnonzero(closes[ids])
+        if len(ends) != len(part):
+            raise ValueError(f"{path}: {len(part)} words with {len(ends)} ends")
+        into.append(part, np.diff(ends, prepend=-1), ids)
+    others = [w for w in words if not _LETTERS.fullmatch(w)]
+    for at in range(0, len(others), _WORDS):
+        part = others[at : at + _WORDS]
         encoded = tokenizer.encode(" ".join(part), add_special_tokens=False)
         starts = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
         first = np.fromiter(map(operator.itemgetter(0), encoded.offsets), np.int64)
@@ -276,19 +295,22 @@ def tokenized(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def write_files(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id", text_col: str = "text", planes: str = "bit") -> DataFrame:
     """Writes the token files and returns their list (part, file, n_docs, n_ids), parts in order of the ids.
 
-    Rows are dealt by ranges of id, then of the hash of the text, and sorted; rows without an id come first, as
-    id -1 in the file. `path` is the tokenizer's file.
+    Rows are dealt by ranges of id, then of the hash of the text, and sorted; rows without an id come first.
+    `path` is the tokenizer's file.
     """
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n_docs, writer = TaskContext.get().partitionId(), 0, None
+        _tokenizer(path)
+        _STATE["words"] = Words()  # those of the worker's last task
         with created(folder, f"part-{part:06d}.planes") as out:
             writer = Writer(out, planes)
             for batch in slices(batches, "text", _BATCH):
                 counts, ids = tokenized(path, batch.column("text"))
-                writer.add(pc.fill_null(batch.column("id"), -1).to_numpy(), counts, ids)
+                writer.add(batch.column("id"), counts, ids)
                 n_docs += batch.num_rows
             writer.close()
+        _STATE["words"] = Words()
         yield pa.RecordBatch.from_arrays(
             [pa.array([part]), pa.array([f"{folder}/part-{part:06d}.planes"]), pa.array([n_docs]), pa.array([writer.n_ids])],
             ["part", "file", "n_docs", "n_ids"],
@@ -320,7 +342,7 @@ def read_files(listed: DataFrame) -> DataFrame:
                     raw = ids.astype("<u4").tobytes()
                     sums = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts.tolist(), ends.tolist())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs, mask=docs < 0), pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
+                        [docs, pa.array(start + ends - counts), pa.array(counts), pa.array(sums, pa.int64())],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
                     start += int(ends[-1])
@@ -334,6 +356,6 @@ def token_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """(doc_id, start, n_tokens, ids_crc32) as read back from files written for `docs`.
 
     A null text is an empty one, of the end id alone. Rows that repeat an id follow each other; a null id comes
-    first. Ids must not be negative. Other columns are ignored. Equal inputs give equal files, whatever their order.
+    first, then negative ones. Other columns are ignored. Equal inputs give equal files, whatever their order.
     """
     return read_files(write_files(docs, path, folder or new_folder(docs.sparkSession, "tokens"), id_col, text_col, planes))

@@ -40,15 +40,21 @@ def test_file_round_trip_over_blocks(tmp_path, monkeypatch, planes):
     writer = T.Writer(out, planes)
     ends = np.cumsum(counts)
     for a, b in ((0, 1), (1, 30), (30, 50)):
-        writer.add(np.arange(a, b), counts[a:b], ids[(ends[a - 1] if a else 0) : ends[b - 1]])
+        writer.add(pa.array([i - 3 if i != 7 else None for i in range(a, b)]), counts[a:b], ids[(ends[a - 1] if a else 0) : ends[b - 1]])
     writer.close()
     (tmp_path / "x").write_bytes(out.getvalue())
     got = list(T.documents(f"file://{tmp_path}/x"))
     assert len(got) > 5
-    assert (np.concatenate([g[0] for g in got]) == np.arange(50)).all()
+    assert [i for g in got for i in g[0].to_pylist()] == [i - 3 if i != 7 else None for i in range(50)]
     assert (np.concatenate([g[2] for g in got]) == ids).all()
 
 
+def test_negative_ids_and_rows_without_one(spark):
+    df = spark.createDataFrame([(-1, "a b"), (None, "c"), (-(2**63), "d"), (0, None)], "doc_id long, text string")
+    out = [(r["doc_id"], r["start"]) for r in T.token_table(df, PATH).orderBy("start").collect()]
+    assert [i for i, _ in out] == [None, -(2**63), -1, 0] and [s for _, s in out] == [0, 2, 4, 7]
+
+
 def test_empty_file(tmp_path):
     out = io.BytesIO()
     T.Writer(out).close()
