@@ -35,10 +35,10 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark. Rows are told apart by id, those without one by their text."""
-    key = F.coalesce(F.concat(F.lit("id "), F.col("doc_id").cast("string")), F.sha2("text", 256))
-    found = contaminated(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    bad = written(found, "contaminated").withColumnRenamed("doc_id", "_contaminated")
-    return docs.join(bad, key == F.col("_contaminated"), "left_anti").select(*docs.columns)
+    key = F.coalesce(F.concat(F.lit("id "), docs["doc_id"].cast("string")), F.sha2(docs["text"], 256))
+    found = contaminated(docs.select(key.alias("doc_id"), docs["text"]), table(spark, sf_dir, "benchmark"))
+    bad = written(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(bad, key == bad["doc_id"], "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
