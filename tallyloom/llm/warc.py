@@ -21,6 +21,8 @@ from tallyloom.llm.shared import ddl, new_folder, slices, written
 
 VERSION = b"WARC/1.1\r\n"
 MAGIC = b"\x1f\x8b\x08"
+#: The time of every record: a fixed one, so that equal pages give equal archives.
+DATE = "1970-01-01T00:00:00Z"
 #: Payloads of fewer bytes are always written whole.
 LEAST = 1000
 RANGE = 8 << 20
@@ -30,19 +32,21 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record as a gzip member; a revisit has the headers of its payload, not the payload."""
+    """One record as a gzip member: an HTTP message, of a page that was found. A revisit has the message's head alone."""
     lines = [
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Date: {DATE}",
         f"WARC-Target-URI: {' '.join((url or '').split())}",
-        "Content-Type: text/html; charset=utf-8",
+        "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
     ]
-    body = payload
-    if refers_to is not None:
+    body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+    if refers_to is None:
+        body += payload
+    else:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
-        body = b""
     head = VERSION + "\r\n".join([*lines, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n"
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress(head + body + b"\r\n\r\n") + pack.flush()
@@ -181,6 +185,8 @@ def read_archives(listed: DataFrame, range_bytes: int = RANGE) -> DataFrame:
                 with system.open_input_file(path) as source:
                     for fields, content in records(source, start, end):
                         kind = fields["warc-type"]
+                        if fields.get("content-type", "").startswith("application/http"):
+                            content = content.partition(b"\r\n\r\n")[2]
                         whole = kind == "response"
                         rows.append((
                             _page(fields.get("warc-record-id")), fields.get("warc-target-uri"),

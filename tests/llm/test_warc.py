@@ -54,6 +54,15 @@ def test_archives_are_gzip_members(spark):
     row = listed.where("bytes > 0").collect()[0]
     raw = gzip.decompress(open(row["file"].removeprefix("file://"), "rb").read())
     assert raw.count(b"WARC/1.1\r\nWARC-Type: response") == 2 and b"Content-Length: 1\r\n\r\na\r\n\r\n" in raw
+    assert raw.count(b"\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n") == 2 == raw.count(b"\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n")
+
+
+def test_a_record_is_as_long_as_its_message():
+    for payload, to in ((b"", None), (b"x\r\n\r\ny", None), (b"z" * 2000, 7)):
+        head, _, block = gzip.decompress(W.record(1, "u", payload, "0" * 40, to)).partition(b"\r\n\r\n")
+        size = int(head.rsplit(b"Content-Length: ", 1)[1])
+        message, end = block[:size], block[size:]
+        assert end == b"\r\n\r\n" and message.partition(b"\r\n\r\n")[2] == (payload if to is None else b"")
 
 
 def test_every_range_owns_the_records_that_start_in_it():
