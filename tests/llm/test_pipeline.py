@@ -18,7 +18,7 @@ def test_query_agrees_with_sql(spark, sf_dir, name):
 def test_entry_has_all_queries():
     import __spark_entry__
 
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in __spark_entry__.queries() if k.startswith("op")}
     assert "pipeline" in __spark_entry__.queries()
 
 
@@ -65,6 +65,16 @@ def test_repeated_rows_of_one_id_leave_one(spark, sf_dir):
     assert ids.count(3) <= 1 and ids.count(None) == 1 and 20 in ids and 21 in ids
 
 
+def test_contaminated_documents_go_with_and_without_an_id(spark, sf_dir):
+    item = next(r["text"] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect() if len(r["text"].split()) > 8)
+    held = f"something before {item} and after"
+    rows = [(None, held, 0), (1, held, 0), (None, "clean text of some words here", 0), (2, None, 0), (None, None, 0), (3, "clean too", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _contaminated int")
+    out = C.drop_contaminated(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, ""), (0, "clean text of some words here"), (2, ""), (3, "clean too")]
+
+
 def test_nothing_outside_imports_the_subpackage():
     import pathlib
 
