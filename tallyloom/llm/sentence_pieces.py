@@ -24,7 +24,8 @@ from tallyloom.llm.shared import ddl, slices
 SPACE = "▁"
 #: Added to the least score of a piece for a character without one.
 PENALTY = -10.0
-KEPT_WORDS = 400_000
+#: Words whose ids a task keeps.
+KEPT_WORDS = 200_000
 _STATE: dict = {}
 
 
@@ -122,8 +123,8 @@ def encoded(path: str, texts: list[str]) -> list[np.ndarray]:
         if run > 1:
             words.append(" " * (run - 2))
         for word in set(words).difference(known):
-            known[word] = np.array(model.word(word), np.int32)
-        out.append(np.concatenate([known[w] for w in words]))
+            known[word] = np.array(model.word(word), np.int32).tobytes()
+        out.append(np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32))
     return out
 
 
@@ -135,6 +136,8 @@ def sentence_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
     """
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces(path)
+        _STATE["words"] = {}  # those of the worker's last task
         for batch in slices(batches, "text", 4 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = encoded(path, texts)
@@ -148,6 +151,7 @@ def sentence_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 [batch.column("doc_id"), pa.ListArray.from_arrays(offsets, values), pa.array(sizes), pa.array(sums, pa.int64()), pa.array(same)],
                 ["doc_id", "pieces", "n_pieces", "ids_crc32", "round_trip"],
             )
+        _STATE["words"] = {}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
