@@ -27,7 +27,8 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     """The document with the least id of each group of near copies. Of rows that repeat an id with the same text
     one stays; rows with a null id stay all."""
     kept = written(near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_n")), "kept")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    # The ids grow with the documents: one plan for any size, which does not broadcast them.
+    joined = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_id"]))
     once = kept["_id"].isNull() | (kept["_n"] == 1)
     repeated = joined.where(~once).select(docs["*"]).dropDuplicates(["doc_id", "text"])
     return joined.where(once).select(docs["*"]).unionByName(repeated)
