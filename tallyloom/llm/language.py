@@ -29,9 +29,8 @@ SAMPLE = 2400
 REJECT = 0.25
 QUANTILE = 0.005
 LEAST = 30
-#: Lengths of beginnings in characters. Each row gives all of them while there are few rows, and one of them at least.
+#: Lengths of beginnings in characters. Each row gives all that are shorter than its text, however many rows there are.
 CUTS = tuple(round(16 * 2 ** (k / 2)) for k in range(12))
-_BEGINNINGS = 100_000
 #: Sizes are half octaves of the number of different cells; cosines are counted in so many steps.
 _SIZES, _STEPS = 27, 1000
 UNKNOWN = "und"
@@ -43,31 +42,69 @@ _BATCH, _ROWS = 1 << 20, 512
 def _counts(column: pa.Array):
     """(rows x DIMENSIONS) n-gram counts of a string column, float32; nulls count as empty."""
     import numpy as np
-    import pyarrow.compute as pc
 
-    data, offsets = utf8(pc.utf8_lower(column))
-    letters = (data >= 128) | ((data >= 97) & (data <= 122))
-    data = np.where(letters, data, np.uint8(32))
+    data, offsets = _letters(column)
     out = np.zeros((len(offsets) - 1, DIMENSIONS), np.float32)
     piece = 1 << 18
     for row, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
         for at in range(start, end, piece):
             # Pieces of very long texts overlap by what an n-gram needs.
             text = data[at : min(end, at + piece + ORDERS[-1] - 1)]
-            blank = text == 32
-            twice = blank[1:] & blank[:-1]
-            key = np.zeros(len(text), np.uint32)
-            for n in ORDERS:
-                size = min(piece, len(text) - n + 1)
-                if size < 1:
-                    break
-                key = key[: len(text) - n + 1] * np.uint32(0x01000193) + text[n - 1 :]
-                good = ~blank[:size] if n == 1 else _none(twice, n - 1, size)
-                hashed = (key[:size] * np.uint32(2654435769) + np.uint32(n)) * np.uint32(0x85EBCA6B)
-                out[row] += np.bincount((hashed >> np.uint32(19))[good], minlength=DIMENSIONS)
+            for _, cells, good in _grams(text, piece):
+                out[row] += np.bincount(cells[good], minlength=DIMENSIONS)
     return out
 
 
+def _letters(column: pa.Array):
+    """(bytes, offsets) of a string column in lower case, with spaces for ASCII other than letters."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    data, offsets = utf8(pc.utf8_lower(column))
+    letters = (data >= 128) | ((data >= 97) & (data <= 122))
+    return np.where(letters, data, np.uint8(32)), offsets
+
+
+def _grams(text, piece: int):
+    """(n, cells, which of them count) for each n, of the n-grams that begin in the first `piece` bytes."""
+    import numpy as np
+
+    blank = text == 32
+    twice = blank[1:] & blank[:-1]
+    key = np.zeros(len(text), np.uint32)
+    for n in ORDERS:
+        size = min(piece, len(text) - n + 1)
+        if size < 1:
+            break
+        key = key[: len(text) - n + 1] * np.uint32(0x01000193) + text[n - 1 :]
+        good = ~blank[:size] if n == 1 else _none(twice, n - 1, size)
+        hashed = (key[:size] * np.uint32(2654435769) + np.uint32(n)) * np.uint32(0x85EBCA6B)
+        yield n, hashed >> np.uint32(19), good
+
+
+def _beginnings(column: pa.Array):
+    """(row, cells, counts) of each text longer than the least of CUTS: the cells that its beginnings have, ascending,
+    and the (beginnings x cells) counts, float32. Each beginning adds to the one before, so n-grams are hashed once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    data, offsets = _letters(pc.utf8_slice_codeunits(column, 0, CUTS[-1] + 1))
+    place = np.zeros(DIMENSIONS, np.int64)
+    for row, (start, end) in enumerate(zip(offsets[:-1], offsets[1:])):
+        characters = np.flatnonzero((data[start:end] & 0xC0) != 0x80)
+        stops = characters[[c for c in CUTS if c < len(characters)]]
+        if not len(stops):
+            continue
+        # The first beginning that holds a byte holds all n-grams that end there.
+        first = np.repeat(np.arange(len(stops)), np.diff(stops, prepend=0))
+        grams = [(cells[good], first[n - 1 :][good]) for n, cells, good in _grams(data[start : start + stops[-1]], stops[-1])]
+        found, first = (np.concatenate(part) for part in zip(*grams))
+        cells = np.flatnonzero(np.bincount(found, minlength=DIMENSIONS))
+        place[cells] = np.arange(len(cells))
+        added = np.bincount(first * len(cells) + place[found], minlength=len(stops) * len(cells))
+        yield row, cells, added.reshape(len(stops), len(cells)).cumsum(axis=0, dtype=np.float32)
+
+
 def _none(marks, width: int, size: int):
     """Which of the first `size` runs of `width` marks have none set."""
     found = marks[:size].copy()
@@ -143,31 +180,34 @@ def _sizes(counts):
     return (2 * np.log2(np.maximum(1, (counts > 0).sum(axis=1)))).astype(int)
 
 
-def _own_cosines(model: dict, n_cuts: int):
-    """(lang, size, step, n): how often texts of a task, nearest to their own language, have which cosine."""
+def _own_cosines(model: dict):
+    """(lang, size, step, n): how often texts of a task and their beginnings, nearest to their own language, have which cosine."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        langs = np.array(model["langs"])
+        langs, owner = np.array(model["langs"]), np.array(model["owner"], int)
+        centroids = np.ascontiguousarray(model["centroids"].T)
         total = np.zeros((len(langs), _SIZES, _STEPS + 1), np.int64)
+
+        def add(own, cosines, sizes):
+            nearest = np.argmax(cosines, axis=1)
+            best = cosines[np.arange(len(nearest)), nearest]
+            good = (langs[owner[nearest]] == own) & (best > 0)
+            steps = np.clip(best * _STEPS, 0, _STEPS).astype(int)
+            np.add.at(total, (owner[nearest][good], sizes[good], steps[good]), 1)
+
         for batch in slices(batches, "text", _BATCH, _ROWS):
-            texts, first = batch.column("text").to_pylist(), batch.column("cut").to_numpy()
             own = np.array(batch.column("lang").to_pylist())
-            for k in range(n_cuts + 1):
-                # The last round is of whole texts.
-                cuts = [CUTS[(f + k) % len(CUTS)] if k < n_cuts else 0 for f in first.tolist()]
-                chosen = [i for i, (t, c) in enumerate(zip(texts, cuts)) if len(t) > c]
-                if not chosen:
-                    continue
-                counts = _counts(pa.array([texts[i][: cuts[i] or None] for i in chosen], pa.string()))
-                cosines = _unit(counts, model["idf"]) @ model["centroids"].T
-                nearest = np.argmax(cosines, axis=1)
-                number = np.array(model["owner"], int)[nearest]
-                best = cosines[np.arange(len(nearest)), nearest]
-                good = (langs[number] == own[chosen]) & (best > 0)
-                steps = np.clip(best * _STEPS, 0, _STEPS).astype(int)
-                np.add.at(total, (number[good], _sizes(counts)[good], steps[good]), 1)
+            counts = _counts(batch.column("text"))
+            add(own, _unit(counts, model["idf"]) @ centroids, _sizes(counts))
+            parts = [
+                (row, _unit(counts, model["idf"][cells]) @ centroids[cells], _sizes(counts))
+                for row, cells, counts in _beginnings(batch.column("text"))
+            ]
+            if parts:
+                rows, cosines, sizes = zip(*parts)
+                add(own[np.repeat(rows, [len(part) for part in sizes])], np.concatenate(cosines), np.concatenate(sizes))
         lang, size, step = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(langs[lang].tolist(), pa.string()), pa.array(size), pa.array(step), pa.array(total[lang, size, step])],
@@ -177,13 +217,11 @@ def _own_cosines(model: dict, n_cuts: int):
     return count
 
 
-def _limits(rows: DataFrame, model: dict, n_rows: int):
-    """The limits by language and size, from all training rows."""
+def _limits(rows: DataFrame, model: dict):
+    """The limits by language and size, from all training rows and all their beginnings."""
     import numpy as np
 
-    n_cuts = max(1, min(len(CUTS), _BEGINNINGS // n_rows))
-    cut = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("cut")), F.lit(len(CUTS))).alias("cut")
-    counted = rows.select("text", "lang", cut).mapInArrow(_own_cosines(model, n_cuts), ddl("lang string, size bigint, step bigint, n bigint"))
+    counted = rows.select("text", "lang").mapInArrow(_own_cosines(model), ddl("lang string, size bigint, step bigint, n bigint"))
     total = np.zeros((len(model["langs"]), _SIZES, _STEPS + 1), np.int64)
     place = {lang: i for i, lang in enumerate(model["langs"])}
     # At most languages x _SIZES x _STEPS rows.
@@ -241,7 +279,7 @@ def fit(training: DataFrame) -> dict:
     stacked = np.vstack(centroids).astype(np.float32) if centroids else np.zeros((0, DIMENSIONS), np.float32)
     model = {"langs": langs, "owner": owner, "centroids": stacked, "limits": [], "idf": idf}
     if langs:
-        model["limits"] = _limits(rows, model, sum(sizes.values()))
+        model["limits"] = _limits(rows, model)
     return model
 
 

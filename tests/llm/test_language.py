@@ -94,3 +94,31 @@ def test_unlearned_latin_languages_are_rejected_and_short_texts_stay(spark):
     for n in (3, 6, 12, 24):
         few = [" ".join(t.split()[:n]) for t in held]
         assert L._named(model, pa.array([t for t in few if any(map(str.isalpha, t))]))[2].mean() < 0.03
+
+
+def test_beginnings_count_like_texts_of_their_own():
+    texts = ["", None, "der Hund", "x" * 16, "x" * 17, "12 -- 34 !! 56 ?? 78", "İstanbul ÉTÉ 日本語 " * 9, "the dog and the cat " * 200, "字" * 724 + "a", "\U0001f600" * 800]
+    found = {row: (cells, counts) for row, cells, counts in L._beginnings(pa.array(texts))}
+    for row, text in enumerate(texts):
+        own = [text[:c] for c in L.CUTS if c < len(text or "")]
+        assert (row in found) == bool(own)
+        if own:
+            cells, counts = found[row]
+            dense = np.zeros((len(own), L.DIMENSIONS), np.float32)
+            dense[:, cells] = counts
+            assert counts.dtype == np.float32 and np.array_equal(dense, L._counts(pa.array(own)))
+
+
+def test_limits_do_not_depend_on_how_many_rows_other_languages_have(spark):
+    words = "der die das Hund Katze Haus Garten Kinder spielen heute und wieder schön warm geworden".split()
+    german = [(i, " ".join(words[(i * j + j) % len(words)] for j in range(1, 41)), "de") for i in range(33)]
+    limits = []
+    for n_english in (33, 20_000):
+        rows = german + [(1000 + i, "the dog and the cat", "en") for i in range(n_english)]
+        docs = spark.createDataFrame(rows + [(-1, UNLEARNED["nl"][:24], None)], "doc_id long, text string, lang string")
+        model = L.fit(L.training_rows(docs, F.lit(False)))
+        limits.append(model["limits"][model["langs"].index("de")])
+        (dutch,) = L.predict(docs.where("doc_id = -1"), model).collect()
+        assert dutch["lang_pred"] == "de" and dutch["rejected"]
+    # Frequencies, and so cosines, depend on the other rows; which sizes have a limit of their own does not.
+    assert np.abs(limits[0] - limits[1]).max() < 0.1
