@@ -59,6 +59,16 @@ def test_stages_keep_columns_and_cope_with_edges(spark, sf_dir):
         C.STAGES[-1][1](spark, docs, sf_dir).collect()
 
 
+def test_language_stage_rejects_alike_among_few_and_many_rows(spark, sf_dir):
+    words = "der die das Hund Katze Haus Garten Kinder spielen heute und wieder schön warm geworden".split()
+    german = [(" ".join(words[(i * j + j) % len(words)] for j in range(1, 41)), "de") for i in range(44)]
+    for n_english in (44, 40_000):
+        texts = german + [("the dog and the cat", "en")] * n_english + [("De kinderen spelen vandaag in de tuin", None)]
+        docs = spark.createDataFrame([(i, *t, "s", len(t[0])) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        kept = C.keep_known_language(spark, docs, sf_dir)
+        assert {r["lang"] for r in kept.select("lang").distinct().collect()} == {"de", "en"}
+
+
 def test_repeated_rows_of_one_id_leave_one(spark, sf_dir):
     out = C.keep_one_of_near_copies(spark, rows(spark), sf_dir).collect()
     ids = [r["doc_id"] for r in out]
