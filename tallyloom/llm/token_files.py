@@ -141,8 +141,11 @@ def documents(uri: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
 
 # ---- encoding -------------------------------------------------------------------------------------
 
-_LETTERS = re.compile("[a-z]+")
-_TAIL = re.compile(r"[!-&(-/:-@\[-`{-~]+\Z")
+#: Letters that are neither decomposed by the tokenizer nor lowered to more than a letter: Latin ones (A-Z are lowered
+#: before) but the I with a dot, and Cyrillic ones.
+_LETTERS = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f\u0400-\u045f"
+#: ASCII signs but the apostrophe.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _STATE: dict = {}
 
 
@@ -189,13 +192,20 @@ def _tokenizer(path: str):
     return _STATE["tokenizer"]
 
 
+def _listed(words: pa.Array) -> list[str]:
+    """Strings without nulls as a list, some times faster than to_pylist."""
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
 def _encode_new(path: str, words: list[str], into: Words) -> None:
     """Adds words without white space, encoded by the library, many to a call.
 
-    A word of the letters a-z is one pre-token, whose last token closes a word; of others the offsets tell where they end.
+    A word of _LETTERS is one pre-token, whose last token closes a word; of others the offsets tell where they end.
     """
     tokenizer, closes = _tokenizer(path), _STATE["closes"]
-    plain = [w for w in words if _LETTERS.fullmatch(w)]
+    words = pa.array(words, pa.string())
+    is_plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+$")
+    plain = _listed(words.filter(is_plain))
     for at in range(0, len(plain), _WORDS):
         part = plain[at : at + _WORDS]
         (encoded,) = tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
@@ -204,7 +214,7 @@ def _encode_new(path: str, words: list[str], into: Words) -> None:
         if len(ends) != len(part):
             raise ValueError(f"{path}: {len(part)} words with {len(ends)} ends")
         into.append(part, np.diff(ends, prepend=-1), ids)
-    others = [w for w in words if not _LETTERS.fullmatch(w)]
+    others = _listed(words.filter(pc.invert(is_plain)))
     for at in range(0, len(others), _WORDS):
         part = others[at : at + _WORDS]
         encoded = tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -213,31 +223,28 @@ def _encode_new(path: str, words: list[str], into: Words) -> None:
         into.append(part, np.diff(np.searchsorted(first, starts)), np.array(encoded.ids, np.uint32))
 
 
-def word_codes(path: str, words: list[str]) -> tuple[Words, np.ndarray]:
-    """What is known of words, and the code of each. The tokenizer splits at white space and between an ASCII letter and
+def word_codes(path: str, words: pa.Array) -> tuple[Words, np.ndarray]:
+    """What is known of distinct words, and the code of each. The tokenizer splits at white space and between a letter and
     the ASCII signs after it (but the apostrophe), so a word's ids are those of its stem and of its tail."""
     _tokenizer(path)
     if len(_STATE["words"].codes) + len(words) > KEPT_WORDS:
         _STATE["words"] = Words()
     known = _STATE["words"]
-    codes = known.find(words)
-    new = [words[i] for i in np.flatnonzero(codes < 0).tolist()]
-    if new:
-        whole, both, stems, tails = [], [], [], []
-        for word in new:
-            tail = _TAIL.search(word)
-            cut = tail.start() if tail else 0
-            if cut and "a" <= word[cut - 1] <= "z":
-                both.append(word)
-                stems.append(word[:cut])
-                tails.append(word[cut:])
-            else:
-                whole.append(word)
+    codes = known.find(_listed(words))
+    absent = np.flatnonzero(codes < 0)
+    if len(absent):
+        new = words.take(pa.array(absent))
+        stems = pc.ascii_rtrim(new, _SIGNS)
+        cut = pc.and_(pc.match_substring_regex(stems, f"[{_LETTERS}]$"), pc.not_equal(pc.binary_length(stems), pc.binary_length(new)))
+        both, stems, whole = (_listed(part) for part in (new.filter(cut), stems.filter(cut), new.filter(pc.invert(cut))))
+        tails = [word[len(stem) :] for word, stem in zip(both, stems)]
         _encode_new(path, [w for w in {*whole, *stems, *tails} if w not in known.codes], known)
+        cut = cut.to_numpy(zero_copy_only=False)
+        codes[absent[~cut]] = known.find(whole)
         if both:
+            codes[absent[cut]] = np.arange(len(both)) + len(known.sizes)
             parts = np.stack([known.find(stems), known.find(tails)], axis=1)
             known.append(both, known.sizes[parts].sum(axis=1), known.runs(parts.ravel()))
-        codes = known.find(words)
     return known, codes
 
 
@@ -252,7 +259,7 @@ def encoded(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     lists = pc.split_pattern(plain, " ")
     per_text = lists.value_lengths().to_numpy()
     coded = lists.flatten().dictionary_encode()
-    known, codes = word_codes(path, coded.dictionary.to_pylist())
+    known, codes = word_codes(path, coded.dictionary)
     codes = codes[coded.indices.to_numpy()]
     ends = np.cumsum(per_text)
     sums = np.concatenate([[0], np.cumsum(known.sizes[codes])])

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 from tallyloom.llm import token_files as T
@@ -77,6 +78,25 @@ def test_word_by_word_is_the_library_on_whole_texts():
         assert ids[end - n : end].tolist() == ref, repr(text)
 
 
+def test_letters_beyond_ascii_share_their_stems(monkeypatch):
+    sent = []
+    own = T._encode_new
+    monkeypatch.setattr(T, "_encode_new", lambda path, words, into: (sent.extend(words), own(path, words, into)))
+    T._STATE.clear()
+    T.encoded(PATH, pa.array(["café café, café. dog dog; (дом)"]))
+    assert sorted(sent) == sorted(["café", ",", ".", "dog", ";", "(дом", ")"])
+
+
+def test_every_letter_that_is_taken_for_plain_is_one():
+    letters = [chr(c) for c in range(0x61, 0x460) if pa.compute.match_substring_regex(pa.array([chr(c)]), f"^[{T._LETTERS}]$")[0].as_py()]
+    assert len(letters) > 250 and "İ" not in letters
+    texts = [f"{c} a{c} {c}b {c}{c}, x{c}! {c}'s {c}1 1{c} -{c}- {c}\u0301. a\u0301{c}, {c.upper()}, {c}.a" for c in letters]
+    counts, ids = T.encoded(PATH, pa.array(texts))
+    want = [e.ids + [1] for e in library().encode_batch(texts, add_special_tokens=False)]
+    for text, n, end, ref in zip(texts, counts, np.cumsum(counts), want):
+        assert ids[end - n : end].tolist() == ref, text
+
+
 def expected(rows):
     start, out, lib = 0, [], library()
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
