@@ -34,6 +34,11 @@ _TRAIN_LENGTH, _BATCH, _STEPS = 96, 48, 300
 _ROWS = 1024
 #: Text bytes read at once.
 _BYTES = 1 << 20
+#: Steps after which states become emissions.
+_LEAP = 64
+#: `_squash` of x is _SCALE (u + u / (u^2 + 1/8)), u being x / _ROOT.
+_ROOT = 24**0.5
+_SCALE = _ROOT / 9
 #: Characters of a block of a long stretch; a score that no path has.
 _BLOCK, _NEVER = 2048, np.float32(-1e9)
 
@@ -246,13 +251,13 @@ def train(windows: list[tuple[np.ndarray, np.ndarray]], steps: int = _STEPS) ->
     return model
 
 
-def emissions(model: dict, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Emissions (time, rows, tags) of windows given as (time, rows) symbols. Both directions run together:
-    the second one reads each row from its own end."""
-    time, rows = chars.shape
-    h2 = 2 * HIDDEN
-    order = lengths - 1 - np.arange(time)[:, None]
-    turned = np.take_along_axis(chars, np.clip(order, 0, None), 0)
+def _weights(model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What `emissions` needs of a model: input sums by gate and pair of symbols, and the inner and outer weights, both
+    directions side by side.
+
+    The weights take the factors of `_squash` in, so that a step has few passes over its arrays: a gate's sum comes
+    as u, and states are kept without their factors.
+    """
 
     def laid(a, b):
         """Gates of both directions side by side, by gate: (4, ..., 2 HIDDEN)."""
@@ -260,50 +265,69 @@ def emissions(model: dict, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray
         return np.concatenate([a, b], axis=-1)
 
     # The sigmoid gates are squashed at half their sum.
-    half = np.array([0.5, 0.5, 0.5, 1], np.float32)[:, None, None]
+    half = (np.array([0.5, 0.5, 0.5, 1]) / _ROOT)[:, None, None]
     zero = np.zeros_like(model["xf"])
-    table_f = laid(model["xf"] + model["cf"], zero) * half
-    table_b = laid(zero, model["xb"] + model["cb"]) * half
-    zero = np.zeros_like(model["uf"])
-    inner = np.ascontiguousarray(np.concatenate([laid(model["uf"], zero), laid(zero, model["ub"])], axis=1) * half)
+    table_f = (laid(model["xf"] + model["cf"], zero) * half).astype(np.float32)
+    table_b = (laid(zero, model["xb"] + model["cb"]) * half).astype(np.float32)
     # Each pair of symbols has its row of input sums, so a step gathers once for each gate.
-    pairs = np.ascontiguousarray((table_f[:, :, None, :] + table_b[:, None, :, :]).reshape(4, -1, h2))
-    both = chars.astype(np.intp) * SYMBOLS + turned
-    h, c = np.zeros((rows, h2), np.float32), np.zeros((rows, h2), np.float32)
-    states = np.empty((time, rows, h2), np.float32)
-    gates, work, more, less = (np.empty((4, rows, h2), np.float32) for _ in range(4))
-    three, nine, own = np.float32(3), np.float32(9), np.float32(27)
+    pairs = np.ascontiguousarray((table_f[:, :, None, :] + table_b[:, None, :, :]).reshape(4, -1, 2 * HIDDEN))
+    zero = np.zeros_like(model["uf"])
+    state = _SCALE * _SCALE / 2  # a state is so many times what is kept of it
+    inner = np.concatenate([laid(model["uf"], zero), laid(zero, model["ub"])], axis=1) * (half * state)
+    outer = np.zeros((2 * TAGS, 2 * HIDDEN), np.float32)
+    outer[:TAGS, :HIDDEN], outer[TAGS:, HIDDEN:] = model["out"][:HIDDEN].T * state, model["out"][HIDDEN:].T * state
+    return pairs, np.ascontiguousarray(inner, np.float32), outer
+
 
-    def squash(x, y, z):
-        """`_squash` in place."""
-        np.clip(x, -three, three, out=x)
+def emissions(model: dict, chars: np.ndarray, lengths: np.ndarray, weights: tuple | None = None) -> np.ndarray:
+    """Emissions (time, rows, tags), laid by row and tag, of windows given as (time, rows) symbols. Both directions run
+    together: the second one reads each row from its own end. `weights` are those of the model (`_weights`)."""
+    pairs, inner, outer = weights or _weights(model)
+    time, rows = chars.shape
+    h2 = 2 * HIDDEN
+    order = lengths - 1 - np.arange(time)[:, None]
+    both = chars.astype(np.intp) * SYMBOLS + np.take_along_axis(chars, np.clip(order, 0, None), 0)
+    h, c = np.zeros((rows, h2), np.float32), np.zeros((rows, h2), np.float32)
+    states = np.empty((_LEAP, rows, h2), np.float32)
+    gates, work = (np.empty((4, rows, h2), np.float32) for _ in range(2))
+    found = np.empty((rows, 2 * TAGS, time), np.float32)
+    edge, eighth, one = np.float32(3 / _ROOT), np.float32(0.125), np.float32(1 / _SCALE)
+    keep, ninth = np.float32(_SCALE / 2), np.float32(_SCALE / _ROOT)
+
+    def squash(x, y):
+        """`_squash` in place, without its factor."""
+        np.clip(x, -edge, edge, out=x)
         np.multiply(x, x, out=y)
-        np.add(y, own, out=z)
-        np.multiply(x, z, out=x)
-        np.multiply(y, nine, out=y)
-        np.add(y, own, out=y)
-        np.divide(x, y, out=x)
+        np.add(y, eighth, out=y)
+        np.divide(x, y, out=y)
+        np.add(x, y, out=x)
 
     for t in range(time):
         np.matmul(h, inner, out=gates)
         for gate in range(4):
-            np.take(pairs[gate], both[t], axis=0, out=work[gate], mode="clip")
+            pairs[gate].take(both[t], axis=0, out=work[gate], mode="clip")
         gates += work
-        squash(gates, more, less)
-        sig = gates[:3]
-        sig *= np.float32(0.5)
-        sig += np.float32(0.5)
+        squash(gates, work)
+        gates[:3] += one
         c *= gates[1]
         np.multiply(gates[0], gates[3], out=work[0])
         c += work[0]
-        h = states[t]
-        h[:] = c
-        squash(h, more[0], less[0])
+        c *= keep
+        h = states[t % _LEAP]
+        np.multiply(c, ninth, out=h)
+        squash(h, work[0])
         h *= gates[2]
-    emit = states[:, :, :HIDDEN] @ model["out"][:HIDDEN] + model["bias"]
-    from_end = states[:, :, HIDDEN:] @ model["out"][HIDDEN:]
-    emit += np.take_along_axis(from_end, np.clip(order, 0, None)[:, :, None], 0)
-    return emit
+        n = t % _LEAP + 1
+        if n == _LEAP or t + 1 == time:
+            np.matmul(outer, states[:n].transpose(1, 2, 0), out=found[:, :, t + 1 - n : t + 1])
+    emit, from_end = found[:, :TAGS], found[:, TAGS:]
+    if (lengths == time).all():
+        emit += from_end[:, :, ::-1]
+    else:
+        for row, n in enumerate(lengths):
+            emit[row, :, :n] += from_end[row, :, :n][:, ::-1]
+    emit += model["bias"][:, None]
+    return emit.transpose(2, 0, 1)
 
 
 def _transfers(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -508,7 +532,7 @@ def tag_texts(model: dict, texts: list[str]) -> list[np.ndarray]:
     coded = [symbols(t) for t in texts]
     begins = np.concatenate([[0], np.cumsum([len(c) for c in coded], dtype=np.int64)])
     emit = np.empty((TAGS, begins[-1]), np.float32)
-    step = WINDOW - OVERLAP
+    step, weights = WINDOW - OVERLAP, _weights(model)
     windows = [(i, at) for i, c in enumerate(coded) for at in range(0, max(len(c) - OVERLAP, 1), step) if len(c)]
     windows.sort(key=lambda w: min(WINDOW, len(coded[w[0]]) - w[1]))
     for start in range(0, len(windows), _ROWS):
@@ -517,7 +541,7 @@ def tag_texts(model: dict, texts: list[str]) -> list[np.ndarray]:
         chars = np.zeros((len(part), lengths.max()), np.uint8)
         for row, (i, at) in enumerate(part):
             chars[row, : lengths[row]] = coded[i][at : at + lengths[row]]
-        found = np.ascontiguousarray(emissions(model, np.ascontiguousarray(chars.T), lengths).transpose(1, 2, 0))
+        found = emissions(model, np.ascontiguousarray(chars.T), lengths, weights).transpose(1, 2, 0)
         for row, (i, at) in enumerate(part):
             low = OVERLAP // 2 if at else 0
             high = lengths[row] if at + lengths[row] == len(coded[i]) else WINDOW - OVERLAP // 2

@@ -59,6 +59,26 @@ def test_emissions_are_those_of_one_direction_at_a_time():
         assert np.allclose(got[:n, row], states @ model["out"] + model["bias"], atol=1e-5)
 
 
+def test_emissions_of_many_windows_do_not_hold_all_states():
+    import tracemalloc
+
+    model = P._start(np.random.default_rng(5))
+    rng = np.random.default_rng(6)
+    lengths = np.sort(np.append(rng.integers(1, P.WINDOW, 23), np.full(P._ROWS - 23, P.WINDOW)))
+    chars = rng.integers(0, P.SYMBOLS, (P.WINDOW, P._ROWS)).astype(np.uint8)
+    tracemalloc.start()
+    got = P.emissions(model, chars, lengths)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20, peak
+    for row in (0, 1, 7, 22, 23, P._ROWS - 1):
+        n = lengths[row]
+        own = chars[:n, row : row + 1]
+        mask = np.ones(own.shape, np.float32)
+        states = np.concatenate([P._run(model, "f", own, mask)[0], P._run(model, "b", own, mask)[0]], axis=2)[:, 0]
+        assert np.allclose(got[:n, row], states @ model["out"] + model["bias"], atol=1e-4)
+
+
 @pytest.mark.parametrize("block", [4, 16, 2048])
 @pytest.mark.parametrize("scale", [0.3, 1.5, 6])
 def test_one_best_path_through_each_text(monkeypatch, block, scale):
