@@ -9,8 +9,9 @@ about SAMPLE rows over all languages (the bound on what reaches the driver), tak
 A text is rejected if it has no letter or if its cosine to the nearest centroid is below that language's
 limit for texts with as many different n-grams, so that repeating a text does not make it longer. A limit is the
 QUANTILE of the cosines of all training rows that are nearest to their own language, and of beginnings of
-them, which stand for short texts. Sizes with fewer than LEAST such texts take the limit of the next shorter size; where
-there is none, it is a share (REJECT) of the language's least limit.
+them, which stand for short texts. A size of n such texts has its own limit by n^2 to LEAST^2 parts of that of the next
+shorter size, so that few texts say little and no number of them switches the rule; before the first size there is a
+share (REJECT) of the limit of all the language's texts.
 """
 
 from __future__ import annotations
@@ -233,11 +234,10 @@ def _limits(rows: DataFrame, model: dict):
 
     out = np.zeros((len(total), _SIZES))
     for lang, sizes in enumerate(total):
-        some = [i for i in range(_SIZES) if sizes[i].sum() >= LEAST]
-        least = min([low(sizes[i]) for i in some] or [low(sizes.sum(axis=0))])
-        last = REJECT * (least if sizes.any() else 0)
-        for i in range(_SIZES):
-            last = out[lang, i] = low(sizes[i]) if i in some else last
+        last = REJECT * low(sizes.sum(axis=0)) if sizes.any() else 0
+        for i, n in enumerate(sizes.sum(axis=1).astype(float).tolist()):
+            own = n * n / (n * n + LEAST * LEAST)
+            last = out[lang, i] = own * low(sizes[i]) + (1 - own) * last
     return out
 
 

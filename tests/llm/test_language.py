@@ -109,6 +109,28 @@ def test_beginnings_count_like_texts_of_their_own():
             assert counts.dtype == np.float32 and np.array_equal(dense, L._counts(pa.array(own)))
 
 
+def test_no_number_of_texts_switches_the_rule_of_limits(spark):
+    class Counted:
+        """Stands for rows of which 5,000 texts of a size have a cosine of 0.2, and n of the next size one of 0.6."""
+
+        def __init__(self, n):
+            self.n = n
+
+        def same(self, *_):
+            return self
+
+        select = mapInArrow = groupBy = agg = same
+
+        def collect(self):
+            found = [("en", 12, 200, 5000), ("en", 13, 600, self.n)]
+            return [dict(zip(("lang", "size", "step", "n"), r)) for r in found if r[3]]
+
+    limits = np.array([L._limits(Counted(n), {"langs": ["en"]})[0] for n in range(400)])
+    assert np.abs(np.diff(limits, axis=0)).max() < 0.02
+    assert np.allclose(limits[:, 12], 0.2, atol=1e-3) and abs(limits[0, 13] - 0.2) < 1e-3 and abs(limits[-1, 13] - 0.6) < 5e-3
+    assert np.array_equal(limits[:, 13], limits[:, -1])
+
+
 def test_limits_do_not_depend_on_how_many_rows_other_languages_have(spark):
     words = "der die das Hund Katze Haus Garten Kinder spielen heute und wieder schön warm geworden".split()
     german = [(i, " ".join(words[(i * j + j) % len(words)] for j in range(1, 41)), "de") for i in range(33)]
