@@ -31,6 +31,8 @@ ESTIMATE = 0.65
 WIDTH = 5
 #: Rows of a band bucket that one task holds; larger buckets are cut into pairs of blocks.
 BLOCK = 2048
+#: Text bytes whose shingles are hashed at once; the work arrays take about 20 times as much.
+_BYTES = 1 << 20
 #: The constant of the expected collisions of two compressed registers of sets of equal size.
 COLLISION = 0.169919487159739093975315012348
 
@@ -96,7 +98,7 @@ def _signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     import numpy as np
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", _BYTES):
         values, begins = _sets(batch, "text")
         sizes = np.diff(begins)
         full = np.flatnonzero(sizes > 0)
@@ -123,7 +125,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _banded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
-    for batch in batches:
+    for batch in slices(batches, "registers"):
         cells = _matrix(batch.column("registers"), np.uint16, REGISTERS).reshape(-1, BANDS, ROWS).astype(np.uint64)
         packed = (cells[:, :, 0] << np.uint64(32)) | (cells[:, :, 1] << np.uint64(16)) | cells[:, :, 2]
         keys = mixed(packed ^ (np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(49)))
@@ -138,7 +140,7 @@ def _estimated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs with both signatures, those with a high enough estimate."""
     import numpy as np
 
-    for batch in batches:
+    for batch in slices(batches, "ra", _BYTES):
         left, right = (_matrix(batch.column(c), np.uint8, FINE) for c in ("ra", "rb"))
         sizes = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb")]
         good = estimates((left == right).mean(axis=1), *sizes) >= ESTIMATE
@@ -151,7 +153,7 @@ def _confirmed(percent: int):
         """Links: pairs whose sorted sets share enough."""
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches, "sa"):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"))):
                 left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -167,7 +169,7 @@ def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole sets, their sizes and fine registers of texts that have at least one shingle."""
     import numpy as np
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", _BYTES):
         values, begins = _sets(batch, "text")
         sizes = np.diff(begins)
         full = np.flatnonzero(sizes > 0)
@@ -187,7 +189,7 @@ def _rest_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     row of their smaller id: the other ids (int64) and the estimates (float32)."""
     import numpy as np
 
-    for unit in groups(batches, "_unit"):
+    for unit in groups(slices(batches, "fine"), "_unit"):
         ids, number = unit["id"].to_numpy(), unit["number"][0].as_py()
         bands = _matrix(unit["registers"], np.uint16, REGISTERS).reshape(-1, BANDS, ROWS)
         fine, sizes = _matrix(unit["fine"], np.uint8, FINE), unit["n_shingles"].to_numpy()
@@ -224,7 +226,7 @@ def _rest_links(percent: int):
         those whose components its links have connected already."""
         import numpy as np
 
-        for unit in groups(batches, "_unit"):
+        for unit in groups(slices(batches, "words"), "_unit"):
             ids, own = unit["id"].to_numpy(), unit["component"].to_numpy()
             place = {i: k for k, i in enumerate(ids.tolist())}
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["words"]]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyloom.llm.shared import ddl, slices
+from tallyloom.llm.shared import ddl, release, slices
 
 SPACE = "▁"
 #: Added to the least score of a piece for a character without one.
@@ -152,6 +152,7 @@ def sentence_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
                 ["doc_id", "pieces", "n_pieces", "ids_crc32", "round_trip"],
             )
         _STATE["words"] = {}
+        release()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

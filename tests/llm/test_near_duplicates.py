@@ -140,3 +140,21 @@ def test_forest_connects_what_its_links_connect(seed):
         return label
 
     assert parts(ka, kb) == parts(a, b) and len(ka) < 60
+
+
+@pytest.mark.parametrize("function", [N._signed, N._as_sets])
+def test_memory_of_a_batch(function):
+    """A batch of many texts is handled in parts: the work arrays grow with a part, not with the batch."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["id", "text"])
+    tracemalloc.start()
+    ids = [i for out in function([batch]) for i in out.column("id").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids == list(range(len(texts))) and sum(map(len, texts)) > 5 << 20 and peak < 40 << 20, peak
